@@ -11,7 +11,10 @@ import importlib
 #: Module of each operator, in the order of their numbers.
 MODULES = (
     "mixing",
+    "secrets",
+    "quality",
     "exact_dedup",
+    "html_extract",
     "langid",
 )
 
