@@ -11,6 +11,7 @@ import importlib
 #: Module of each operator, in the order of their numbers.
 MODULES = (
     "mixing",
+    "decontaminate",
     "secrets",
     "quality",
     "exact_dedup",
