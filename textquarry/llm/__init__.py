@@ -15,6 +15,7 @@ MODULES = (
     "secrets",
     "quality",
     "exact_dedup",
+    "jaccard_join",
     "html_extract",
     "langid",
 )
