@@ -208,7 +208,8 @@ def fit(pages: DataFrame) -> dict[str, float]:
         for rows in batches:
             for page in rows.html:
                 total.update(count(page) or {})
-        yield pd.DataFrame({"key": [k for k, _ in total], "inside": [i for _, i in total], "n": list(total.values())})
+        if total:  # an empty frame has no string column
+            yield pd.DataFrame({"key": [k for k, _ in total], "inside": [i for _, i in total], "n": list(total.values())})
 
     ids = pages.filter("page_id is not null and html is not null").select(F.col("page_id").alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
     sample = pages.select("page_id", "html").join(F.broadcast(ids), F.col("page_id") == F.col("id"), "left_semi").select("html")
