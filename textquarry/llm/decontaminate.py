@@ -178,7 +178,8 @@ def document_frequency(docs: DataFrame, vocabulary: frozenset[str]) -> dict[str,
         for rows in batches:
             for t in rows.text:
                 total.update(shared.value.intersection(words(t if isinstance(t, str) else None)))
-        yield pd.DataFrame({"word": list(total), "n": list(total.values())})
+        if total:
+            yield pd.DataFrame({"word": list(total), "n": list(total.values())})
 
     counts = docs.select("text").mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return {r["word"]: r["n"] for r in counts.collect()}
