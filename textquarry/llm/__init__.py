@@ -17,6 +17,7 @@ MODULES = (
     "exact_dedup",
     "jaccard_join",
     "html_extract",
+    "lm_score",
     "langid",
 )
 
