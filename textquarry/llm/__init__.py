@@ -17,6 +17,7 @@ MODULES = (
     "exact_dedup",
     "jaccard_join",
     "html_extract",
+    "suffix_dedup",
     "lm_score",
     "langid",
 )
