@@ -12,11 +12,14 @@ makes their number linear in its size.
 
 Index lists travel as packed arrays.  Lists of up to LIST documents give their
 pairs; a pair remains if the shingles it shares in the prefixes, and all that can
-still come after them, suffice.  Longer lists, which only large groups of similar
-documents leave, are worked off in rounds: the documents that stand in most
-lists are compared with the others that no link has yet joined to them, then the
-next ones, until each list is one component or all its pairs were compared.
-Remaining pairs are verified on the whole sets.
+still come after them, suffice, and is verified on the whole sets.  Longer lists,
+which only large groups of similar documents leave, are not expanded.  Documents
+that such lists connect make a group.  A group of up to BLOCK documents is worked
+off in one task, which counts common shingles by posting lists.  Of a larger one,
+LEADERS documents that stand in most lists are compared with all others, block by
+block; then those outside the largest component so found are compared, again
+block against block, with all the others.  Of the links found in a task, only a
+spanning forest goes on.
 
 Which shingles count as frequent is a matter of speed only, and may be judged
 from counts inside the tasks; the join is exact for any choice.
@@ -44,6 +47,8 @@ PERCENT = 75
 FREQUENT, MOST_FREQUENT = 32, 1 << 20
 #: Documents of a list whose pairs are made at once.
 LIST = 64
+#: Documents of a group that one task takes; those compared first in larger groups.
+BLOCK, LEADERS = 1024, 32
 #: Postings of an index bucket.
 BUCKET = 1 << 20
 SALT = 32
@@ -145,7 +150,7 @@ def _need(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _classes(bucket: int) -> int:
     """Classes for sets of 2**bucket to 2**(bucket+1) shingles."""
-    return max(1, (1 << bucket) // 8)
+    return max(1, (1 << bucket) // 4)
 
 
 class Indexer:
@@ -237,7 +242,7 @@ def _lists(key: tuple, rows: pd.DataFrame, buckets: int) -> pd.DataFrame:
     out: dict[str, list] = {"kind": [], "part": [], "blob": []}
     for s, m in zip(starts[size > LIST], size[size > LIST], strict=True):
         out["kind"].append(1), out["part"].append(int(xxhash.xxh3_64_intdigest(p["id"][s : s + m].tobytes()) % buckets))
-        out["blob"].append(np.stack([p["id"][s : s + m], p["n"][s : s + m].astype(np.int64)], 1).tobytes())
+        out["blob"].append(p["id"][s : s + m].tobytes())
     q = p[(per > 1) & (per <= LIST)]
     found = []
     for lag in range(1, LIST):
@@ -309,41 +314,104 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(a, "a").join(b, "b").mapInPandas(_verify, "a long, b long")
 
 
-def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def links_between(ids_a: list[int], sets_a: list[np.ndarray], ids_b: list[int], sets_b: list[np.ndarray]) -> list[tuple[int, int]]:
+    """A spanning forest of the links between documents of a and of b, by counting
+    common shingles along posting lists of a's."""
+    token = np.concatenate(sets_a)
+    owner = np.repeat(np.arange(len(sets_a)), [len(x) for x in sets_a])
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], owner[order]
+    size_a = np.array([len(x) for x in sets_a])
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[y]
+        return x
+
+    out = []
+    for i, x in zip(ids_b, sets_b, strict=True):
+        lo, hi = np.searchsorted(token, x, "left"), np.searchsorted(token, x, "right")
+        n = hi - lo
+        at = np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)
+        inter = np.bincount(owner[at], minlength=len(sets_a))
+        for k in np.flatnonzero(100 * inter >= PERCENT * (size_a + len(x) - inter)).tolist():
+            a, b = root(ids_a[k]), root(i)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                out.append((ids_a[k], i))
+    return out
+
+
+def _unpacked(rows: pd.DataFrame) -> tuple[list[int], list[np.ndarray]]:
+    return rows.id.tolist(), [np.frombuffer(x, U) for x in rows.hashes]
+
+
+def _link_group(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    ids, sets = _unpacked(rows)
+    return pd.DataFrame(links_between(ids, sets, ids, sets), columns=["a", "b"], dtype=np.int64)
+
+
+def _link_blocks(key: tuple, first: pd.DataFrame, second: pd.DataFrame) -> pd.DataFrame:
+    if first.empty or second.empty:
+        return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+    return pd.DataFrame(links_between(*_unpacked(first), *_unpacked(second)), columns=["a", "b"], dtype=np.int64)
+
+
+def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each long list: its smallest document with each; lists: how many of them hold it."""
     for rows in batches:
+        made = []
         for blob in rows.blob:
-            x = np.frombuffer(blob, np.int64).reshape(-1, 2)
-            yield pd.DataFrame({"list": xxhash.xxh3_64_intdigest(blob) - (1 << 63), "id": x[:, 0], "n": x[:, 1]})
-
-
-def _work_off(lists: DataFrame, links: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links within long lists, added to links (module's docstring: rounds)."""
-    members = materialize(lists.select("blob").mapInPandas(_members, "list long, id long, n long"), "members")
-    if members.isEmpty():
-        return links
-    ids = members.select("id").distinct()
-    sets = materialize(only(docs, ids.withColumnRenamed("id", "doc_id")).mapInPandas(_sets, "id long, hashes binary").dropDuplicates(["id"]), "sets")
-    central = members.groupBy("id").agg(F.count("*").alias("lists"))
-    order = W.partitionBy("list").orderBy(F.desc("lists"), "id")
-    members = materialize(members.join(central, "id").withColumn("rank", F.row_number().over(order)), "ranked")
-    low, step = 1, 1
-    while True:
-        roots = components(links)
-        named = members.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        open_lists = named.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).filter(f"lo < hi and m > {low}").select("list")
-        named = materialize(named.join(open_lists, "list", "left_semi"), "open")
-        if named.isEmpty():
-            return links
-        lead = named.filter(F.col("rank").between(low, low + step - 1)).select("list", F.col("id").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("rank").alias("rk"))
-        pairs = (
-            named.join(lead, "list")
-            .filter("rank > rk and root <> ra")
-            .filter(100 * F.least("n", "na") >= PERCENT * F.greatest("n", "na"))
-            .select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
-            .distinct()
-        )
-        links = materialize(links.unionByName(_linked(pairs, sets)), "links")
-        low, step = low + step, step * 2
+            ids = np.frombuffer(blob, np.int64)
+            made.append(np.stack([np.full(len(ids), ids.min()), ids], 1))
+        pairs, n = np.unique(np.concatenate(made), axis=0, return_counts=True)
+        yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1], "lists": n})
+
+
+def _own(df: DataFrame) -> DataFrame:
+    """The same rows with columns of their own, to be cogrouped with rows of one origin."""
+    return df.toDF(*(f"_{c}" for c in df.columns)).toDF(*df.columns)
+
+
+def _work_off(lists: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) within the groups that long lists make (module's docstring)."""
+    stars = materialize(lists.select("blob").mapInPandas(_stars, "a long, b long, lists long"), "lists")
+    central = stars.groupBy("b").agg(F.sum("lists").alias("lists")).withColumnRenamed("b", "id")
+    roots = components(stars.select("a", "b"))
+    dense = central.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    sizes = dense.groupBy("root").agg(F.count("*").alias("m"))
+    blocks = F.ceil(F.col("m") / BLOCK).cast("long")
+    dense = materialize(dense.join(sizes, "root").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), "blocks")), "dense")
+    if dense.isEmpty():
+        return dense.select(F.col("id").alias("a"), F.col("id").alias("b"))
+    sets = only(docs, dense.select(F.col("id").alias("doc_id"))).mapInPandas(_sets, "id long, hashes binary").dropDuplicates(["id"])
+    dense = materialize(dense.join(sets, "id"), "dense-sets")
+    links = "a long, b long"
+    small = dense.filter("blocks = 1").select("root", "id", "hashes").groupBy("root").applyInPandas(_link_group, links)
+    large = dense.filter("blocks > 1")
+    if large.isEmpty():
+        return small
+    # the most central documents, first of parts of the group, then of the group
+    order = [F.desc("lists"), "id"]
+    top = large.withColumn("r", F.row_number().over(W.partitionBy("root", "block").orderBy(*order))).filter(F.col("r") <= LEADERS)
+    top = top.withColumn("r", F.row_number().over(W.partitionBy("root").orderBy(*order))).filter(F.col("r") <= LEADERS)
+    each_block = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    top = top.select("root", "id", "hashes", each_block.alias("block"))
+    by = ["root", "block"]
+    first = materialize(_own(top).groupBy(*by).cogroup(large.select("root", "id", "hashes", "block").groupBy(*by)).applyInPandas(_link_blocks, links), "led")
+    comp = components(first).select(F.col("node").alias("id"), F.col("root").alias("comp"))
+    large = large.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    main = large.groupBy("root", "comp").agg(F.count("*").alias("n")).groupBy("root").agg(F.max(F.struct("n", "comp")).alias("main"))
+    rest = large.join(main, "root").filter("comp <> main.comp")
+    left = rest.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("rests"))
+    rest = rest.join(left, "root").withColumn("rest", F.pmod(F.xxhash64("id", F.lit("rest")), "rests"))
+    each_rest = F.explode(F.sequence(F.lit(0).cast("long"), F.col("rests") - 1)).alias("rest")
+    by = ["root", "block", "rest"]
+    others = large.join(left, "root").select("root", "id", "hashes", "block", each_rest)
+    rest = rest.select("root", "id", "hashes", "rest", each_block.alias("block"))
+    second = _own(rest).groupBy(*by).cogroup(others.groupBy(*by)).applyInPandas(_link_blocks, links)
+    return small.unionByName(first).unionByName(second)
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -377,8 +445,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     pairs = found.filter("a is not null").select("a", "b")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     sets = materialize(only(docs, ids).mapInPandas(_sets, "id long, hashes binary").dropDuplicates(["id"]), "sets")
-    links = materialize(_linked(pairs, sets), "links")
-    links = _work_off(found.filter("blob is not null"), links, docs)
+    links = materialize(_linked(pairs, sets).unionByName(_work_off(found.filter("blob is not null"), docs)), "links")
     roots = components(links)
     return (
         each.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
