@@ -5,12 +5,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textquarry.llm import exact_dedup, langid, mixing
+from textquarry.llm import decontaminate, exact_dedup, jaccard_join, langid, mixing
 from textquarry.llm.common import materialize, read
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told."""
+    """Documents whose language can be told; those of ``und`` go."""
     return langid.keep_identified(docs)
 
 
@@ -19,12 +19,22 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.keep_one(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of similar ones: the longest text stays."""
+    return jaccard_join.keep_one(docs)
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no question or answer of the benchmark."""
+    return decontaminate.remove_contaminated(docs, read(spark, sf_dir, "benchmark"))
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The order of showing: one row per showing of a document."""
+    """The order of showing: one row per showing of a document, every one shown at least once."""
     return mixing.mix(docs, max_epochs=mixing.MAX_EPOCHS)
 
 
-STAGES = [("language_id", language), ("exact_dedup", exact), ("mixing", mixed)]
+STAGES = [("language_id", language), ("exact_dedup", exact), ("jaccard_join", near), ("decontaminate", clean), ("mixing", mixed)]
 
 #: Learned language statistics and a similarity join are not SQL; tests compare with brute force.
 ORACLE_SQL = None
