@@ -49,7 +49,7 @@ def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     ids = ids.select(key)
     if ids.count() * 16 <= BROADCAST_BYTES:
         ids = F.broadcast(ids)
-    return docs.join(ids, key, "left_anti")
+    return docs.join(ids, key, "left_anti").select(*docs.columns)
 
 
 def only(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -57,7 +57,7 @@ def only(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     ids = ids.select(key)
     if ids.count() * 16 <= BROADCAST_BYTES:
         ids = F.broadcast(ids)
-    return docs.join(ids, key, "left_semi")
+    return docs.join(ids, key, "left_semi").select(*docs.columns)
 
 
 def parts(spark: SparkSession) -> int:

@@ -44,7 +44,7 @@ class Model:
         self.dicts = [(d.as_bytes(), d.dict_id() == 0) for d in (_dictionary(good[::2]), _dictionary(bad[::2]))]
         self.curve = np.zeros(4)
         good, bad = good[1::2] or good, bad[1::2] or bad
-        if n_good + n_bad:
+        if good or bad:
             self.curve = self._fit(good, bad, n_good, n_bad)
 
     def __getstate__(self) -> dict:
