@@ -7,8 +7,9 @@ same offset.  Neighbouring windows with one anchor make a segment.  Anchors that
 occur once in the corpus are done with; segments of the others meet by anchor:
 
 * equal segments are one, and if they are several, all their windows repeat;
-* different segments of one anchor go, each once, to the anchor's shard, where a
-  suffix array (Larsson-Sadakane refinement: sort by eight bytes, then double the
+* different segments of one anchor go, each once, to the anchor's shard.  Equal
+  windows also agree in SIDE bytes before or after the anchor's; of the segments
+  that agree with another one there, a suffix array (Larsson-Sadakane refinement: sort by eight bytes, then double the
   depth within the groups not yet told apart) and Kasai's common prefixes show
   which windows repeat;
 * an anchor with more than HOT different segments (the edge of a passage that a
@@ -22,6 +23,7 @@ So all windows that can be equal meet, and no task holds more than a shard.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +37,8 @@ from .common import BROADCAST_BYTES, materialize, parts, read
 LENGTH = 400
 #: Bytes whose hash makes an anchor; a power of two.
 GRAM = 64
+#: A window holds so many bytes more on one side of its anchor's GRAM.
+SIDE = (LENGTH - GRAM) // 2
 #: Different segments of an anchor that one shard takes.
 HOT = 2048
 #: Bytes of a shard, about; a suffix array is built of at most twice as many.
@@ -56,8 +60,9 @@ def gram_hashes(b: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(29))
 
 
-def segments(data: bytes) -> list[tuple[int, int, int, int]]:
-    """(anchor hash, segment hash, first window, number of windows) of a text, in order; signed hashes."""
+def segments(data: bytes) -> list[tuple[int, int, int, int, int]]:
+    """(anchor hash, segment hash, first window, number of windows, bytes before the
+    anchor) of a text, in order; signed hashes."""
     n = len(data) - LENGTH + 1
     if n <= 0:
         return []
@@ -72,9 +77,9 @@ def segments(data: bytes) -> list[tuple[int, int, int, int]]:
     place = (low & U(0xFFFFFFFF)).astype(np.int64)
     starts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
     counts = np.diff(np.r_[starts, n]).tolist()
-    anchors = h[place[starts]].view(np.int64).tolist()
+    anchors, ahead = h[place[starts]].view(np.int64).tolist(), (place[starts] - starts).tolist()
     digest = xxhash.xxh3_64_intdigest
-    return [(a, digest(data[s : s + c - 1 + LENGTH]) - (1 << 63), s, c) for a, s, c in zip(anchors, starts.tolist(), counts, strict=True)]
+    return [(a, digest(data[s : s + c - 1 + LENGTH]) - (1 << 63), s, c, p) for a, s, c, p in zip(anchors, starts.tolist(), counts, ahead, strict=True)]
 
 
 def suffix_array(data: bytes) -> np.ndarray:
@@ -186,7 +191,7 @@ def _segment_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _segment_frame(blobs: list[np.ndarray], ids: list[int], hashes: list[int]) -> pd.DataFrame:
     each, x = [len(b) for b in blobs], np.concatenate(blobs)
-    return pd.DataFrame({"did": np.repeat(ids, each), "th": np.repeat(hashes, each), "anchor": x[:, 0], "seg": x[:, 1], "first": x[:, 2], "windows": x[:, 3]})
+    return pd.DataFrame({"did": np.repeat(ids, each), "th": np.repeat(hashes, each), "anchor": x[:, 0], "seg": x[:, 1], "first": x[:, 2], "windows": x[:, 3], "at": x[:, 4]})
 
 
 def _cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -196,14 +201,24 @@ def _cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             data = _bytes(text)
             w = list(wanted)
             yield pd.DataFrame({
-                "anchor": [x["anchor"] for x in w], "seg": [x["seg"] for x in w], "hot": [x["hot"] for x in w], "windows": [x["windows"] for x in w],
+                "anchor": [x["anchor"] for x in w], "seg": [x["seg"] for x in w], "hot": [x["hot"] for x in w], "windows": [x["windows"] for x in w], "at": [x["at"] for x in w],
                 "data": [data[x["first"] : x["first"] + x["windows"] - 1 + LENGTH] for x in w],
             })
 
 
+def _agreeing(rows: pd.DataFrame) -> np.ndarray:
+    """Segments that agree with another one of their anchor in SIDE bytes before or after the anchor's."""
+    sides = []
+    for name, part in (("l", lambda d, at: d[at - SIDE : at + GRAM] if at >= SIDE else None), ("r", lambda d, at: d[at : at + GRAM + SIDE] if len(d) >= at + GRAM + SIDE else None)):
+        keys = [(name, a, x) for a, x in zip(rows.anchor, map(part, rows.data, rows["at"]), strict=True)]
+        n = Counter(keys)
+        sides.append([k[2] is not None and n[k] > 1 for k in keys])
+    return np.array(sides, bool).any(0)
+
+
 def _shard(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """Repeated windows among the segments of a shard's anchors."""
-    rows = rows.sort_values(["anchor", "seg"])
+    rows = rows[_agreeing(rows)].sort_values(["anchor", "seg"])
     out, texts, counts, size = [], [], [], 0
     anchors = rows.anchor.to_numpy()
     for k, (data, c) in enumerate(zip(rows.data, rows.windows, strict=True)):
@@ -267,16 +282,16 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     # a row is known by its identifier and a hash of its text, so repeated identifiers do no harm
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("did"), F.xxhash64("text").alias("th"))
     long_enough = docs.filter(F.octet_length("text") >= LENGTH)
-    occurs = materialize(long_enough.select("did", "th", "text").mapInPandas(_segment_rows, "did long, th long, anchor long, seg long, first long, windows long"), "segments")
-    each = occurs.groupBy("anchor", "seg").agg(F.count("*").alias("n"), F.min(F.struct("did", "th", "first", "windows")).alias("one"))
+    occurs = materialize(long_enough.select("did", "th", "text").mapInPandas(_segment_rows, "did long, th long, anchor long, seg long, first long, windows long, at long"), "segments")
+    each = occurs.groupBy("anchor", "seg").agg(F.count("*").alias("n"), F.min(F.struct("did", "th", "first", "windows", "at")).alias("one"))
     per = each.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).filter("n > 1")
     each = materialize(each.withColumnRenamed("n", "own").join(per, "anchor"), "anchors")
     whole = each.filter("own > 1").select("anchor", "seg", _pack(F.lit(0), F.col("one.windows")).alias("runs"))
     # different segments of one anchor: one copy of each is looked at
-    asked = each.filter("kinds > 1").select("one.did", "one.th", F.struct("anchor", "seg", (F.col("kinds") > HOT).alias("hot"), "one.first", "one.windows").alias("w"))
+    asked = each.filter("kinds > 1").select("one.did", "one.th", F.struct("anchor", "seg", (F.col("kinds") > HOT).alias("hot"), "one.first", "one.windows", "one.at").alias("w"))
     asked = asked.groupBy("did", "th").agg(F.collect_list("w").alias("wanted"))  # at most a document's segments
     texts = _with(long_enough, asked).dropDuplicates(["did", "th"]).select("text", "wanted")
-    cut = materialize(texts.mapInPandas(_cut_out, "anchor long, seg long, hot boolean, windows long, data binary"), "cut")
+    cut = materialize(texts.mapInPandas(_cut_out, "anchor long, seg long, hot boolean, windows long, at long, data binary"), "cut")
     size = cut.agg(F.sum(F.octet_length("data"))).first()[0] or 0
     shards = max(parts(spark), -(-size // SHARD_BYTES))
     shard = F.pmod(F.xxhash64("anchor"), F.lit(shards))
