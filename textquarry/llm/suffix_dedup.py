@@ -82,14 +82,20 @@ def segments(data: bytes) -> list[tuple[int, int, int, int, int]]:
     return [(a, digest(data[s : s + c - 1 + LENGTH]) - (1 << 63), s, c, p) for a, s, c, p in zip(anchors, starts.tolist(), counts, ahead, strict=True)]
 
 
+def eights(b: np.ndarray, n: int) -> np.ndarray:
+    """The eight bytes at each of n places, in an order that follows theirs."""
+    key = np.zeros(n, U)
+    for i in range(8):
+        key = (key << U(8)) | b[i : n + i].astype(U)
+    return key
+
+
 def suffix_array(data: bytes) -> np.ndarray:
     """Places in the order of their suffixes, as far as LENGTH bytes tell them apart."""
     n = len(data)
     b = np.frombuffer(data + b"\0" * 8, np.uint8)
-    key = np.zeros(n, U)
-    for i in range(8):
-        key = (key << U(8)) | b[i : n + i].astype(U)
-    sa = np.argsort(key, kind="stable")
+    key = eights(b, n)
+    sa = np.argsort(key)
     ranks = np.empty(n, np.int64)
     new = np.r_[True, key[sa[1:]] != key[sa[:-1]]]
     head = np.flatnonzero(new)
@@ -102,11 +108,12 @@ def suffix_array(data: bytes) -> np.ndarray:
             break
         who = sa[at]
         ahead = who + depth
-        second = np.where(ahead < n, ranks[np.minimum(ahead, n - 1)], -1)
-        order = np.lexsort((second, ranks[who]))
-        who, second, first = who[order], second[order], ranks[who][order]
+        # rank at depth, then rank of what follows, as one number
+        both = ranks[who] * (n + 1) + np.where(ahead < n, ranks[np.minimum(ahead, n - 1)] + 1, 0)
+        order = np.argsort(both)
+        who, both = who[order], both[order]
         sa[at] = who
-        fresh = np.r_[True, (first[1:] != first[:-1]) | (second[1:] != second[:-1])]
+        fresh = np.r_[True, both[1:] != both[:-1]]
         new[at] = fresh
         ranks[who] = at[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
         head = np.flatnonzero(new)
@@ -139,19 +146,24 @@ def repeated_windows(texts: list[bytes], counts: list[int]) -> list[np.ndarray]:
 
 
 def _kasai(data: bytes, sa: np.ndarray, starts: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Common prefixes, up to LENGTH, of each window with the one before it in order.
+    """Common prefixes, up to LENGTH, of each window with the one before it in order
+    (0 where a look at a few places shows that it is shorter than LENGTH).
 
     Kasai: where both move on by one place, the common prefix is at most one shorter.
     (Not every suffix is a window, so the neighbour need not move on; then it is
     compared from the beginning.)"""
-    before = np.where(rank > 0, sa[np.maximum(rank - 1, 0)], -1).tolist()
+    before = np.where(rank > 0, sa[np.maximum(rank - 1, 0)], -1)
+    # most pairs differ in one of a few places; the scan goes over the others
+    key = eights(np.frombuffer(data + b"\0" * 8, np.uint8), len(data))
+    open_ = before >= 0
+    for at in (0, LENGTH // 4, LENGTH // 2, LENGTH - 8):
+        open_[open_] = key[starts[open_] + at] == key[before[open_] + at]
+    where = np.flatnonzero(open_)
     out, h, last = np.zeros(len(starts), np.int64), 0, (-2, -2)
-    for k, (i, j) in enumerate(zip(starts.tolist(), before, strict=True)):
+    for k, i, j in zip(where.tolist(), starts[where].tolist(), before[where].tolist(), strict=True):
         h = h - 1 if h and last == (i - 1, j - 1) else 0
         last = (i, j)
-        if j < 0:
-            h = 0
-        elif data[i + h : i + LENGTH] == data[j + h : j + LENGTH]:
+        if data[i + h : i + LENGTH] == data[j + h : j + LENGTH]:
             h = LENGTH
         else:
             step = 64
