@@ -161,18 +161,19 @@ def _kasai(data: bytes, sa: np.ndarray, starts: np.ndarray, rank: np.ndarray) ->
     where = np.flatnonzero(open_)
     out, h, last = np.zeros(len(starts), np.int64), 0, (-2, -2)
     for k, i, j in zip(where.tolist(), starts[where].tolist(), before[where].tolist(), strict=True):
-        h = h - 1 if h and last == (i - 1, j - 1) else 0
-        last = (i, j)
-        if data[i + h : i + LENGTH] == data[j + h : j + LENGTH]:
+        if last == (i - 1, j - 1) and 0 < h < LENGTH:
+            h -= 1  # they differ at the same place as before
+        elif data[i : i + LENGTH] == data[j : j + LENGTH]:
             h = LENGTH
         else:
-            step = 64
+            h, step = 0, 256
             while step:
                 if h + step <= LENGTH and data[i + h : i + h + step] == data[j + h : j + h + step]:
                     h += step
                 else:
                     step //= 2
         out[k] = h
+        last = (i, j)
     return out
 
 
