@@ -42,7 +42,9 @@ class Session:
 
     @classmethod
     def from_dir(cls, spark: SparkSession, root: str) -> Session:
-        return cls(spark, fs.from_dir(spark, root), root)
+        # a snapshot: plans must not read the tree again after it was edited
+        files = graph.checkpoint(fs.scan(spark, root))
+        return cls(spark, Corpus(files, parse.code_symbols(files)), root)
 
     # Search.
 

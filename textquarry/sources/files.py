@@ -29,8 +29,8 @@ def scan(spark: SparkSession, root: str, max_bytes: int = MAX_FILE_BYTES) -> Dat
     raw = raw.filter(~paths.in_skipped_dir(F.col("path")) & ~F.element_at(F.split("path", "/"), -1).startswith("."))
     for pattern in ignored(root):
         raw = raw.filter(~F.col("path").rlike(pattern))
-    text = F.decode("content", "UTF-8")
-    ok = (F.locate("\0", text) == 0) & F.is_valid_utf8(F.col("content").cast("string"))
+    text = F.col("content").cast("string")
+    ok = (F.locate("\0", text) == 0) & F.is_valid_utf8(text)
     return raw.filter(ok).select("path", text.alias("text"), paths.language(F.col("path"), text).alias("lang"))
 
 
