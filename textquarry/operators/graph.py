@@ -141,8 +141,9 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, itera
         return nodes.withColumn("rank", F.lit(0.0))
     parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // 50_000)))
     state = nodes.join(out.withColumnRenamed("src", "path"), "path", "left").withColumn("rank", F.lit(1.0 / n))
-    state = checkpoint(state.repartition(parts, "path"))
-    edges = checkpoint(edges.repartition(parts, "src"))
+    # a graph of one partition needs no exchange at all
+    state = checkpoint(state.coalesce(1) if parts == 1 else state.repartition(parts, "path"))
+    edges = checkpoint(edges.coalesce(1) if parts == 1 else edges.repartition(parts, "src"))
     for i in range(iterations):
         # the mass of dangling nodes: a one-row aggregate inside the plan
         dangling = state.agg((F.sum(F.when(F.col("deg").isNull(), F.col("rank")).otherwise(0.0)) / n).alias("lost"))
