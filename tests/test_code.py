@@ -201,6 +201,25 @@ def test_diagnose(spark, corpus):
     assert got == [("src/auth/login.rs", 4, "warning", "unused", "login"), ("src/auth/token.rs", 2, "error", "mismatched types", "validate_token")]
 
 
+def test_packing(spark):
+    from textquarry.operators import pack
+
+    rows_ = [(f"s{i}", "x" * (40 * (i % 7 + 1)), float(i % 13)) for i in range(60)]
+    df = spark.createDataFrame(rows_, "id string, text string, score double")
+    want, used = [], 0
+    for i, t, _ in sorted(rows_, key=lambda r: (-r[2], r[0])):
+        cost = max(1, len(t) // 4) + 8
+        if used + cost <= 500:
+            want, used = [*want, i], used + cost
+    for size in (4096, 5):
+        pack.ROUND, before = size, pack.ROUND
+        got = [r["id"] for r in pack.budget_pack(df, 500).orderBy("pos").collect()]
+        pack.ROUND = before
+        assert got == want
+    order = [r["id"] for r in pack.edge_order(df.limit(0).unionByName(spark.createDataFrame([("a", "", 3.0), ("b", "", 2.0), ("c", "", 1.0)], df.schema))).orderBy("place").collect()]
+    assert order == ["a", "c", "b"]
+
+
 def test_edit_functions():
     text = "def a():\n    return 1\n\n# note\ndef b():\n    return 2\n"
     span = edits.resolve_span(text, "python", "a")
@@ -291,6 +310,12 @@ def test_session(spark, tree):
     assert only["files"] == ["packages/core/run.py"]  # the other package keeps its own
     moved = s.apply({"locator": "chain.py#test_top", "move_to": "tests_top.py"})
     assert moved["files"] == ["chain.py", "tests_top.py"] and "def test_top" in (tree / "tests_top.py").read_text()
+    noted = s.apply({"edits": [{"locator": "chain.py#base", "new_body": "def base():\n    return 5"}], "dry_run": True})["notes"]
+    assert noted == ["base: 1 references in 1 files"]
+    (tree / "late.py").write_text("def late():\n    pass\n")
+    (tree / "README.md").unlink()
+    assert s.reindex() == {"put": 1, "deleted": 1} and "late.py#late" in s.code({"q": "late", "mode": "structural"})
+    assert s.reindex() == {"put": 0, "deleted": 0}
     assert "src/auth/token.rs" in s.repo_map(500) and s.status()["files"] > 5 and "packages" not in "".join(s.project())
 
 

@@ -241,11 +241,11 @@ def search_auto(spark, sf_dir):
 
 # Packing.
 
-SPANS = "spans AS (SELECT doc_id AS d, 'd' || doc_id AS id, coalesce(text, '') AS text, ((doc_id * 37) % 101) / 101.0 AS score FROM documents WHERE starts_with(source, 'src1'))"
+SPANS = "spans AS (SELECT doc_id AS d, 'd' || doc_id AS id, coalesce(text, '') AS text, ((doc_id * 37) % 101) / 101.0 AS score FROM documents)"
 
 
 def _spans(spark, sf_dir):
-    df = spark.read.parquet(f"{sf_dir}/documents.parquet").filter(F.col("source").startswith("src1"))
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     score = F.pmod(F.col("doc_id") * 37, F.lit(101)) / F.lit(101.0)
     return df.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.coalesce("text", F.lit("")).alias("text"), score.alias("score"), "doc_id")
 

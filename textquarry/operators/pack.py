@@ -11,32 +11,56 @@ from ..functions.text import est_tokens, sanitize
 SPAN_OVERHEAD = 8
 
 
-def budget_pack(spans: DataFrame, budget: int, overhead: int = SPAN_OVERHEAD, by: str | None = None) -> DataFrame:
-    """Spans that fit the budget, taken greedily by score; one that does not fit is
-    skipped, and later ones may still fit.  by: pack each group apart.
+#: Spans looked at in one round of packing.
+ROUND = 4096
 
-    The list is the top of a ranking, so one row per group holds it."""
+
+def budget_pack(spans: DataFrame, budget: int, overhead: int = SPAN_OVERHEAD) -> DataFrame:
+    """pos, id, text, score, cost of the spans that fit the budget, taken greedily by
+    score (then id); one that does not fit is skipped, and later ones may still fit.
+
+    Works in rounds: the best ROUND spans that could still fit are packed in one row,
+    without their texts, and the next round begins behind the last of them.  What is
+    kept is bounded by the budget, since every span costs more than the overhead."""
+    spark = spans.sparkSession
     cost = (est_tokens(F.col("text")) + overhead).cast("long")
-    item = F.struct((-F.col("score")).alias("o"), "id", F.col("score"), "text", cost.alias("cost"))
-    listed = spans.groupBy(*([by] if by else [])).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    empty = F.slice(F.col("items"), 1, 0)
+    costs = spans.select("id", "score", cost.alias("cost"))
+    kept: list = []
+    used, last = 0, None
+    while used + overhead < budget:
+        rest = costs.filter(F.col("cost") <= budget - used)
+        if last is not None:
+            rest = rest.filter((F.col("score") < last[0]) | ((F.col("score") == last[0]) & (F.col("id") > last[1])))
+        top = rest.orderBy(F.desc("score"), "id").limit(ROUND)
+        item = F.struct((-F.col("score")).alias("o"), "id", "score", "cost")
+        listed = top.agg(F.array_sort(F.collect_list(item)).alias("items"))
+        done = listed.select(_greedy(F.col("items"), budget - used).alias("kept"), F.element_at("items", -1).alias("last"), F.size("items").alias("n")).first()
+        kept += [(len(kept) + i, x["id"], x["cost"]) for i, x in enumerate(done["kept"])]
+        used += sum(x["cost"] for x in done["kept"])
+        if done["n"] < ROUND:
+            break
+        last = (done["last"]["score"], done["last"]["id"])
+    places = F.broadcast(spark.createDataFrame(kept, "pos long, id string, cost long"))  # at most budget / overhead rows
+    return spans.select("id", "text", "score").join(places, "id").select("pos", "id", "text", "score", "cost")
+
+
+def _greedy(items: Column, budget: int) -> Column:
+    empty = F.slice(items, 1, 0)
 
     def step(acc: Column, x: Column) -> Column:
         fits = acc["used"] + x["cost"] <= F.lit(budget).cast("long")
         return F.struct(F.when(fits, acc["used"] + x["cost"]).otherwise(acc["used"]).alias("used"), F.when(fits, F.concat(acc["kept"], F.array(x))).otherwise(acc["kept"]).alias("kept"))
 
-    packed = F.aggregate("items", F.struct(F.lit(0).cast("long").alias("used"), empty.alias("kept")), step, lambda acc: acc["kept"])
-    rows = listed.select(*([by] if by else []), F.posexplode(packed).alias("pos", "s"))
-    return rows.select(*([by] if by else []), F.col("pos").cast("long").alias("pos"), "s.id", "s.text", "s.score", "s.cost")
+    return F.aggregate(items, F.struct(F.lit(0).cast("long").alias("used"), empty.alias("kept")), step, lambda acc: acc["kept"])
 
 
 def edge_order(spans: DataFrame) -> DataFrame:
     """Adds place: the best spans stand first and last, the weakest in the middle."""
-    n = F.count("*").over(W.partitionBy())
-    r = F.row_number().over(W.orderBy(F.desc("score"), "id")) - 1
-    ranked = spans.withColumns({"r": r, "n": n})
-    place = F.when(F.col("r") % 2 == 0, F.col("r") / 2).otherwise(F.col("n") - 1 - (F.col("r") - 1) / 2)
-    return ranked.withColumn("place", place.cast("long")).drop("r", "n")
+    from .search import ranked
+
+    placed, n = ranked(spans, F.desc("score"), "id"), spans.count()
+    place = F.when(F.col("rank") % 2 == 0, F.col("rank") / 2).otherwise(n - 1 - (F.col("rank") - 1) / 2)
+    return placed.withColumn("place", place.cast("long")).drop("rank")
 
 
 def fair_share(spans: DataFrame, budget: int, n_queries: int, overhead: int = SPAN_OVERHEAD) -> DataFrame:

@@ -206,10 +206,31 @@ class Session:
                 raise
         before = {p: t for p, t in ((r["path"], r["text"]) for r in self._texts(list(delta)))}
         diffs = {p: ed.unified_diff(p, before.get(p) or "", t or "") for p, t in delta.items()}
+        notes = [] if req.undo else self._uses(req.edits)
         if not req.dry_run and delta:
             self._commit(delta)
         self.audit.record("apply", f"{len(delta)} files{' (dry run)' if req.dry_run else ''}")
-        return {"diffs": diffs, "revision": self.revision, "files": sorted(delta)}
+        return {"diffs": diffs, "revision": self.revision, "files": sorted(delta), "notes": notes}
+
+    def _uses(self, edits: tuple[Edit, ...]) -> list[str]:
+        """Who else depends on the symbols that got a new body."""
+        names = sorted({parse_symbol_query(e.locator)[1] for e in edits if e.new_body is not None and "#" in e.locator and "@" not in e.locator.split("@L")[0]})
+        counts = [(n, graph.references(self.corpus, n).agg(F.count("*").alias("n"), F.countDistinct("path").alias("p")).first()) for n in names]
+        return [f"{n}: {c['n']} references in {c['p']} files" for n, c in counts if c["n"]]
+
+    def reindex(self, path: str | None = None) -> dict[str, int]:
+        """Read the tree (or one file) again: what changed on disk becomes a new revision.
+
+        Returns how many files were put and deleted; unchanged ones are not parsed again."""
+        if not self.root:
+            return {"put": 0, "deleted": 0}
+        now, old = fs.scan(self.spark, self.root).select("path", "text"), self.corpus.files.select("path", F.col("text").alias("old"))
+        both = now.join(old, "path", "full_outer").filter(~F.col("text").eqNullSafe(F.col("old")))
+        both = both.filter(F.col("path") == path) if path else both
+        delta = {r["path"]: r["text"] for r in both.select("path", "text").collect()}
+        if delta:
+            self._commit(delta, write=False)
+        return {"put": sum(t is not None for t in delta.values()), "deleted": sum(t is None for t in delta.values())}
 
     def _texts(self, names: list[str]) -> list:
         return self.corpus.files.filter(F.col("path").isin(names)).select("path", "text", "lang").collect() if names else []
@@ -322,8 +343,8 @@ class Session:
         rows = then.filter(F.col("revision") == self.revision + 1).select("path", "text").collect()
         return {r["path"]: r["text"] for r in rows}
 
-    def _commit(self, delta: dict[str, str | None]) -> None:
-        if self.root:
+    def _commit(self, delta: dict[str, str | None], write: bool = True) -> None:
+        if self.root and write:
             fs.Sandbox(self.root).commit(list(delta.items()))
         batch = self.versions.agg(F.max("batch_id")).first()[0] + 1
         self.revision += 1
@@ -332,9 +353,13 @@ class Session:
         self.failed.clear()
         from ..functions import paths
 
-        files = ed.latest(self.versions).select("path", "text", paths.language(F.col("path"), F.col("text")).alias("lang"))
-        symbols = prose_symbols(files) if self.prose else parse.code_symbols(files)
-        self.corpus = Corpus(files, symbols)
+        old = self.corpus
+        files = graph.checkpoint(ed.latest(self.versions).select("path", "text", paths.language(F.col("path"), F.col("text")).alias("lang")))
+        fresh = files.filter(F.col("path").isin(list(delta)))
+        symbols = prose_symbols(fresh) if self.prose else parse.code_symbols(fresh)
+        # symbols of files that did not change are kept
+        kept = old.symbols.filter(~F.col("path").isin(list(delta)))
+        self.corpus = Corpus(files, graph.checkpoint(kept.unionByName(symbols)))
 
     # Reports.
 
