@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read, without
+from .common import materialize, read, small_batches, without
 
 TOKEN = re.compile(r"\w+")
 K1, B = 1.2, 0.75
@@ -195,6 +195,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     a null doc_id stays null; other columns are ignored.  An empty benchmark leaves
     every document clean."""
     spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     items = benchmark.filter("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     rounds = max(1, -(-items.count() // ITEMS_AT_ONCE))
     shard = F.pmod(F.xxhash64("item_id"), F.lit(rounds))

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, small_batches
 
 #: Pages that weights are learned from, at most.
 SAMPLE = 2000
@@ -230,6 +230,7 @@ def extract_text(pages: DataFrame, weight: dict[str, float]) -> DataFrame:
             text = [extract(h if isinstance(h, str) else None, weight) for h in rows.html]
             yield pd.DataFrame({"page_id": rows.page_id.astype("Int64"), "url": rows.url, "text": text, "n_chars": [len(t) for t in text]})
 
+    small_batches(pages.sparkSession)
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInPandas(run, "page_id long, url string, text string, n_chars long")
 
 

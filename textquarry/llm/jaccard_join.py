@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialize, only, parts, read, without
+from .common import materialize, only, parts, read, small_batches, without
 from .components import components
 
 WORDS = 5
@@ -74,7 +74,7 @@ class Shingler:
         self.words: dict[bytes, int] = {}
 
     def __missing(self, w: bytes) -> int:
-        if len(self.words) > 1 << 20:
+        if len(self.words) > 1 << 18:
             self.words.clear()
         x = self.words[w] = xxhash.xxh3_64_intdigest(w)
         return x
@@ -128,12 +128,12 @@ def _survey(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 seen.add(k)
                 held.append(h)
                 n += len(h)
-                if n > 4_000_000:
+                if n > 1_500_000:
                     yield recurring(held)
                     held, n = [], 0
         if held:
             yield recurring(held)
-        if len(seen) > 1 << 18:
+        if len(seen) > 1 << 16:
             seen.clear()
         yield _surveyed(doc_id=ids, key=keys, n=sizes)
 
@@ -425,6 +425,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     reported.  Other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     docs = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     survey = materialize(docs.mapInPandas(_survey, "doc_id long, key binary, n long, token long, cnt long"), "survey")
     each = survey.filter("doc_id is not null").select("doc_id", "key", "n")

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_crc, materialize, read, without
+from .common import bucket_crc, materialize, read, small_batches, without
 
 #: Bytes that stand before a text's first byte.
 START = b"\n\n"
@@ -141,6 +141,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     learned from nothing.  Every row gets its answer, repeated ones too; doc_id
     may be null.  Other columns are ignored.  Equal code lengths: the first
     language in alphabetical order."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

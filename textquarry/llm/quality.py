@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_crc, read
+from .common import bucket_crc, read, small_batches
 
 #: Labelled documents of each label that are learned from, at most: half of them for the dictionary, half for the curve.
 SAMPLE = 1600
@@ -105,6 +105,7 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
 
     Null texts are scored as empty ones.  Every row gets its score, repeated rows
     the same; a null doc_id stays null; other columns are ignored."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, small_batches
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(rb"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -210,6 +210,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     empty; repeated rows are reported each time; a null doc_id stays null; other
     columns are ignored.  No text is cut.
     """
+    small_batches(docs.sparkSession)
     schema = "doc_id long, n_assign long, n_access long, n_hex long, base_spans string, spans string, n_layers long"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_scan_rows, schema)
 

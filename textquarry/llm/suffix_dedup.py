@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, materialize, parts, read
+from .common import BROADCAST_BYTES, materialize, parts, read, small_batches
 
 LENGTH = 400
 #: Bytes whose hash makes an anchor; a power of two.
@@ -292,6 +292,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     copies of each other, so both lose their repeated strings; doc_id may be null
     or repeated, other columns are ignored; an empty table gives no rows."""
     spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     # a row is known by its identifier and a hash of its text, so repeated identifiers do no harm
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("did"), F.xxhash64("text").alias("th"))
     long_enough = docs.filter(F.octet_length("text") >= LENGTH)
