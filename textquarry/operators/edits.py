@@ -33,11 +33,9 @@ class EditError(ValueError):
 
 # Words that no symbol can be renamed to.
 KEYWORDS = frozenset(
-    "fn let mut struct enum trait impl mod pub use match if else for while loop return self Self where async await move ref "
-    "static const type unsafe extern crate super dyn as in break continue true false def class lambda import from pass raise try "
-    "except finally with yield global nonlocal and or not is None True False del elif assert function var new this delete typeof "
-    "instanceof void null undefined export default extends implements interface switch case catch throw func package go chan map "
-    "range select defer int float double char boolean private public protected final abstract namespace using template do".split()
+    "fn let mut struct enum trait impl mod pub use match if else for while loop return self Self where type const static ref move dyn as in unsafe async await crate super "
+    "def class lambda pass yield import from global nonlocal with try except finally raise assert del elif is not and or None True False "
+    "function var new delete typeof instanceof void this extends interface export default case switch break continue throw catch".split()
 )
 
 

@@ -128,13 +128,11 @@ def rrf(*lists: tuple[float, DataFrame]) -> DataFrame:
     return out.groupBy("id").agg(F.sum("part").alias("score"))
 
 
-def confident(top: list, names: dict, q: str) -> bool:
-    """Whether the first result stands out, or is named like the query."""
-    if not top:
-        return False
-    if tx.is_plain_ident(q) and any(names.get(r["id"], "").lower() == q.strip().lower() for r in top):
+def confident(top: list, exact: bool) -> bool:
+    """Whether the first result stands out from the second, or a symbol is named like the query."""
+    if exact:
         return True
-    return len(top) < 2 or (top[0]["score"] - top[1]["score"]) / top[0]["score"] >= 0.10
+    return bool(top) and (len(top) < 2 or (top[0]["score"] - top[1]["score"]) / max(top[0]["score"], 1e-9) >= 0.10)
 
 
 def search_auto(whole: Corpus, q: str, k: int = 8, scoped: Corpus | None = None, all_of=(), any_of=(), none_of=()) -> DataFrame:
@@ -146,12 +144,14 @@ def search_auto(whole: Corpus, q: str, k: int = 8, scoped: Corpus | None = None,
     lexical = lexical_rank(scoped, hits).persist()
     struct = structural(scoped, q.strip()).persist()
     fused = rrf((1.0, struct), (1.0, lexical)).orderBy(F.desc("score"), "id")
-    top = fused.limit(2).collect()
-    names = {r["id"]: r["id"].split("#", 1)[-1].split("@L")[0] for r in top}
-    if confident(top, names, q):
+    exact = tx.is_plain_ident(q) and not struct.filter("quality = 0").isEmpty()
+    if exact or confident(fused.limit(2).collect(), exact):
         return fused.limit(k)
-    # the single weights of the second phase
-    fused = rrf((0.8, struct), (0.8, lexical), (0.3, mentions(scoped, q)), (0.2, semantic(whole, scoped, q, max(k, 8))))
+    named, meant = mentions(scoped, q), semantic(whole, scoped, q, max(k, 8))
+    if named.isEmpty() and meant.isEmpty():
+        return fused.limit(k)
+    # the weights of the second phase
+    fused = rrf((0.8, struct), (0.8, lexical), (0.3, named), (0.2, meant))
     return fused.orderBy(F.desc("score"), "id").limit(k)
 
 

@@ -79,7 +79,7 @@ class Sandbox:
 
     # Fixed values.
     GUARDED = (".git", ".github", ".hooks", ".claude")
-    GUARDED_FILES = ("mcp.json", "credentials")
+    GUARDED_FILES = ("mcp.json", ".mcp.json", ".claude.json", ".credentials.json")
 
     def __init__(self, root: str):
         self.root = Path(root).resolve()
@@ -93,7 +93,7 @@ class Sandbox:
             depth += -1 if p == ".." else 0 if p in ("", ".") else 1
             if depth < 0:
                 return "escape"
-        if any(p in self.GUARDED for p in parts) or any(parts[-1].startswith(g) or parts[-1] == f".{g}" for g in self.GUARDED_FILES):
+        if any(p in self.GUARDED for p in parts) or parts[-1].lower() in self.GUARDED_FILES or parts[1:] and parts[-1] == "hooks":
             return "blocked"
         if not (self.root / path).parent.resolve().is_relative_to(self.root) or (self.root / path).is_symlink():
             return "escape"
