@@ -21,8 +21,10 @@ block; then those outside the largest component so found are compared, again
 block against block, with all the others.  Of the links found in a task, only a
 spanning forest goes on.
 
-Which shingles count as frequent is a matter of speed only, and may be judged
-from counts inside the tasks; the join is exact for any choice.
+Which shingles count as frequent is a matter of speed only; the join is exact for
+any choice.  They are judged from what recurs inside the tasks, and where long
+lists of single shingles show that too many were missed, these are added and the
+index is made again.
 """
 
 from __future__ import annotations
@@ -47,6 +49,8 @@ PERCENT = 75
 FREQUENT, MOST_FREQUENT = 32, 1 << 20
 #: Documents of a list whose pairs are made at once.
 LIST = 64
+#: The index is made again, at most AGAIN times, if one document in MISSED stands in a long list of a single shingle.
+AGAIN, MISSED = 3, 64
 #: Documents of a group that one task takes; those compared first in larger groups.
 BLOCK, LEADERS = 1024, 32
 #: Postings of an index bucket.
@@ -128,7 +132,7 @@ def _survey(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 seen.add(k)
                 held.append(h)
                 n += len(h)
-                if n > 1_500_000:
+                if n > 4_000_000:
                     yield recurring(held)
                     held, n = [], 0
         if held:
@@ -153,9 +157,17 @@ def _classes(bucket: int) -> int:
     return max(1, (1 << bucket) // 4)
 
 
+def _placed(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and list number of index keys."""
+    key = _mix(key)
+    return key % U(buckets), key >> U(32)
+
+
 class Indexer:
-    def __init__(self, frequent: np.ndarray):
-        self.frequent = frequent  # sorted
+    """frequent: shingles, lists: lists (bucket and number in one) of further ones; both sorted."""
+
+    def __init__(self, frequent: np.ndarray, lists: np.ndarray, buckets: int):
+        self.frequent, self.lists, self.buckets = frequent, lists, buckets
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(frequent >> U(44)).astype(np.int64)] = True
 
@@ -165,6 +177,12 @@ class Indexer:
             i = np.searchsorted(self.frequent, h[at])
             i[i == len(self.frequent)] = 0
             out[at] = self.frequent[i] == h[at]
+        if len(self.lists):
+            bucket, k = _placed(h, self.buckets)
+            own = (bucket << U(32)) | k
+            i = np.searchsorted(self.lists, own)
+            i[i == len(self.lists)] = 0
+            out |= self.lists[i] == own
         return out
 
     def keys(self, h: np.ndarray) -> tuple[np.ndarray, int]:
@@ -196,8 +214,8 @@ class Indexer:
         return np.concatenate(out), 1 << 31
 
 
-def _postings(batches: Iterator[pd.DataFrame], frequent: np.ndarray, buckets: int) -> Iterator[pd.DataFrame]:
-    sh, index = Shingler(), Indexer(frequent)
+def _postings(batches: Iterator[pd.DataFrame], index: Indexer, buckets: int) -> Iterator[pd.DataFrame]:
+    sh = Shingler()
     for rows in batches:
         keys, ids, ns, ws, count = [], [], [], [], []
         for i, t in _texts(rows):
@@ -209,9 +227,9 @@ def _postings(batches: Iterator[pd.DataFrame], frequent: np.ndarray, buckets: in
             continue
         key = np.concatenate(keys)
         out = np.empty(len(key), POSTING)
-        key = _mix(key)
-        bucket = (key % U(buckets)).astype(np.int64)
-        out["k"], out["id"], out["n"], out["w"] = key >> U(32), np.repeat(ids, count), np.repeat(ns, count), np.repeat(ws, count)
+        bucket, number = _placed(key, buckets)
+        bucket = bucket.astype(np.int64)
+        out["k"], out["id"], out["n"], out["w"] = number, np.repeat(ids, count), np.repeat(ns, count), np.repeat(ws, count)
         order = np.argsort(bucket, kind="stable")
         out, bucket = out[order], bucket[order]
         starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
@@ -243,6 +261,9 @@ def _lists(key: tuple, rows: pd.DataFrame, buckets: int) -> pd.DataFrame:
     for s, m in zip(starts[size > LIST], size[size > LIST], strict=True):
         out["kind"].append(1), out["part"].append(int(xxhash.xxh3_64_intdigest(p["id"][s : s + m].tobytes()) % buckets))
         out["blob"].append(p["id"][s : s + m].tobytes())
+        if (p["w"][s : s + m] < 1 << 31).any():  # a document without frequent shingles: the list is one shingle's
+            out["kind"].append(2), out["part"].append(0)
+            out["blob"].append(np.array([int(key[0]) << 32 | int(p["k"][s]), m], U).tobytes())
     q = p[(per > 1) & (per <= LIST)]
     found = []
     for lag in range(1, LIST):
@@ -274,7 +295,11 @@ def _lists(key: tuple, rows: pd.DataFrame, buckets: int) -> pd.DataFrame:
 
 
 def _candidates(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs that still can be similar (kind 0), and each different long list (kind 1) as it is."""
+    """Pairs that still can be similar (kind 0); each different long list (kind 1) as it is;
+    the numbers of long lists of single shingles (kind 2; b: their documents)."""
+    if key[0] == 2:
+        x = np.concatenate([np.frombuffer(b, U) for b in rows.blob]).reshape(-1, 2)
+        return pd.DataFrame({"a": pd.Series([None], dtype="Int64"), "b": pd.Series([int(x[:, 1].sum())], dtype="Int64"), "blob": [x[:, 0].tobytes()]})
     if key[0] == 1:
         blobs = rows.blob.drop_duplicates()
         return pd.DataFrame({"a": pd.Series(None, blobs.index, "Int64"), "b": pd.Series(None, blobs.index, "Int64"), "blob": blobs})
@@ -436,17 +461,24 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     each = materialize(each.join(same, ["key", "salt"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "reps")
     often = survey.filter("token is not null").groupBy("token").agg(F.sum("cnt").alias("cnt")).filter(F.col("cnt") >= FREQUENT)
     often = often.orderBy(F.desc("cnt"), "token").limit(MOST_FREQUENT).select("token").toPandas()
-    frequent = spark.sparkContext.broadcast(np.sort(often.token.to_numpy(np.int64).view(U)))
-    total = each.agg(F.sum("n")).first()[0] or 0
-    buckets = max(parts(spark), -(-total // (4 * BUCKET)))
+    frequent = np.sort(often.token.to_numpy(np.int64).view(U))
+    n_docs, total = each.agg(F.count("*"), F.sum("n")).first()
+    buckets = max(parts(spark), -(-(total or 0) // (4 * BUCKET)))
     single = without(docs, each.filter("doc_id <> rep").select("doc_id").distinct())
-    postings = single.mapInPandas(lambda x: _postings(x, frequent.value, buckets), "bucket long, blob binary")
-    lists = postings.groupBy("bucket").applyInPandas(lambda k, x: _lists(k, x, buckets), "kind int, part long, blob binary")
-    found = materialize(lists.groupBy("kind", "part").applyInPandas(_candidates, "a long, b long, blob binary"), "candidates")
+    missed = np.empty(0, U)
+    for again in range(AGAIN + 1):
+        index = spark.sparkContext.broadcast(Indexer(frequent, missed, buckets))
+        postings = single.mapInPandas(lambda x, i=index: _postings(x, i.value, buckets), "bucket long, blob binary")
+        lists = postings.groupBy("bucket").applyInPandas(lambda k, x: _lists(k, x, buckets), "kind int, part long, blob binary")
+        found = materialize(lists.groupBy("kind", "part").applyInPandas(_candidates, "a long, b long, blob binary"), "candidates")
+        more = found.filter("a is null and b is not null").select("b", "blob").toPandas()  # one row
+        if again == AGAIN or not len(more) or more.b.sum() * MISSED <= n_docs or len(missed) >= MOST_FREQUENT:
+            break
+        missed = np.unique(np.concatenate([missed, *(np.frombuffer(x, U) for x in more.blob)]))[:MOST_FREQUENT]
     pairs = found.filter("a is not null").select("a", "b")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     sets = materialize(only(docs, ids).mapInPandas(_sets, "id long, hashes binary").dropDuplicates(["id"]), "sets")
-    links = materialize(_linked(pairs, sets).unionByName(_work_off(found.filter("blob is not null"), docs)), "links")
+    links = materialize(_linked(pairs, sets).unionByName(_work_off(found.filter("blob is not null and b is null"), docs)), "links")
     roots = components(links)
     return (
         each.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
@@ -472,3 +504,26 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op6_jaccard_join": op6_jaccard_join}
+ORACLE_SQL = {
+    "op6_jaccard_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents WHERE doc_id IS NOT NULL
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w
+), n AS (
+  SELECT doc_id, count(*) AS c FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), l AS (
+  SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * p.c >= 75 * (nx.c + ny.c - p.c)
+), e AS (
+  SELECT x, y FROM l UNION ALL SELECT y, x FROM l
+), r AS (
+  SELECT x AS a, y AS b FROM e UNION SELECT r.a, e.y FROM r JOIN e ON r.b = e.x
+), m AS (
+  SELECT a, min(b) AS b FROM r GROUP BY a
+)
+SELECT w.doc_id, coalesce(n.c, 0) AS n_shingles, least(w.doc_id, coalesce(m.b, w.doc_id)) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.a = w.doc_id
+""",
+}

@@ -14,6 +14,7 @@ bounded by the byte alphabet (ALPHABET ** 3 per language), not by the corpus.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,8 @@ from .common import bucket_crc, materialize, read, small_batches, without
 START = b"\n\n"
 #: Bytes coded at a time.
 CHUNK = 1 << 20
+#: Characters whose contexts are counted at a time.
+HELD = 16 << 20
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -49,12 +52,24 @@ def grams(texts: list[bytes], size: int = ALPHABET) -> np.ndarray:
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for rows in batches:
-        for lang, texts in rows.groupby("lang").text:
-            codes = grams([t.encode() for t in texts])
-            n = np.bincount(codes, minlength=ALPHABET**3)
+    held: defaultdict[str, list[bytes]] = defaultdict(list)
+    size = 0
+
+    def counted() -> Iterator[pd.DataFrame]:
+        for lang, texts in held.items():
+            n = np.bincount(grams(texts), minlength=ALPHABET**3)
             seen = np.flatnonzero(n)
             yield pd.DataFrame({"lang": lang, "gram": seen, "n": n[seen]})
+        held.clear()
+
+    for rows in batches:
+        for lang, text in zip(rows.lang, rows.text, strict=True):
+            held[lang].append(text.encode())
+            size += len(text)
+        if size > HELD:
+            yield from counted()
+            size = 0
+    yield from counted()
 
 
 def learn(docs: DataFrame) -> DataFrame:
