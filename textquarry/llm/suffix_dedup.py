@@ -203,8 +203,18 @@ def _segment_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _segment_frame(blobs: list[np.ndarray], ids: list[int], hashes: list[int]) -> pd.DataFrame:
-    each, x = [len(b) for b in blobs], np.concatenate(blobs)
-    return pd.DataFrame({"did": np.repeat(ids, each), "th": np.repeat(hashes, each), "anchor": x[:, 0], "seg": x[:, 1], "first": x[:, 2], "windows": x[:, 3], "at": x[:, 4]})
+    """A row per document and different segment, with all the places where it begins."""
+    doc, x = np.repeat(np.arange(len(blobs)), [len(b) for b in blobs]), np.concatenate(blobs)
+    order = np.lexsort((x[:, 2], x[:, 1], x[:, 0], doc))
+    doc, x = doc[order], x[order]
+    key = np.stack([doc, x[:, 0], x[:, 1]], 1)
+    starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1)])
+    firsts = x[:, 2].astype(np.int32)
+    d, x = doc[starts], x[starts]
+    return pd.DataFrame({
+        "did": np.array(ids)[d], "th": np.array(hashes)[d], "anchor": x[:, 0], "seg": x[:, 1], "first": x[:, 2], "windows": x[:, 3], "at": x[:, 4],
+        "n": np.diff(np.r_[starts, len(firsts)]), "firsts": [f.tobytes() for f in np.split(firsts, starts[1:])],
+    })
 
 
 def _cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -274,7 +284,8 @@ def _strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             data = _bytes(text)
             edge = np.zeros(len(data) + 1, np.int64)
             for x in found if found is not None else ():
-                r = np.frombuffer(x["runs"], np.int32).reshape(-1, 2) + x["first"]
+                r = np.frombuffer(x["runs"], np.int32).reshape(-1, 2)
+                r = (np.frombuffer(x["firsts"], np.int32)[:, None, None] + r).reshape(-1, 2)
                 np.add.at(edge, r[:, 0], 1)
                 np.add.at(edge, np.minimum(r[:, 1] - 1 + LENGTH, len(data)), -1)
             gone = np.cumsum(edge[:-1]) > 0
@@ -296,8 +307,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     # a row is known by its identifier and a hash of its text, so repeated identifiers do no harm
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("did"), F.xxhash64("text").alias("th"))
     long_enough = docs.filter(F.octet_length("text") >= LENGTH)
-    occurs = materialize(long_enough.select("did", "th", "text").mapInPandas(_segment_rows, "did long, th long, anchor long, seg long, first long, windows long, at long"), "segments")
-    each = occurs.groupBy("anchor", "seg").agg(F.count("*").alias("n"), F.min(F.struct("did", "th", "first", "windows", "at")).alias("one"))
+    occurs = materialize(long_enough.select("did", "th", "text").mapInPandas(_segment_rows, "did long, th long, anchor long, seg long, first long, windows long, at long, n long, firsts binary"), "segments")
+    each = occurs.groupBy("anchor", "seg").agg(F.sum("n").alias("n"), F.min(F.struct("did", "th", "first", "windows", "at")).alias("one"))
     per = each.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).filter("n > 1")
     each = materialize(each.withColumnRenamed("n", "own").join(per, "anchor"), "anchors")
     whole = each.filter("own > 1").select("anchor", "seg", _pack(F.lit(0), F.col("one.windows")).alias("runs"))
@@ -315,9 +326,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     hot = digests.withColumn("range", ranges).groupBy("range").applyInPandas(_merge_digests, "anchor long, seg long, window int")
     hot = hot.groupBy("anchor", "seg").applyInPandas(_gather, "anchor long, seg long, runs binary")
     # a segment that occurs twice needs no further finds
-    some = found.unionByName(hot).join(whole.select("anchor", "seg"), ["anchor", "seg"], "left_anti").unionByName(whole)
-    gone = occurs.select("did", "th", "anchor", "seg", "first").join(some, ["anchor", "seg"])
-    gone = materialize(gone.distinct().groupBy("did", "th").agg(F.collect_list(F.struct("first", "runs")).alias("found")), "found")
+    some = materialize(found.unionByName(hot).join(whole.select("anchor", "seg"), ["anchor", "seg"], "left_anti").unionByName(whole), "repeats")
+    # a segment that very many documents hold makes a skewed join, which is split since both sides are plainly shuffled
+    gone = occurs.select("did", "th", "anchor", "seg", "firsts").join(some, ["anchor", "seg"])
+    gone = materialize(gone.select("did", "th", "firsts", "runs").distinct().groupBy("did", "th").agg(F.collect_list(F.struct("firsts", "runs")).alias("found")), "found")
     changed = _with(docs, gone).select("doc_id", "text", "found").mapInPandas(_strip, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     text = F.coalesce(F.col("text"), F.lit(""))
     zero = F.lit(0).cast("long")
