@@ -76,13 +76,12 @@ def source_weights(counts: DataFrame, *, max_epochs: float | None = None, entrop
     raised = F.aggregate(F.transform("shares", lambda s: F.pow(s, F.col("alpha"))), F.lit(0.0), lambda x, y: x + y)
     target = target.withColumn("norm", raised)
     least = F.array_max(F.transform("ts", lambda t: t / (F.pow(t / F.col("total"), F.col("alpha")) / F.col("norm"))))
-    target = target.select("total", "alpha", "norm", (F.lit(float(budget)) if budget is not None else least).alias("budget"))
-    weight = F.pow(F.col("tokens") / F.col("total"), F.col("alpha")) / F.col("norm")
-    return (
-        per.join(F.broadcast(target))  # a single row
-        .withColumn("weight", F.when(F.col("tokens") > 0, weight).otherwise(F.lit(0.0)))
-        .select("source", "tokens", "n_docs", "alpha", "weight", F.greatest(F.round(F.col("weight") * F.col("budget")), F.lit(0.0)).cast("long").alias("quota"))
-    )
+    # one row of four numbers
+    t = target.select("total", "alpha", "norm", (F.lit(float(budget)) if budget is not None else least).alias("budget")).first()
+    total, alpha, norm, budget = (F.lit(t[k]).cast("double") for k in ("total", "alpha", "norm", "budget"))
+    weight = F.when(F.col("tokens") > 0, F.pow(F.col("tokens") / total, alpha) / norm).otherwise(F.lit(0.0))
+    quota = F.greatest(F.round(weight * budget), F.lit(0.0)).cast("long")
+    return per.select("source", "tokens", "n_docs", alpha.alias("alpha"), weight.alias("weight"), quota.alias("quota"))
 
 
 def _hash(seed: int, *cols: Column) -> Column:
