@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from textquarry import catalog
+from textquarry import catalog, catalog_code  # noqa: F401
 
 TABLES = "documents benchmark labels pages conversations events embeddings".split()
 SLOW = {"pagerank", "repo_map"}
