@@ -138,3 +138,14 @@ def test_lm_score(spark, docs, empty):
     assert by[0].train_tokens == sum(len((t or "").split()) + 1 for i, t, *_ in ROWS if i not in (0, None))
     assert all(r.score < 0 and r.base_score < 0 for r in got)
     assert lm_score.score_texts(empty, F.lit(True)).collect() == []
+
+
+def test_written_tables_go(spark):
+    from textquarry.llm import common
+
+    rows_ = common.materialize(spark.range(3), "three")
+    assert rows_.count() == 3
+    common.clean_up(spark)
+    spark.catalog.clearCache()
+    with pytest.raises(Exception):  # noqa: B017
+        spark.read.parquet(rows_.inputFiles()[0]).count()
