@@ -149,3 +149,8 @@ def test_written_tables_go(spark):
     spark.catalog.clearCache()
     with pytest.raises(Exception):  # noqa: B017
         spark.read.parquet(rows_.inputFiles()[0]).count()
+
+
+@pytest.mark.parametrize("text,found", [("", False), (None, False), ("½ ² 12 _", False), ("½ é", True), ("12a", True)])
+def test_letters(text, found):
+    assert langid.has_letter(text) == found

@@ -92,6 +92,12 @@ def _blend(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
     return np.where(n > 0, p, shorter)
 
 
+def has_letter(text: str | None) -> bool:
+    """The pattern also finds numerals that are no digits, such as fractions."""
+    m = LETTER.search(text) if text else None
+    return m is not None and (m[0].isalpha() or any(map(str.isalpha, text)))
+
+
 class Model:
     """Code lengths (bits) of symbol after context, for all languages, over the symbols seen in learning."""
 
@@ -134,7 +140,7 @@ class Model:
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        usable = [t is not None and LETTER.search(t) is not None and bool(self.langs) for t in texts]
+        usable = [has_letter(t) and bool(self.langs) for t in texts]
         bits = self.code_lengths([t.encode() if u else b"" for t, u in zip(texts, usable, strict=True)])
         if not self.langs:
             return ["und"] * len(texts), [0.0] * len(texts)
