@@ -115,6 +115,17 @@ def subword_df(spark, sf_dir):
     return co.subword_frequency(co.documents(spark, sf_dir))
 
 
+@query("""SELECT regexp_replace(url, '^[a-z]+://', '') || '.' || page_id || '.html' AS path, regexp_extract(h, '[A-Za-z_][A-Za-z0-9_]{2,}') AS name, h AS signature
+FROM (SELECT *, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS h FROM pages) WHERE regexp_extract(h, '[A-Za-z_][A-Za-z0-9_]{2,}') <> ''""")
+def page_symbols(spark, sf_dir):
+    return co.pages(spark, sf_dir).symbols.select("path", "name", "signature")
+
+
+@query(f"WITH {SYMBOLS} SELECT id, 'L' || line || '-' || line || ' ' || txt AS text FROM located")
+def locate_lines(spark, sf_dir):
+    return read.locate(co.documents(spark, sf_dir))
+
+
 # Filters, hits and counts.
 
 SCOPE = ["src1*/en/**", "src2", "!**/1*.txt"]
