@@ -49,7 +49,7 @@ PERCENT = 75
 FREQUENT, MOST_FREQUENT = 32, 1 << 20
 #: Documents of a list whose pairs are made at once.
 LIST = 64
-#: The index is made again, at most AGAIN times, if one document in MISSED stands in a long list of a single shingle.
+#: The index is made again, at most AGAIN times, if long lists of single shingles have one document in MISSED and make groups beyond BLOCK.
 AGAIN, MISSED = 3, 64
 #: Documents of a group that one task takes; those compared first in larger groups.
 BLOCK, LEADERS = 1024, 32
@@ -399,15 +399,20 @@ def _own(df: DataFrame) -> DataFrame:
     return df.toDF(*(f"_{c}" for c in df.columns)).toDF(*df.columns)
 
 
-def _work_off(lists: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (a, b) within the groups that long lists make (module's docstring)."""
+def _groups(lists: DataFrame) -> DataFrame:
+    """id, root, lists, m, blocks, block of the documents in long lists: their group, its
+    size, and the block they are dealt to; lists: how many long lists hold them."""
     stars = materialize(lists.select("blob").mapInPandas(_stars, "a long, b long, lists long"), "lists")
     central = stars.groupBy("b").agg(F.sum("lists").alias("lists")).withColumnRenamed("b", "id")
     roots = components(stars.select("a", "b"))
     dense = central.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     sizes = dense.groupBy("root").agg(F.count("*").alias("m"))
     blocks = F.ceil(F.col("m") / BLOCK).cast("long")
-    dense = materialize(dense.join(sizes, "root").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), "blocks")), "dense")
+    return materialize(dense.join(sizes, "root").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), "blocks")), "dense")
+
+
+def _work_off(dense: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) within the groups that long lists make (module's docstring)."""
     if dense.isEmpty():
         return dense.select(F.col("id").alias("a"), F.col("id").alias("b"))
     sets = only(docs, dense.select(F.col("id").alias("doc_id"))).mapInPandas(_sets, "id long, hashes binary").dropDuplicates(["id"])
@@ -472,13 +477,15 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         lists = postings.groupBy("bucket").applyInPandas(lambda k, x: _lists(k, x, buckets), "kind int, part long, blob binary")
         found = materialize(lists.groupBy("kind", "part").applyInPandas(_candidates, "a long, b long, blob binary"), "candidates")
         more = found.filter("a is null and b is not null").select("b", "blob").toPandas()  # one row
-        if again == AGAIN or not len(more) or more.b.sum() * MISSED <= n_docs or len(missed) >= MOST_FREQUENT:
+        dense = _groups(found.filter("blob is not null and b is null"))
+        few = not len(more) or more.b.sum() * MISSED <= n_docs or len(missed) >= MOST_FREQUENT
+        if again == AGAIN or few or dense.filter("blocks > 1").isEmpty():
             break
         missed = np.unique(np.concatenate([missed, *(np.frombuffer(x, U) for x in more.blob)]))[:MOST_FREQUENT]
     pairs = found.filter("a is not null").select("a", "b")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     sets = materialize(only(docs, ids).mapInPandas(_sets, "id long, hashes binary").dropDuplicates(["id"]), "sets")
-    links = materialize(_linked(pairs, sets).unionByName(_work_off(found.filter("blob is not null and b is null"), docs)), "links")
+    links = materialize(_linked(pairs, sets).unionByName(_work_off(dense, docs)), "links")
     roots = components(links)
     return (
         each.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
