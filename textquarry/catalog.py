@@ -560,8 +560,8 @@ def _edited(spark, sf_dir):
 @query(f"WITH {NUMBERED}, e AS (SELECT path, CASE WHEN d % 10 = 5 THEN text || ' freshly_added' ELSE text END AS text FROM v WHERE d % 10 <> 7) SELECT DISTINCT path, substr(sha256(text), 1, 16) AS content_hash, unnest(regexp_extract_all(lower(text), '[a-z_][a-z0-9_]{{2,}}')) AS token FROM e")
 def incremental_tokens(spark, sf_dir):
     old, new = (rf.hashed(f) for f in _edited(spark, sf_dir))
-    tokens = co.token_rows(old).join(old.select("path", "content_hash"), "path").select("path", "content_hash", "token")
-    return rf.refresh_tokens(new, tokens)
+    tokens = old.select("path", "content_hash", F.explode(tx.identifiers(F.col("text"))).alias("token"))
+    return rf.refresh_tokens(new, tokens, old)
 
 
 @query("""WITH c AS (SELECT 'u' || user_id AS path, event_type, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events)
@@ -586,6 +586,3 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return dict(ORACLES)
-
-
-__all__ = ["oracle_sql", "queries", "tx"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -99,16 +100,21 @@ def semantic(whole: Corpus, scoped: Corpus, q: str, k: int) -> DataFrame:
     words = tx.py_subwords(q)
     if not words:
         return scoped.located.select("id", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("rank")).filter("false")
-    bag = F.array_distinct(tx.subwords(F.concat_ws(" ", "name", "signature")))
-    wanted = F.array(*[F.lit(w) for w in sorted(set(words))])
-    # N and the frequency of each word of the query: one aggregate over the symbols
-    has = [F.count_if(F.array_contains("bag", w)) for w in sorted(set(words))]
-    stats = whole.symbols.select(bag.alias("bag")).agg(F.count("*").alias("n"), *[h.alias(f"df{i}") for i, h in enumerate(has)]).first()
-    weight = {w: words.count(w) * (math.log(stats["n"] / stats[f"df{i}"]) + 1) for i, w in enumerate(sorted(set(words))) if stats[f"df{i}"]}
+    text = F.concat_ws(" ", "name", "signature")
+    bag = F.array_distinct(tx.subwords(text))
+    distinct = sorted(set(words))
+    wanted = F.array(*[F.lit(w) for w in distinct])
+    # a subword is a piece of the text in lower case, so most symbols need not be split
+    maybe = reduce(lambda a, b: a | b, (F.contains(F.lower(text), F.lit(w)) for w in distinct))
+    # N and the frequency of each word of the query: aggregates over the symbols
+    n = whole.symbols.count()
+    has = [F.count_if(F.array_contains("bag", w)).alias(f"df{i}") for i, w in enumerate(distinct)]
+    stats = whole.symbols.filter(maybe).select(bag.alias("bag")).agg(*has).first()
+    weight = {w: words.count(w) * (math.log(n / stats[f"df{i}"]) + 1) for i, w in enumerate(distinct) if stats[f"df{i}"]}
     score = F.lit(0.0)
     for w, x in sorted(weight.items()):
         score = score + F.when(F.array_contains("bag", w), F.lit(x)).otherwise(F.lit(0.0))
-    found = scoped.located.select("id", bag.alias("bag")).filter(F.arrays_overlap("bag", wanted)).select("id", score.alias("score"))
+    found = scoped.located.filter(maybe).select("id", bag.alias("bag")).filter(F.arrays_overlap("bag", wanted)).select("id", score.alias("score"))
     return ranked(found.groupBy("id").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "id").limit(k), F.desc("score"), "id")
 
 
