@@ -113,16 +113,21 @@ def _surveyed(**columns) -> pd.DataFrame:
     return pd.DataFrame({c: pd.Series(columns.get(c), rows, object if c == "key" else "Int64") for c in ("doc_id", "key", "n", "token", "cnt")})
 
 
+#: Shingles among which recurring ones are looked for at a time.
+WINDOW = 4_000_000
+
+
 def _survey(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """A row per document (key of its words, set size), and shingles that recur within the task."""
-    sh, seen = Shingler(), set()
-    for rows in batches:
-        ids, keys, sizes, held, n = [], [], [], [], 0
+    sh, seen, held, n = Shingler(), set(), [], 0
 
-        def recurring(held: list) -> pd.DataFrame:
-            u, c = np.unique(np.concatenate(held), return_counts=True)
-            return _surveyed(token=u[c > 1].view(np.int64), cnt=c[c > 1])
+    def recurring() -> pd.DataFrame:
+        u, c = np.unique(np.concatenate(held), return_counts=True)
+        held.clear()
+        return _surveyed(token=u[c > 1].view(np.int64), cnt=c[c > 1])
 
+    for rows in batches:
+        ids, keys, sizes = [], [], []
         for i, t in _texts(rows):
             w = sh.split(t)
             h = sh.shingles(w)
@@ -132,14 +137,14 @@ def _survey(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 seen.add(k)
                 held.append(h)
                 n += len(h)
-                if n > 4_000_000:
-                    yield recurring(held)
-                    held, n = [], 0
-        if held:
-            yield recurring(held)
+        if n > WINDOW:  # over batches, else few would recur
+            yield recurring()
+            n = 0
         if len(seen) > 1 << 16:
             seen.clear()
         yield _surveyed(doc_id=ids, key=keys, n=sizes)
+    if held:
+        yield recurring()
 
 
 def least_overlap(n: np.ndarray) -> np.ndarray:
