@@ -358,7 +358,7 @@ def resolve_path(spark, sf_dir):
 # Graphs.
 
 REF = "Licensed"
-MIN = 8
+MIN = 3
 USED, USER = "worthless", "The"
 
 
