@@ -37,6 +37,13 @@ URL_ESCAPE = re.compile(rb"%([0-9A-Fa-f]{2})")
 UNICODE_ESCAPE = re.compile(rb"\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]{1,6})\}|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
 #: The shortest secret, 16 characters, takes 22 in base64.
 BASE64 = re.compile(rb"[A-Za-z0-9+/_-]{22,}={0,2}")
+#: Lines of base64, joined over the line ends.
+WRAPPED = re.compile(rb"[A-Za-z0-9+/_-]{22,}(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)+={0,2}")
+LINE = re.compile(rb"[A-Za-z0-9+/_=-]+")
+#: The text in what is decoded at another phase; the shortest secret has 16 characters.
+PIECE = re.compile(rb"[\t\n\r\x20-\x7e]{16,}")
+#: Where compressed data may begin.
+MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
 #: A compressed layer that grows beyond this is not unwrapped (a decompression bomb).
 MAX_LAYER = 64 << 20
 
@@ -53,28 +60,56 @@ def scan(data: bytes) -> list[tuple[int, int, int]]:
     return found
 
 
-def _decompress(data: bytes) -> bytes | None:
-    def inflate(wbits: int) -> bytes:
-        d = zlib.decompressobj(wbits)
-        out = d.decompress(data, MAX_LAYER + 1)
-        return out if d.eof or len(out) > MAX_LAYER else b""
+def _zstd(data: memoryview) -> tuple[bytes, bytes]:
+    d, out, size = zstandard.ZstdDecompressor().decompressobj(), [], 0
+    for at in range(0, len(data), 1024):  # a piece cannot grow beyond some MB
+        out.append(d.decompress(data[at : at + 1024]))
+        size += len(out[-1])
+        if d.eof:
+            return b"".join(out), d.unused_data + bytes(data[at + 1024 :])
+        if size > MAX_LAYER:
+            break
+    return b"".join(out), b""
+
 
+def _member(data: memoryview) -> tuple[bytes, bytes] | None:
+    """What the stream at the beginning of data unpacks to, and the bytes after it."""
     try:
         if data[:2] == b"\x1f\x8b":
-            out = inflate(31)
+            d = zlib.decompressobj(31)
         elif data[:1] == b"\x78" and len(data) > 6 and int.from_bytes(data[:2]) % 31 == 0:
-            out = inflate(15)
+            d = zlib.decompressobj(15)
         elif data[:3] == b"BZh":
-            out = bz2.BZ2Decompressor().decompress(data, MAX_LAYER + 1)
+            d = bz2.BZ2Decompressor()
         elif data[:6] == b"\xfd7zXZ\0":
-            out = lzma.LZMADecompressor().decompress(data, MAX_LAYER + 1)
+            d = lzma.LZMADecompressor()
         elif data[:4] == b"\x28\xb5\x2f\xfd":
-            out = zstandard.ZstdDecompressor().stream_reader(data).read(MAX_LAYER + 1)
+            out, rest = _zstd(data)
+            return (out, rest) if len(out) <= MAX_LAYER else None
         else:
             return None
+        out = d.decompress(data, MAX_LAYER + 1)
     except (zlib.error, OSError, lzma.LZMAError, zstandard.ZstdError, EOFError, ValueError):
         return None
-    return out if 0 < len(out) <= MAX_LAYER else None
+    whole = d.eof or data[:1] in (b"B", b"\xfd")
+    return (out, d.unused_data) if whole and len(out) <= MAX_LAYER else None
+
+
+def _decompress(data: bytes) -> Iterator[tuple[bytes, int, int]]:
+    """What compressed streams at any place unpack to, streams in a row as one; where they begin and end."""
+    view, at = memoryview(data), 0
+    while m := MAGIC.search(data, at):
+        begin = at = m.start()
+        out = b""
+        while (member := _member(view[at:])) is not None:
+            if len(out) + len(member[0]) > MAX_LAYER:
+                yield out, begin, at
+                out, begin = b"", at
+            out += member[0]
+            at = len(data) - len(member[1])
+        if out:
+            yield out, begin, at
+        at = max(at, m.start() + 1)
 
 
 def _is_text(data: bytes) -> bool:
@@ -133,28 +168,52 @@ def _unicode(m: re.Match) -> bytes:
     return chr(code).encode(errors="surrogatepass") if code < 0x110000 else m[0]
 
 
+def _raw(m: re.Match) -> bytes:
+    return bytes([int(m[3], 16)]) if m[3] else _unicode(m)
+
+
 def _decode(run: bytes) -> bytes | None:
     run = run.rstrip(b"=").replace(b"-", b"+").replace(b"_", b"/")
     if len(run) % 4 == 1:
-        return None
+        run = run[:-1]
     try:
         return base64.b64decode(run + b"=" * (-len(run) % 4))
     except binascii.Error:
         return None
 
 
+def _base64(run: bytes, span) -> Iterator[_Layer]:
+    """A run as a whole if it is text; otherwise the text and the compressed streams in it at each phase,
+    since '/', '-', '_' and letters before the code look as if they belonged to it.  span: of a part of the run."""
+    for phase in range(4):
+        out = _decode(run[phase:])
+        if not out:
+            continue
+        if phase == 0 and _is_text(out):
+            yield _Layer(out, *span(0, len(run)))
+            return
+        place = lambda a, b, phase=phase: span(phase + a // 3 * 4, min(len(run), phase + -(-b // 3) * 4))
+        for m in PIECE.finditer(out):
+            yield _Layer(m[0], *place(*m.span()))
+        for data, a, b in _decompress(out):
+            yield _Layer(data, *place(a, b))
+
+
 def unwrap(layer: _Layer) -> Iterator[_Layer]:
     data = layer.data
-    if (out := _decompress(data)) is not None:
-        yield _Layer(out, *layer.span(0, len(data)))
+    for out, a, b in _decompress(data):
+        yield _Layer(out, *layer.span(a, b))
     if b"%" in data:
         yield from _unescape(layer, URL_ESCAPE, _url)
     if b"\\" in data or b"&#" in data:
         yield from _unescape(layer, UNICODE_ESCAPE, _unicode)
+        if b"\\x" in data:  # bytes of a stream or of UTF-8, not code points
+            yield from _unescape(layer, UNICODE_ESCAPE, _raw)
     for m in BASE64.finditer(data):
-        out = _decode(m[0])
-        if out is not None and (_is_text(out) or _decompress(out) is not None):
-            yield _Layer(out, *layer.span(*m.span()))
+        yield from _base64(m[0], lambda a, b, at=m.start(): layer.span(at + a, at + b))
+    for m in WRAPPED.finditer(data):
+        places = [i for x in LINE.finditer(data, *m.span()) for i in range(*x.span())]
+        yield from _base64(bytes(data[i] for i in places), lambda a, b, p=places: layer.span(p[a], p[b - 1] + 1))
 
 
 def find(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int]:
