@@ -327,37 +327,53 @@ def test_langid_held_out(spark, sf, tables):
     assert all(got.loc[i].held_out == (crc(i, 4) == 2) for i, *_ in tables["docs"])
 
 
-def test_langid_code_lengths():
-    """The table against prediction by partial matching done step by step."""
-    import pandas as pd
-
-    train = [b"the cat sat on the mat. the end", b"then the hat"]
-    codes, n = np.unique(langid.grams(train), return_counts=True)
-    model = langid.Model(pd.DataFrame({"lang": "xx", "gram": codes, "n": n}))
-    sym = lambda b: (langid.START + b).translate(model.fold)
-    count = collections.Counter()
-    joined = (langid.START + langid.START.join(train)).translate(model.fold)
-    for i in range(2, len(joined)):
-        count[joined[i - 2 : i], joined[i]] += 1
-
-    def prob(context, s):
-        if context is None:
-            return 1 / model.size
-        after = collections.Counter()
-        for (c, x), k in count.items():
-            if c.endswith(context):
-                after[x] += k
-        shorter = context[1:] if context else None
-        if not after:
-            return prob(shorter, s)
-        left = sum(prob(shorter, x) for x in range(model.size) if x not in after)
-        total = after.total() + (len(after) if left > 0 else 0)
-        return after[s] / total if s in after else len(after) / total * prob(shorter, s) / left
-
-    text = b"that Zoo"
-    s = sym(text)
-    want = -sum(math.log2(prob(s[i - 2 : i], s[i])) for i in range(2, len(s)))
-    assert math.isclose(model.code_lengths([text, b"", text])[2][0], want, rel_tol=1e-5)
+@pytest.mark.parametrize("entries", [1 << 22, 3000, 900, 1])
+def test_langid_code_lengths(spark, monkeypatch, entries):
+    """The table against prediction by partial matching done step by step, for trees of any size."""
+    monkeypatch.setattr(langid, "ENTRIES", entries)
+    monkeypatch.setattr(langid, "GROW", 2)
+    train = {"xx": ["the cat sat on the mat. the end, the other mat", "then the hat, the mat", "the mat"], "yy": ["le chat et la souris, le chat", "le chat"]}
+    docs = spark.createDataFrame([(i, t, lang) for lang, ts in train.items() for i, t in enumerate(ts)], "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    tree = model.tree
+    known = {tree.context(x) for x in range(len(tree.parent))}
+    assert len(known) == len(tree.parent) and all(c[1:] in known for c in known if c)
+    assert max(map(len, known)) == (4 if entries > 3000 else max(map(len, known)))
+    assert entries == 1 << 22 or (len(known) - len([c for c in known if len(c) < 2])) * tree.size * 2 <= entries
+    if entries > 3000:  # all contexts that are frequent enough, and no others
+        n = collections.Counter()
+        for ts in train.values():
+            for t in ts:
+                s = langid.symbols_of([t.encode()], tree.fold).tolist()
+                n.update(tuple(s[i - 2 : i + 1]) for i in range(langid.ORDER, len(s)))
+        assert {c for c in known if len(c) == 3} == {c for c, k in n.items() if k >= 2 and c[1:] in known}
+    for number, lang in enumerate(sorted(train)):
+        count = collections.Counter()
+        for t in train[lang]:
+            s = langid.symbols_of([t.encode()], tree.fold).tolist()
+            for i in range(langid.ORDER, len(s)):
+                for k in range(langid.ORDER + 1):
+                    count[tuple(s[i - k : i]), s[i]] += 1
+
+        def prob(context, s):
+            if context is None:
+                return 1 / model.tree.size
+            after = collections.Counter({x: k for (c, x), k in count.items() if c == context})
+            shorter = context[1:] if context else None
+            if not after:
+                return prob(shorter, s)
+            left = sum(prob(shorter, x) for x in range(model.tree.size) if x not in after)
+            total = after.total() + (len(after) if left > 0 else 0)
+            return after[s] / total if s in after else len(after) / total * prob(shorter, s) / left
+
+        text = b"that Zoo, the chat"
+        s = langid.symbols_of([text], tree.fold).tolist()
+        want = 0.0
+        for i in range(langid.ORDER, len(s)):
+            context = next(c for k in range(langid.ORDER, -1, -1) if (c := tuple(s[i - k : i])) in known)
+            want -= math.log2(prob(context, s[i]))
+        monkeypatch.setattr(langid, "CHUNK", 5 if number else 1 << 20)
+        assert math.isclose(model.code_lengths([text, b"", text])[2][number], want, rel_tol=1e-4)
 
 
 def test_pipeline(spark, sf, tables):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -22,10 +23,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the cluster's, or our own where none is set (tests)."""
+    """The folder that all executors share: the cluster's, or, with local executors only, one of our own.
+
+    Raises RuntimeError on a cluster that names none, since a folder of the driver's would serve nobody."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="textquarry-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -65,11 +70,46 @@ def bucket_crc(doc_id: str, mod: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % mod
 
 
+#: Stands for a missing identifier where rows are told apart.
+NO_ID = (1 << 63) - 1
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, changed where a column (in any case) has one already."""
+    taken = {c.lower() for c in columns}
+    return [next(x for x in (n, *(f"{n}_{i}" for i in range(len(taken) + 1))) if x.lower() not in taken) for n in names]
+
+
+def with_row_key(docs: DataFrame, key: Column, id_name: str, key_name: str) -> DataFrame:
+    """docs with what tells its rows apart: the identifier (NO_ID for none) and a hash."""
+    return docs.withColumns({id_name: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), key_name: key})
+
+
+def join_rows(docs: DataFrame, rows: DataFrame, key: Column, how: str) -> DataFrame:
+    """docs' rows that are (left_semi) or are not (left_anti) among rows (did, key: as
+    with_row_key makes them of docs).  rows goes to every executor only if its counted
+    size is below BROADCAST_BYTES; otherwise both sides are shuffled."""
+    d, k = fresh(docs.columns, "row_id", "row_key")
+    rows = rows.select(F.col("did").alias(d), F.col("key").alias(k))
+    if rows.count() * 48 <= BROADCAST_BYTES:
+        rows = F.broadcast(rows)
+    return with_row_key(docs, key, d, k).join(rows, [d, k], how).select(*docs.columns)
+
+
+def text_key() -> Column:
+    return F.xxhash64(F.lit("text"), "text")
+
+
+def without_rows(docs: DataFrame, rows: DataFrame, key: Column | None = None) -> DataFrame:
+    """docs less the rows among rows (did, key); key is by default that of the text."""
+    return join_rows(docs, rows, text_key() if key is None else key, "left_anti")
+
+
 def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """docs less the rows whose key is in ids.  ids goes to every executor only if
     its counted size is below BROADCAST_BYTES; otherwise both sides are shuffled."""
     ids = ids.select(key)
-    if ids.count() * 16 <= BROADCAST_BYTES:
+    if ids.count() * 48 <= BROADCAST_BYTES:
         ids = F.broadcast(ids)
     return docs.join(ids, key, "left_anti").select(*docs.columns)
 
@@ -77,7 +117,7 @@ def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
 def only(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """docs' rows whose key is in ids; the same size check as without()."""
     ids = ids.select(key)
-    if ids.count() * 16 <= BROADCAST_BYTES:
+    if ids.count() * 48 <= BROADCAST_BYTES:
         ids = F.broadcast(ids)
     return docs.join(ids, key, "left_semi").select(*docs.columns)
 

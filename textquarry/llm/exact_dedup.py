@@ -17,10 +17,10 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialize, read, without
+from .common import NO_ID, SPACE, fresh, join_rows, materialize, read, with_row_key, without_rows
 
 #: Runs that meet in one task per round: three binomial rounds in one exchange.
 FAN = 8
@@ -65,24 +65,26 @@ def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in batches:
         for run in rows.run:
             e = list(ENTRY.iter_unpack(run))
-            yield pd.DataFrame({"digest": [x[0] for x in e], "keep_id": [x[3] for x in e], "keep_rid": [x[4] for x in e], "group_size": [x[5] for x in e]})
+            yield pd.DataFrame({"digest": [x[0] for x in e], "keep_neg": [x[2] for x in e], "keep_id": [x[3] for x in e], "keep_rid": [x[4] for x in e], "group_size": [x[5] for x in e]})
 
 
-def exact_dedup(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
+def _norm() -> Column:
+    return F.translate(F.coalesce(F.col("text"), F.lit("")), SPACE, "")
 
-    Texts are equal when identical after deleting white space.  Of equal texts
-    the row with the most code points in the original text stays, then the
-    smallest doc_id, then the first of repeated rows.  Null text counts as empty;
-    a white-space text equals an empty one.  Rows without a doc_id cannot be
-    referred to and are left out.  Other columns are ignored; an empty table
-    gives an empty result.
-    """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    norm = F.translate(text, SPACE, "")
+
+def _key() -> Column:
+    """Rows with one identifier and one key have equal texts of one length."""
+    return F.xxhash64(_norm(), F.length("text"))
+
+
+def _decide(docs: DataFrame) -> DataFrame:
+    """A row per row: did (NO_ID: none), key, digest, keep_id, group_size, kept, and
+    twin: not kept, though of one identifier, text and length with the one that is."""
+    text, norm = F.coalesce(F.col("text"), F.lit("")), _norm()
     members = materialize(
-        docs.filter("doc_id is not null").select(
-            F.col("doc_id").cast("long").alias("doc_id"),
+        docs.select(
+            F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"),
+            _key().alias("key"),
             F.unhex(F.sha2(norm.cast("binary"), 256)).alias("digest"),
             F.octet_length(norm).cast("long").alias("n_norm"),
             (-F.length(text)).cast("long").alias("neg_chars"),
@@ -95,12 +97,12 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     ranges = max(1, -(-n // RANGE_ROWS))
     nodes = max(1, -(-n // (ranges * RUN_ROWS)))
     low = F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long")
-    best = F.min(F.struct("neg_chars", "doc_id", "rid")).alias("best")
+    best = F.min(F.struct("neg_chars", "did", "rid")).alias("best")
     entries = members.groupBy("part", "digest", "n_norm").agg(best, F.count("*").alias("n"))
     runs = (
         entries.select(
             (low % ranges).cast("int").alias("rng"), (F.col("part") % nodes).alias("node"), "digest", "n_norm",
-            "best.neg_chars", "best.doc_id", "best.rid", "n",
+            "best.neg_chars", F.col("best.did").alias("doc_id"), "best.rid", "n",
         )
         .groupBy("rng", "node")
         .applyInPandas(_first_run, "rng int, node int, run binary")
@@ -108,26 +110,41 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     while nodes > 1:
         nodes = -(-nodes // FAN)
         runs = runs.withColumn("node", F.floor(F.col("node") / FAN).cast("int")).groupBy("rng", "node").applyInPandas(_round, "rng int, node int, run binary")
-    winners = runs.select("run").mapInPandas(_unpack, "digest binary, keep_id long, keep_rid long, group_size long")
+    winners = runs.select("run").mapInPandas(_unpack, "digest binary, keep_neg long, keep_id long, keep_rid long, group_size long")
     back = members.select("part", "digest").distinct().join(winners, "digest")
-    return members.join(back, ["part", "digest"]).select(
-        "doc_id", "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
-    )
+    kept = F.col("rid") == F.col("keep_rid")
+    twin = ~kept & (F.col("did") == F.col("keep_id")) & (F.col("neg_chars") == F.col("keep_neg"))
+    return members.join(back, ["part", "digest"]).select("did", "key", "digest", "keep_id", "group_size", kept.alias("kept"), twin.alias("twin"))
+
+
+def exact_dedup(docs: DataFrame) -> DataFrame:
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
+
+    Texts are equal when identical after deleting white space.  Of equal texts
+    the row with the most code points in the original text stays, then the
+    smallest doc_id (rows without one come last), then the first of repeated
+    rows.  Null text counts as empty; a white-space text equals an empty one.
+    Rows without a doc_id take part and are reported with a null one; keep_id is
+    null where such a row stays.  Other columns are ignored; an empty table gives
+    an empty result.
+    """
+    given = lambda c: F.nullif(F.col(c), F.lit(NO_ID))
+    return _decide(docs).select(given("did").alias("doc_id"), given("keep_id").alias("keep_id"), "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of equal texts, all columns kept.
 
-    Rows without a doc_id take no part and stay."""
-    decided = materialize(exact_dedup(docs), "exact")
-    stay = decided.filter("kept").select("doc_id")
-    kept = without(docs, decided.filter("not kept").select("doc_id").join(stay, "doc_id", "left_anti"))
-    if decided.groupBy("doc_id").count().filter("count > 1").isEmpty():
+    Rows are decided on one by one, so one identifier may stand for several texts;
+    rows that share identifier, text and length are one, any of which stays."""
+    decided = materialize(_decide(docs), "exact")
+    kept = without_rows(docs, decided.filter("not kept and not twin"), _key())
+    twins = decided.filter("twin").select("did", "key").distinct()
+    if twins.isEmpty():
         return kept
-    # repeated rows share a doc_id: one of each equal text stays
-    norm = F.translate(F.coalesce(F.col("text"), F.lit("")), SPACE, "")
-    name = next(x for x in (f"_norm{i}" for i in range(len(docs.columns) + 1)) if x not in docs.columns)
-    return kept.withColumn(name, F.sha2(norm.cast("binary"), 256)).dropDuplicates(["doc_id", name]).drop(name)
+    d, k = fresh(docs.columns, "row_id", "row_key")
+    same = with_row_key(join_rows(kept, twins, _key(), "left_semi"), _key(), d, k).dropDuplicates([d, k]).drop(d, k)
+    return without_rows(kept, twins, _key()).unionByName(same)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,7 +155,7 @@ QUERIES = {"op5_exact_dedup": op5_exact_dedup}
 ORACLE_SQL = {
     "op5_exact_dedup": r"""
 WITH t AS (
-  SELECT doc_id, coalesce(text, '') AS x FROM documents WHERE doc_id IS NOT NULL
+  SELECT doc_id, coalesce(text, '') AS x FROM documents
 ), h AS (
   SELECT doc_id, length(x) AS n, sha256(translate(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS s FROM t
 ), w AS (
