@@ -255,12 +255,21 @@ def test_suffix_dedup_hot_passages(spark, monkeypatch):
     texts |= {100: "ab" * 700, 101: "x" * 399, 102: "x" * 401, 103: noise(3000), 104: None}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
     want = brute_repeats(texts)
-    for hot in (2048, 4):
+    for hot, run in ((2048, 1 << 18), (4, 1 << 18), (4, 500)):  # in shards; in one run a task; in runs of several ranges
         monkeypatch.setattr(suffix_dedup, "HOT", hot)
+        monkeypatch.setattr(suffix_dedup, "RUN_WINDOWS", run)
         got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs).collect()}
         assert got == want
 
 
+def test_merge_of_runs():
+    rng = np.random.default_rng(4)
+    a, b = (np.sort(np.array([bytes(x) for x in rng.integers(0, 3, (n, 16), dtype=np.uint8)], "S16")) for n in (300, 77))
+    d, ref = suffix_dedup.merge((a, np.arange(300)), (b, 1000 + np.arange(77)))
+    assert (d == np.sort(np.concatenate([a, b]))).all()
+    assert all(d[k] == (a[x] if x < 1000 else b[x - 1000]) for k, x in enumerate(ref.tolist()))
+
+
 def test_suffix_array():
     rng = np.random.default_rng(3)
     data = bytes(rng.integers(1, 4, 3000, dtype=np.uint8)) * 2

@@ -6,16 +6,18 @@ GRAM bytes have the smallest hash, so equal windows have equal anchors at the
 same offset.  Neighbouring windows with one anchor make a segment.  Anchors that
 occur once in the corpus are done with; segments of the others meet by anchor:
 
-* equal segments are one, and if they are several, all their windows repeat;
+* equal segments are one, and if they are several, all their windows repeat
+  (equal: 64 bits of a hash of the anchor's bytes and 64 of one of all bytes are;
+  only segments of one anchor are compared, which are few);
 * different segments of one anchor go, each once, to the anchor's shard.  Equal
   windows also agree in SIDE bytes before or after the anchor's; of the segments
   that agree with another one there, a suffix array (Larsson-Sadakane refinement: sort by eight bytes, then double the
   depth within the groups not yet told apart) and Kasai's common prefixes show
   which windows repeat;
 * an anchor with more than HOT different segments (the edge of a passage that a
-  large part of all documents holds) is not given to one shard.  Its windows are
-  dealt by a digest, each task's in sorted runs, and runs are merged by binary
-  search.
+  large part of all documents holds) is dealt out over many shards.  Each sorts the
+  digests of its windows and cuts the run into ranges, and the runs of a range are
+  merged two by two by binary search.
 
 So all windows that can be equal meet, and no task holds more than a shard.
 """
@@ -40,9 +42,13 @@ GRAM = 64
 #: A window holds so many bytes more on one side of its anchor's GRAM.
 SIDE = (LENGTH - GRAM) // 2
 #: Different segments of an anchor that one shard takes.
-HOT = 2048
+HOT = 512
 #: Bytes of a shard, about; a suffix array is built of at most twice as many.
 SHARD_BYTES = 2 << 20
+#: Windows of a sorted run, about.
+RUN_WINDOWS = 1 << 18
+#: Where a window of a run came from.
+REF = np.dtype([("anchor", "<i8"), ("seg", "<i8"), ("window", "<i4")])
 
 U = np.uint64
 _ODD = U(0x9E3779B97F4A7C15)
@@ -255,20 +261,55 @@ def _shard(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return found[found.runs.map(len) > 0]
 
 
-def _window_digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of a hot anchor's segments: the digest of each window."""
-    for rows in batches:
-        for anchor, seg, data, c in zip(rows.anchor, rows.seg, rows.data, rows.windows, strict=True):
-            d = [hashlib.blake2b(data[i : i + LENGTH], digest_size=16).digest() for i in range(c)]
-            yield pd.DataFrame({"digest": d, "anchor": anchor, "seg": seg, "window": range(c)})
+def _digest_runs(batches: Iterator[pd.DataFrame], ranges: int) -> Iterator[pd.DataFrame]:
+    """Of hot anchors' segments: sorted runs of the digests of their windows, cut into ranges."""
+    digest = xxhash.xxh3_128_digest
+    held: list[bytes] = []
+    refs: list[np.ndarray] = []
 
+    def run() -> pd.DataFrame:
+        d, ref = np.array(held, "S16"), np.concatenate(refs)
+        order = np.argsort(d)
+        d, ref = d[order], ref[order]
+        first = np.frombuffer(d.tobytes(), ">u8")[::2]
+        cuts = np.searchsorted(first, np.array([(k << 64) // ranges for k in range(1, ranges)], np.uint64))
+        pieces = [(k, x, y) for k, (x, y) in enumerate(zip(np.split(d, cuts), np.split(ref, cuts), strict=True)) if len(x)]
+        held.clear(), refs.clear()
+        return pd.DataFrame({"range": [k for k, _, _ in pieces], "run": [x.tobytes() for _, x, _ in pieces], "refs": [y.tobytes() for _, _, y in pieces]})
 
-def _merge_digests(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Windows whose digest stands more than once in the sorted run of a digest range."""
-    d = np.array(list(rows.digest), "S17")  # longer than the digest: trailing zero bytes stay distinct from none
-    run = np.sort(d)
-    twice = np.searchsorted(run, d, "right") - np.searchsorted(run, d, "left") > 1
-    return rows.loc[twice, ["anchor", "seg", "window"]]
+    for rows in batches:
+        for anchor, seg, data, c in zip(rows.anchor, rows.seg, rows.data, rows.windows, strict=True):
+            held += [digest(data[i : i + LENGTH]) for i in range(c)]
+            ref = np.empty(c, REF)
+            ref["anchor"], ref["seg"], ref["window"] = anchor, seg, np.arange(c)
+            refs.append(ref)
+            if len(held) >= RUN_WINDOWS:
+                yield run()
+    if held:
+        yield run()
+
+
+def merge(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two sorted runs (digests, where they came from) as one: each of b's finds its place in a by binary search."""
+    at = np.searchsorted(a[0], b[0], "right") + np.arange(len(b[0]))
+    rest = np.ones(len(a[0]) + len(b[0]), bool)
+    rest[at] = False
+    out = []
+    for x, y in zip(a, b, strict=True):
+        z = np.empty(len(rest), x.dtype)
+        z[at], z[rest] = y, x
+        out.append(z)
+    return out[0], out[1]
+
+
+def _merge_runs(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """Windows whose digest stands more than once in the runs of a range."""
+    runs_ = [(np.frombuffer(x, "S16"), np.frombuffer(y, REF)) for x, y in zip(rows.run, rows.refs, strict=True)]
+    while len(runs_) > 1:
+        runs_ = [merge(*pair) if len(pair) > 1 else pair[0] for pair in (runs_[i : i + 2] for i in range(0, len(runs_), 2))]
+    d, ref = runs_[0]
+    same = np.r_[False, d[1:] == d[:-1], False]
+    return pd.DataFrame(ref[same[1:] | same[:-1]])
 
 
 def _gather(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -321,9 +362,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     shards = max(parts(spark), -(-size // SHARD_BYTES))
     shard = F.pmod(F.xxhash64("anchor"), F.lit(shards))
     found = cut.filter("not hot").withColumn("shard", shard).groupBy("shard").applyInPandas(_shard, "anchor long, seg long, runs binary")
-    digests = cut.filter("hot").mapInPandas(_window_digests, "digest binary, anchor long, seg long, window int")
-    ranges = F.pmod(F.xxhash64("digest"), F.lit(shards))
-    hot = digests.withColumn("range", ranges).groupBy("range").applyInPandas(_merge_digests, "anchor long, seg long, window int")
+    n_hot = cut.filter("hot").agg(F.sum("windows")).first()[0] or 0
+    ranges = max(1, -(-n_hot // RUN_WINDOWS))
+    dealt = cut.filter("hot").repartition(max(ranges, parts(spark)), "anchor", "seg").mapInPandas(lambda x: _digest_runs(x, ranges), "range int, run binary, refs binary")
+    hot = dealt.groupBy("range").applyInPandas(_merge_runs, "anchor long, seg long, window int")
     hot = hot.groupBy("anchor", "seg").applyInPandas(_gather, "anchor long, seg long, runs binary")
     # a segment that occurs twice needs no further finds
     some = materialize(found.unionByName(hot).join(whole.select("anchor", "seg"), ["anchor", "seg"], "left_anti").unionByName(whole), "repeats")
