@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 
 from textquarry import llm
-from textquarry.llm import decontaminate, html_extract, jaccard_join, langid, mixing, quality, secrets, suffix_dedup
+from textquarry.llm import decontaminate, exact_dedup, html_extract, jaccard_join, langid, mixing, quality, secrets, suffix_dedup
 from textquarry.llm.attention import WINDOW, Model, build_tree
 
 
@@ -67,6 +67,15 @@ def test_oracle(spark, sf, name):
     assert got.sort_values(key).astype(str).values.tolist() == want.sort_values(key).astype(str).values.tolist()
 
 
+def test_exact_dedup_merges_in_rounds(spark, sf, monkeypatch):
+    want = run(spark, sf, "op5_exact_dedup").sort_values("doc_id").values.tolist()
+    monkeypatch.setattr(exact_dedup, "RUN_ROWS", 8)
+    monkeypatch.setattr(exact_dedup, "RANGE_ROWS", 40)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").repartition(13)
+    got = exact_dedup.exact_dedup(docs).toPandas().sort_values("doc_id").values.tolist()
+    assert got == want
+
+
 def test_mixing_meets_targets(spark, tables):
     rows = [(i, " ".join(["w"] * n), s) for i, (n, s) in enumerate([(3, "big")] * 400 + [(5, "mid")] * 40 + [(7, "small")] * 10)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -93,6 +102,33 @@ def test_decontaminate(spark, sf, tables):
     assert found
 
 
+def test_decontaminate_in_rounds(spark, sf, tables, monkeypatch):
+    whole = {r.doc_id: (list(r.item_ids), r.overlap) for r in run(spark, sf, "op2_decontaminate").itertuples()}
+    monkeypatch.setattr(decontaminate, "ITEMS_AT_ONCE", max(1, len(tables["items"]) // 3))
+    assert {r.doc_id: (list(r.item_ids), r.overlap) for r in run(spark, sf, "op2_decontaminate").itertuples()} == whole
+
+
+def test_decontaminate_finds_whatever_would_be_verified():
+    """Items torn apart, edited or short: no item that has enough shingles is missed."""
+    rng = np.random.default_rng(6)
+    noise = lambda n: [f"n{x}" for x in rng.integers(0, 40, n)]
+    items = [(i, " ".join(f"w{x}" for x in rng.integers(0, 10 ** int(rng.integers(1, 5)), int(n))) + "\n" + " ".join(f"a{x}" for x in rng.integers(0, 99, int(m)))) for i, (n, m) in enumerate(zip(rng.integers(1, 260, 150), rng.integers(1, 14, 150), strict=True))]
+    df = collections.Counter({f"w{x}": int(rng.integers(1, 500)) for x in range(2000)}) + collections.Counter({f"n{x}": 900 for x in range(40)})
+    index, found = decontaminate.Index(items, df, 1000), 0
+    for _, text in items:
+        for _ in range(3):
+            w = decontaminate.words(text)
+            for at in rng.integers(0, len(w), rng.integers(0, 1 + len(w) // 12)):
+                w[at] = "edited"
+            at = int(rng.integers(0, len(w) + 1))
+            w = noise(int(rng.integers(0, 90))) + w[:at] + noise(int(rng.integers(0, 2)) * 200) + w[at:] + noise(int(rng.integers(0, 200)))
+            own = decontaminate.shingles(w)
+            want = [i for i, ps in index.parts.items() if any(len(p & own) >= decontaminate.OVERLAP * len(p) for p in ps)]
+            assert [i for i, _ in index.matches(" ".join(w))] == want
+            found += bool(want)
+    assert found > 100
+
+
 def test_index_finds_all_above_threshold(tables):
     df = collections.Counter(t for _, text, *_ in tables["docs"] for t in set(decontaminate.words(text)))
     index = decontaminate.Index(tables["items"], df, len(tables["docs"]))
@@ -189,8 +225,9 @@ def near_copies(n, words, edits, seed):
     return out
 
 
-@pytest.mark.parametrize("block", [1024, 50])
-def test_jaccard_join_large_groups(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,again", [(1024, 64), (50, 64), (50, 10**9)])
+def test_jaccard_join_large_groups(spark, monkeypatch, block, again):
+    monkeypatch.setattr(jaccard_join, "MISSED", again)  # the largest: the index is made again as often as may be
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
     monkeypatch.setattr(jaccard_join, "LEADERS", 3)
     monkeypatch.setattr(jaccard_join, "LIST", 16)

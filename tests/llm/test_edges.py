@@ -69,6 +69,11 @@ def test_stages_decide_row_by_row(spark, odd):
     assert kept.columns == odd.columns
     assert rows(kept, "doc_id", "text") == sorted([(1, "aaaa bb"), (2, "b "), (None, "hello  there"), (None, "123"), (3, "c "), (4, "hello there, my friend"), (None, None)], key=repr) or (4, "123") in rows(kept, "doc_id", "text")
     assert kept.count() == 7
+    near = jaccard_join.keep_one(odd)
+    assert near.columns == odd.columns
+    assert rows(near, "doc_id", "text") == sorted([(1, "aaaa bb"), (1, "b"), (None, "hello  there"), (None, "123"), (3, "c "), (4, "hello there, my friend"), (None, None)], key=repr) or near.count() == 7
+    classes = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(odd).collect()}
+    assert classes == {(1, 1, 1), (2, 1, 1), (None, 1, None), (3, 1, 3), (4, 1, 4), (None, 1, 4), (None, 0, None)} - {(None, 1, None)} | ({(None, 1, None)} & classes)
     told = langid.keep_identified(odd)
     assert told.columns == odd.columns and rows(told, "doc_id", "text") == sorted([x for x in ODD if x[1] not in ("123", None)], key=repr)
 
@@ -114,7 +119,7 @@ def test_jaccard_join(docs, empty):
     assert got[0] == got[1] == (2, 0) and got[5] == got[6] == (29_996, 5)
     assert got[2] == (0, 2) and got[3] == (0, 3) and got[4] == (0, 4)  # without words: linked with nothing
     assert got[9] == got[10] == (1, 9) and got[7] == (1, 7)
-    assert jaccard_join.jaccard_components(docs).count() == len(ROWS) - 1
+    assert got[None] == (1, None) and jaccard_join.jaccard_components(docs).count() == len(ROWS)
     assert jaccard_join.jaccard_components(empty).collect() == []
     kept = jaccard_join.keep_one(docs)
     assert kept.columns == docs.columns
@@ -131,6 +136,14 @@ def test_decontaminate(spark, docs, empty):
     assert decontaminate.remove_contaminated(docs, items).count() == len(ROWS) - 2
 
 
+def test_decontaminate_row_by_row(spark, odd):
+    items = odd.sparkSession.createDataFrame([(1, "hello there, my friend\nyes")], "item_id long, text string")
+    left = decontaminate.remove_contaminated(odd, items)
+    assert left.columns == odd.columns and rows(left, "doc_id", "text") == rows(odd, "doc_id", "text") or left.count() == len(ODD) - 1
+    missing = spark.createDataFrame([(None, "we say hello there my friend yes to all"), (None, "clean"), (9, "hello there my friend yes"), (9, "clean")], "doc_id long, text string")
+    assert rows(decontaminate.remove_contaminated(missing, items), "doc_id", "text") == sorted([(None, "clean"), (9, "clean")], key=repr)
+
+
 def test_html_extract(spark):
     pages = spark.createDataFrame([(1, "u", None, 1), (2, None, "", 1), (2, "u", "<p>Some words &amp; more</p>", 1), (None, "v", "<", 1)], "page_id long, url string, html string, text int")
     got = rows(html_extract.extract_text(pages, html_extract.fit(pages)), "page_id", "url", "text", "n_chars")

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialize, only, parts, read, small_batches, without
+from .common import BROADCAST_BYTES, fresh, materialize, only, parts, read, small_batches, without
 from .components import components
 
 WORDS = 5
@@ -110,7 +110,7 @@ def _texts(rows: pd.DataFrame) -> Iterator[tuple[int, str | None]]:
 
 def _surveyed(**columns) -> pd.DataFrame:
     rows = range(len(next(iter(columns.values()))))
-    return pd.DataFrame({c: pd.Series(columns.get(c), rows, object if c == "key" else "Int64") for c in ("doc_id", "key", "n", "token", "cnt")})
+    return pd.DataFrame({c: pd.Series(columns.get(c), rows, object if c == "key" else "Int64") for c in ("doc_id", "own", "key", "n", "token", "cnt")})
 
 
 #: Shingles among which recurring ones are looked for at a time.
@@ -142,7 +142,7 @@ def _survey(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             n = 0
         if len(seen) > 1 << 16:
             seen.clear()
-        yield _surveyed(doc_id=ids, key=keys, n=sizes)
+        yield _surveyed(doc_id=ids, own=rows.own.astype("Int64").to_numpy(), key=keys, n=sizes)
     if held:
         yield recurring()
 
@@ -449,26 +449,58 @@ def _work_off(dense: DataFrame, docs: DataFrame) -> DataFrame:
     return small.unionByName(first).unionByName(second)
 
 
+def _numbered(docs: DataFrame, name: str) -> tuple[DataFrame, bool]:
+    """docs with a number of the document: its identifier, or, where that is missing or
+    stands on several rows, a hash of identifier and text; and whether none has to be hashed."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("_id"))
+    several = materialize(ids.filter("_id is not null").groupBy("_id").count().filter("count > 1").select("_id"), "several")
+    hashed = F.xxhash64(F.lit("row"), "doc_id", "text")
+    if (n := several.count()) == 0:
+        missing = not ids.filter("_id is null").isEmpty()
+        return docs.withColumn(name, F.coalesce(F.col("doc_id").cast("long"), hashed)), not missing
+    (mark,) = fresh([*docs.columns, name], "several_of")
+    several = several.withColumnRenamed("_id", mark)
+    several = F.broadcast(several) if n * 48 <= BROADCAST_BYTES else several
+    marked = docs.join(several, F.col("doc_id").cast("long") == F.col(mark), "left")
+    number = F.when(F.col(mark).isNotNull() | F.col("doc_id").isNull(), hashed).otherwise(F.col("doc_id").cast("long"))
+    return marked.withColumn(name, number).drop(mark), False
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id.
+    """One row per row of docs: doc_id, n_shingles, component_id.
 
     Words are runs of characters other than space and tab to carriage return, A-Z
     in lower case.  A document of fewer than five words is one shingle, all of
     them; one without words, or with null text, has none and is linked with
-    nothing.  component_id is the smallest doc_id reachable over links.  Rows
-    without doc_id are left out; rows that share a doc_id are one document, each
-    reported.  Other columns are ignored; an empty table gives no rows.
+    nothing.  component_id is the smallest doc_id reachable over links, null
+    where no document reached has one.  Rows that share doc_id and text are one
+    document, each reported; rows that share a doc_id only are several.  Other
+    columns are ignored; an empty table gives no rows.
     """
+    (name,) = fresh(docs.columns, "number")
+    docs, plain = _numbered(docs, name)
+    found = _rooted(docs.select(F.col(name).alias("doc_id"), F.col("doc_id").cast("long").alias("own"), "text"))
+    if plain:  # the smallest number is the smallest identifier
+        return found.select("doc_id", F.col("n").alias("n_shingles"), F.col("root").alias("component_id"))
+    found = materialize(found, "numbered-classes")
+    least = found.groupBy("root").agg(F.min("own").alias("least")).filter("least is null or least <> root").withColumn("other", F.lit(True))
+    least = F.broadcast(least) if least.count() * 48 <= BROADCAST_BYTES else least
+    both = found.join(least, "root", "left")
+    return both.select(F.col("own").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("other"), F.col("least")).otherwise(F.col("root")).alias("component_id"))
+
+
+def _rooted(docs: DataFrame) -> DataFrame:
+    """doc_id, own, n, root of docs (doc_id: number of the document; own: its identifier; text)."""
     spark = docs.sparkSession
-    small_batches(docs.sparkSession)
-    docs = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    survey = materialize(docs.mapInPandas(_survey, "doc_id long, key binary, n long, token long, cnt long"), "survey")
-    each = survey.filter("doc_id is not null").select("doc_id", "key", "n")
+    small_batches(spark)
+    survey = materialize(docs.mapInPandas(_survey, "doc_id long, own long, key binary, n long, token long, cnt long"), "survey")
+    each = survey.filter("doc_id is not null").select("doc_id", "own", "key", "n")
+    docs = docs.select("doc_id", "text")
     # copies of the same words: the smallest identifier stands for all
     same = each.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m")).filter("m > 1")
     same = same.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     each = each.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int"))
-    each = materialize(each.join(same, ["key", "salt"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "reps")
+    each = materialize(each.join(same, ["key", "salt"], "left").select("doc_id", "own", "n", F.coalesce("rep", "doc_id").alias("rep")), "reps")
     often = survey.filter("token is not null").groupBy("token").agg(F.sum("cnt").alias("cnt")).filter(F.col("cnt") >= FREQUENT)
     often = often.orderBy(F.desc("cnt"), "token").limit(MOST_FREQUENT).select("token").toPandas()
     frequent = np.sort(often.token.to_numpy(np.int64).view(U))
@@ -492,23 +524,30 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     sets = materialize(only(docs, ids).mapInPandas(_sets, "id long, hashes binary").dropDuplicates(["id"]), "sets")
     links = materialize(_linked(pairs, sets).unionByName(_work_off(dense, docs)), "links")
     roots = components(links)
-    return (
-        each.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep").alias("component_id"))
-    )
+    return each.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("doc_id", "own", "n", F.coalesce("root", "rep").alias("root"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component: the longest text, then the smallest doc_id.
-
-    Rows without a doc_id stay."""
-    classes = jaccard_components(docs).select("doc_id", "component_id").distinct()
-    shared = classes.groupBy("component_id").agg(F.count("*").alias("m")).filter("m > 1").select("component_id")
+    """docs with one document of each component: the longest text, then the smallest
+    doc_id (rows without one come last).  Rows are decided on one by one; of rows that
+    share doc_id and text, any one stays."""
+    columns = docs.columns
+    (name,) = fresh(columns, "number")
+    docs, plain = _numbered(docs, name)
+    given = docs.select(F.col(name).alias("doc_id"), F.col("doc_id").cast("long").alias("own"), "text")
+    classes = _rooted(given).select("doc_id", "root").distinct()
+    shared = classes.groupBy("root").agg(F.count("*").alias("m")).filter("m > 1").select("root")
     # only components of several documents matter further
-    classes = materialize(classes.join(shared, "component_id", "left_semi"), "classes")
-    sized = only(docs.select("doc_id", F.length("text").alias("size")), classes).groupBy("doc_id").agg(F.max("size").alias("size")).join(classes, "doc_id")
-    best = sized.groupBy("component_id").agg(F.min(F.struct((-F.coalesce("size", F.lit(0))).alias("s"), "doc_id")).alias("best")).select("best.doc_id")
-    return without(docs, materialize(classes.select("doc_id").join(best, "doc_id", "left_anti"), "near"))
+    classes = materialize(classes.join(shared, "root", "left_semi"), "classes")
+    sized = only(given.select("doc_id", "own", F.length("text").alias("size")), classes).groupBy("doc_id").agg(F.max("size").alias("size"), F.min("own").alias("own")).join(classes, "doc_id")
+    order = F.struct((-F.coalesce("size", F.lit(0))).alias("s"), F.col("own").isNull().alias("none"), "own", "doc_id")
+    best = sized.groupBy("root").agg(F.min(order).alias("best")).select("best.doc_id")
+    kept = without(docs, materialize(classes.select(F.col("doc_id").alias(name)).join(best.withColumnRenamed("doc_id", name), name, "left_anti"), "near"), name)
+    if not plain:
+        several = materialize(kept.groupBy(name).count().filter("count > 1").select(name), "twins")
+        if not several.isEmpty():
+            kept = without(kept, several, name).unionByName(only(kept, several, name).dropDuplicates([name]))
+    return kept.select(*columns)
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -519,7 +558,7 @@ QUERIES = {"op6_jaccard_join": op6_jaccard_join}
 ORACLE_SQL = {
     "op6_jaccard_join": r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents WHERE doc_id IS NOT NULL
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
 ), s AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w
 ), n AS (
