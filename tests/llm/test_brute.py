@@ -264,6 +264,52 @@ def test_html_extract_other_templates():
     assert html_extract.extract(page, weight) == "Head & line\nOne two three four five six seven eight nine ten\nMore words in here, a < b\nfirst\nsecond\nThese final words belong to it too."
 
 
+BODY = "<h1>Title here</h1>" + "".join(f"<p>Paragraph number {i} has some words of text in it.</p>" for i in range(8))
+AROUND = '<div class="sidebar"><p>side words in here</p></div><div class="comment-list"><p>a great post</p></div><footer>f</footer>'
+
+
+@pytest.mark.parametrize("names", ["layout with-sidebar", "has-banner", "page no-comments", "post social-news", "layout", "overlay", "siteWidget", "promo wide-box", ""])
+@pytest.mark.parametrize("element", ["div", "section", "main", "article"])
+def test_html_extract_wrappers(names, element):
+    """A name never costs the page its text."""
+    weight = html_extract.weights({("article", True): 5000, ("nav", False): 300, (".ad", False): 200})
+    page = f'<html><body class="has-sidebar"><nav><a>Home</a></nav><{element} class="{names}">{BODY}</{element}>{AROUND}</body></html>'
+    text = html_extract.extract(page, weight)
+    assert text.split("\n") == ["Title here", *(f"Paragraph number {i} has some words of text in it." for i in range(8))]
+
+
+def test_html_extract_inside_and_beside():
+    weight = html_extract.weights({})
+    comments = '<section id="comments"><article class="comment"><p>' + "very long comment text " * 90 + "</p></article></section>"
+    page = '<body><article><header><h1>Own headline</h1></header><p>Text of it that is long enough.</p><figure><img><figcaption>A caption</figcaption></figure>'
+    page += f'<div class="promo">buy {"this " * 50} now</div><p>More <span class="ad">x <span>y</span> z</span>of it.</p><footer>by me</footer></article>{comments}</body>'
+    assert html_extract.extract(page, weight) == "Own headline\nText of it that is long enough.\nA caption\nMore of it."
+
+
+def test_html_extract_learns_names():
+    """A name that no list has, but labelled pages show beside the article."""
+    shown = '<article><div class="prose"><p>' + "content words " * 40 + '</p></div></article><div class="blogroll">' + "other blogs " * 40 + "</div>"
+    counts = collections.Counter()
+    for _ in range(20):
+        counts.update(html_extract.count(shown))
+    blank, learned = html_extract.weights({}), html_extract.weights(counts)
+    assert learned[".blogroll"] < -0.5 and learned[".prose"] > 0.5 and ".blogroll" not in blank
+    new = '<body><div class="blogroll">see these other blogs</div><div class="text">' + BODY + "</div></body>"
+    assert "other blogs" not in html_extract.extract(new, learned) and "Paragraph number 7" in html_extract.extract(new, learned)
+
+
+def test_html_extract_best_run():
+    """The linear scan against all runs."""
+    rng = np.random.default_rng(7)
+    weight = html_extract.weights({})
+    pages = ["".join(rng.choice(["<p>", "</p>", "<div>", "</div>", "<div class=ad>", "<nav>", "</nav>", "<article>", "</article>", "some words here ", "x ", "<aside>", "</aside>"], 40)) for _ in range(60)]
+    for page in pages:
+        values = html_extract.scores(html_extract.tokens(page, weight), weight)
+        a, b = html_extract.best_run(values)
+        most = max((sum(values[i:j]) for i in range(len(values)) for j in range(i + 1, len(values) + 1)), default=0)
+        assert math.isclose(sum(values[a:b]), max(most, 0), abs_tol=1e-9)
+
+
 def test_suffix_dedup(spark, sf, tables):
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in run(spark, sf, "op8_suffix_dedup").itertuples()}
     assert got == brute_repeats({i: t for i, t, *_ in tables["docs"]})
