@@ -49,3 +49,16 @@ def test_found(name):
 def test_split_between_members():
     code = b64(gzip.compress(SECRET[:12]) + gzip.compress(SECRET[12:]))
     assert [k for k, *_ in secrets.find(urllib.parse.quote(code))[1]] == [0]
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, bz2.compress, lzma.compress, zstandard.compress])
+@pytest.mark.parametrize("before", [0, 3, 1 << 18])
+def test_long_layers_are_read_in_windows(monkeypatch, pack, before):
+    monkeypatch.setattr(secrets, "MAX_LAYER", 1 << 16)
+    monkeypatch.setattr(secrets, "CARRY", 1 << 12)
+    inner = b64(gzip.compress(SECRET)).encode()
+    long = b" " * before + SECRET + b" " * ((1 << 16) - 30) + b" AKIA" + b"B" * 20 + b" " * (1 << 17) + b"0123456789abcdef0123 " + inner
+    code = b64(pack(long) + gzip.compress(b"secret=" + b"m" * 20))
+    base, spans, layers = secrets.find(f"x {code} y")
+    assert base == [] and layers > 5
+    assert {k for k, *_ in spans} == {0, 1, 2} and all(2 <= a < b <= 2 + len(code) for _, a, b in spans)

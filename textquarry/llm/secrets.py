@@ -6,6 +6,10 @@ layers, which go on the worklist until none is left.  A layer knows, for each of
 its bytes, which bytes of the text it came from, so a find in any layer becomes a
 span of the text.  A layer whose content and origin were seen before is not
 unwrapped again, which ends cycles (an archive that contains itself).
+
+The worklist is a stack of layers being unwrapped, so at any time there is one layer
+for each depth.  A compressed layer that grows beyond MAX_LAYER is read as
+a stream, in windows of which each begins with the last CARRY bytes of the one before.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ import hashlib
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 
 import pandas as pd
 import zstandard
@@ -44,8 +48,8 @@ LINE = re.compile(rb"[A-Za-z0-9+/_=-]+")
 PIECE = re.compile(rb"[\t\n\r\x20-\x7e]{16,}")
 #: Where compressed data may begin.
 MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
-#: A compressed layer that grows beyond this is not unwrapped (a decompression bomb).
-MAX_LAYER = 64 << 20
+#: A compressed layer that grows beyond this is read in windows; only there may a code inside it that is longer than CARRY be torn apart.
+MAX_LAYER, CARRY = 16 << 20, 1 << 20
 
 
 def scan(data: bytes) -> list[tuple[int, int, int]]:
@@ -60,39 +64,73 @@ def scan(data: bytes) -> list[tuple[int, int, int]]:
     return found
 
 
-def _zstd(data: memoryview) -> tuple[bytes, bytes]:
-    d, out, size = zstandard.ZstdDecompressor().decompressobj(), [], 0
-    for at in range(0, len(data), 1024):  # a piece cannot grow beyond some MB
-        out.append(d.decompress(data[at : at + 1024]))
-        size += len(out[-1])
-        if d.eof:
-            return b"".join(out), d.unused_data + bytes(data[at + 1024 :])
-        if size > MAX_LAYER:
-            break
-    return b"".join(out), b""
-
-
-def _member(data: memoryview) -> tuple[bytes, bytes] | None:
-    """What the stream at the beginning of data unpacks to, and the bytes after it."""
+BROKEN = (zlib.error, OSError, lzma.LZMAError, zstandard.ZstdError, EOFError, ValueError)
+
+
+def _stream(data: memoryview, size: int) -> Generator[bytes, None, tuple[bool, bytes]]:
+    """What the stream at the beginning of data unpacks to, in pieces of about `size` at most;
+    returns whether it is known to be whole, and the bytes after it.  Raises one of BROKEN."""
+    if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 6 and int.from_bytes(data[:2]) % 31 == 0:
+        z = zlib.decompressobj(31 if data[:1] == b"\x1f" else 15)
+        rest: bytes | memoryview = data
+        while True:
+            out = z.decompress(rest, size)
+            if out:
+                yield out
+            if z.eof:
+                return True, z.unused_data
+            rest = z.unconsumed_tail
+            if not out and not rest:
+                return False, b""
+    if data[:3] == b"BZh" or data[:6] == b"\xfd7zXZ\0":
+        d = bz2.BZ2Decompressor() if data[:1] == b"B" else lzma.LZMADecompressor()
+        yield d.decompress(data, size)
+        while not d.eof and not d.needs_input:
+            yield d.decompress(b"", size)
+        return True, d.unused_data if d.eof else b""
+    if data[:4] == b"\x28\xb5\x2f\xfd":
+        x = zstandard.ZstdDecompressor().decompressobj()
+        for at in range(0, len(data), 1024):  # a piece cannot grow beyond some MB
+            yield x.decompress(data[at : at + 1024])
+            if x.eof:
+                return True, x.unused_data + bytes(data[at + 1024 :])
+        return True, b""
+    raise ValueError("no stream")
+
+
+def _member(data: memoryview) -> tuple[bytes | None, bytes] | None:
+    """What the stream at the beginning of data unpacks to (None: more than MAX_LAYER), and the bytes after it."""
+    out, size, stream = [], 0, _stream(data, MAX_LAYER + 1)
     try:
-        if data[:2] == b"\x1f\x8b":
-            d = zlib.decompressobj(31)
-        elif data[:1] == b"\x78" and len(data) > 6 and int.from_bytes(data[:2]) % 31 == 0:
-            d = zlib.decompressobj(15)
-        elif data[:3] == b"BZh":
-            d = bz2.BZ2Decompressor()
-        elif data[:6] == b"\xfd7zXZ\0":
-            d = lzma.LZMADecompressor()
-        elif data[:4] == b"\x28\xb5\x2f\xfd":
-            out, rest = _zstd(data)
-            return (out, rest) if len(out) <= MAX_LAYER else None
-        else:
-            return None
-        out = d.decompress(data, MAX_LAYER + 1)
-    except (zlib.error, OSError, lzma.LZMAError, zstandard.ZstdError, EOFError, ValueError):
-        return None
-    whole = d.eof or data[:1] in (b"B", b"\xfd")
-    return (out, d.unused_data) if whole and len(out) <= MAX_LAYER else None
+        while True:
+            piece = next(stream)
+            size += len(piece)
+            if size <= MAX_LAYER:
+                out.append(piece)
+    except StopIteration as end:
+        whole, rest = end.value
+    except BROKEN:
+        whole, rest = False, b""
+    if size > MAX_LAYER:
+        return None, rest
+    return (b"".join(out), rest) if whole else None
+
+
+def _windows(data: memoryview) -> Iterator[bytes]:
+    """A long stream in windows; what precedes a fault in it counts."""
+    held: list[bytes] = []
+    size = 0
+    try:
+        for piece in _stream(data, MAX_LAYER):
+            held.append(piece)
+            size += len(piece)
+            if size > MAX_LAYER:
+                window = b"".join(held)
+                yield window
+                held, size = [window[-CARRY:]], 0
+    except BROKEN:
+        pass
+    yield b"".join(held)
 
 
 def _decompress(data: bytes) -> Iterator[tuple[bytes, int, int]]:
@@ -102,11 +140,17 @@ def _decompress(data: bytes) -> Iterator[tuple[bytes, int, int]]:
         begin = at = m.start()
         out = b""
         while (member := _member(view[at:])) is not None:
-            if len(out) + len(member[0]) > MAX_LAYER:
+            end = len(data) - len(member[1])
+            if member[0] is None or len(out) + len(member[0]) > MAX_LAYER:
                 yield out, begin, at
                 out, begin = b"", at
-            out += member[0]
-            at = len(data) - len(member[1])
+            if member[0] is None:
+                for window in _windows(view[at:]):
+                    yield window, at, end
+                begin = end
+            else:
+                out += member[0]
+            at = end
         if out:
             yield out, begin, at
         at = max(at, m.start() + 1)
@@ -221,18 +265,23 @@ def find(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     data = (text or "").encode(errors="surrogatepass")
     base = scan(data)
     spans, seen, layers = set(base), set(), 0
-    work = [_Layer(data, range(len(data)), range(1, len(data) + 1))] if data else []
+    work = [iter([_Layer(data, range(len(data)), range(1, len(data) + 1))] if data else [])]
     while work:
-        layer = work.pop()
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
+        if not layer.data:
+            continue
+        key = (hashlib.sha256(layer.data).digest(), layer.span(0, len(layer.data)))
+        if key in seen:
+            continue
+        seen.add(key)
         layers += 1
         if layers > 1:
             for kind, a, b in scan(layer.data):
                 spans.add((kind, *layer.span(a, b)))
-        for new in unwrap(layer):
-            key = (hashlib.sha256(new.data).digest(), new.span(0, len(new.data)) if new.data else None)
-            if new.data and key not in seen:
-                seen.add(key)
-                work.append(new)
+        work.append(unwrap(layer))
     if spans and len(data) != len(text):
         place, at, n = {}, 0, 0
         for x in sorted({x for s in spans for x in s[1:]}):
