@@ -168,10 +168,18 @@ def test_pagerank(spark):
 
 
 def test_imports_and_packages(corpus):
-    assert graph.imports(corpus, "render", "web/x/page.ts") == ["import { render } from '../app';"]
-    assert graph.imports(corpus, "base", "pkg/m.py")[0].startswith("from chain import base")
-    assert paths.import_statement("f", "src/b.rs", "src/auth/token.rs").startswith("use crate::auth::token::f;")
-    assert graph.package_root(corpus.files, "packages/cli/run.py") == "packages/cli" and graph.package_root(corpus.files, "a.py") is None
+    wanted = corpus.files.sparkSession.createDataFrame([("render", "web/x/page.ts"), ("base", "pkg/m.py"), ("render", "a.dart"), ("refresh", "src/b.rs"), ("refresh", "x/y.zig"), ("refresh", "x.go")], "name string, target string")
+    said = {r["target"]: r["statement"] for r in graph.imports(corpus, wanted).collect()}
+    assert said["web/x/page.ts"] == "import { render } from '../app';" and said["pkg/m.py"].startswith("from chain import base")
+    assert said["a.dart"] == "import './web/app.ts';" and said["src/b.rs"].startswith("use crate::auth::token::refresh;")
+    assert said["x.go"].startswith("// `refresh` is in src/auth/token.rs") and said["x/y.zig"].startswith("// `refresh` is defined in src/auth/token.rs")
+    files = corpus.files.sparkSession.createDataFrame([("packages/cli/run.py",), ("packages/cli/deep/er/x.py",), ("a.py",)], "path string")
+    assert rows(graph.package_roots(files, corpus.files), "path", "root") == [("a.py", None), ("packages/cli/deep/er/x.py", "packages/cli"), ("packages/cli/run.py", "packages/cli")]
+
+
+@pytest.mark.parametrize("have,want,out", [("a/b/c.ts", "a/d/e.ts", "../d/e.ts"), ("a.ts", "b.ts", "./b.ts"), ("a/b.ts", "a/b/c.ts", "./b/c.ts"), ("x/y/z.ts", "q.ts", "../../q.ts"), ("a/a/a.ts", "a/b/a/a.ts", "../b/a/a.ts")])
+def test_relative(spark, have, want, out):
+    assert spark.range(1).select(paths.relative(F.lit(have), F.lit(want)).alias("r")).first()["r"] == out
 
 
 def test_search_modes(corpus):
@@ -239,7 +247,9 @@ def test_edit_functions():
         edits.resolve_span(REPO["a.py"], "python", "m")
     assert e.value.code == "AMBIGUOUS"
     assert parse.balanced("f(a[1]) { \"}\" }") and not parse.balanced("f(a[1)")
-    assert parse.python_tree("x = 1")[0] == "Module" and parse.python_query("def f():\n  pass", "FunctionDef") == [(1, 2, "f", "FunctionDef")]
+    assert parse.python_nodes("x = 1")[0][2] == "Module" and (1, "body", "FunctionDef", "f", 1, 2) in parse.python_nodes("def f():\n  pass")
+    assert parse.file_nodes("fn a() {\n  fn b() {\n  }\n}\nfn c() {\n}", "rust") == [(0, "", "fn", "a", 1, 4), (1, "", "fn", "b", 2, 3), (0, "", "fn", "c", 5, 6)]
+    assert parse.file_nodes("class A:\n  def f(:\n    x", "python") == [(0, "", "class", "A", 1, 3), (1, "", "def", "f", 2, 3)]  # not readable: its items
 
 
 def test_scan(spark, tree):
@@ -319,6 +329,47 @@ def test_session(spark, tree):
     assert "src/auth/token.rs" in s.repo_map(500) and s.status()["files"] > 5 and "packages" not in "".join(s.project())
 
 
+def test_mixed_requests(spark, tree):
+    """Every step sees what the ones before it did; guards hold on all ways."""
+    s = Session.from_dir(spark, str(tree))
+    token = (tree / "src/auth/token.rs").read_text()
+    done = s.apply([
+        {"locator": "src/auth/token.rs", "anchor": "t.len() > 3", "replace": "t.len() > 4"},
+        {"locator": "src/auth/token.rs#refresh", "rename": "renew"},
+        {"locator": "", "path_scope": ["src/auth/login.rs"], "anchor": "login", "replace": "log_in"},
+        {"locator": "", "path_scope": ["src"], "anchor": "renew", "replace": "redo"},
+        {"locator": "more.py@new", "new_body": "y = 1\n"},
+        {"locator": "more.py", "anchor": "y = 1", "replace": "y = 2"},
+        {"locator": "chain.py@delete"},
+    ])
+    want = token.replace("t.len() > 3", "t.len() > 4").replace("refresh", "redo")
+    assert (tree / "src/auth/token.rs").read_text() == want and "redo" in (tree / "src/auth/login.rs").read_text() and "log_in" in (tree / "src/auth/login.rs").read_text()
+    assert (tree / "more.py").read_text() == "y = 2\n" and not (tree / "chain.py").exists()
+    assert done["n_files"] == 4 and done["files"] == ["chain.py", "more.py", "src/auth/login.rs", "src/auth/token.rs"]
+    s.apply({"undo": 1})
+    assert (tree / "src/auth/token.rs").read_text() == token and (tree / "chain.py").exists() and not (tree / "more.py").exists()
+    (tree / "gen/api.pb.go").write_text("func Handle() int {\n\treturn 1\n}\n")
+    s.reindex()
+    for edit in ({"locator": "", "path_scope": ["gen"], "anchor": "return", "replace": "yield"}, {"locator": "gen/api.pb.go#Handle", "rename": "Serve"}, {"locator": "gen/api.pb.go@delete"}):
+        with pytest.raises(edits.EditError) as e:
+            s.apply(edit)
+        assert e.value.code == "GENERATED"
+    with pytest.raises(edits.EditError) as e:
+        s.apply({"locator": "", "path_scope": ["chain.py"], "anchor": "def ", "replace": "def ("})
+    assert e.value.code == "PARSE_ERROR"
+    assert s.apply({"locator": "", "path_scope": ["gen"], "anchor": "return 1", "replace": "return 2", "force": True})["n_files"] == 1
+
+
+def test_syntax_queries(spark, tree):
+    for i in range(40):
+        (tree / f"p{i:02}.py").write_text(f"x = {i}\n" + ("class Only:\n    pass\n" if i == 39 else ""))
+    s = Session.from_dir(spark, str(tree))
+    found = s.code({"q": "ClassDef Only", "mode": "ast"})
+    assert "p39.py@L2-3" in found and "ClassDef Only" in found  # matches are capped, not files
+    assert "src/auth/token.rs@L5-7" in s.code({"q": "fn refresh", "mode": "ast"})
+    assert "fn refresh L5-7" in s.code({"path": "src/auth/token.rs", "detail": "ast"}) and "fn refresh" not in s.code({"path": "src/auth/token.rs", "detail": "ast", "lines": "1-3"})
+
+
 def test_rpc(spark, tree):
     s = Session.from_dir(spark, str(tree))
     call = lambda m, **p: rpc.dispatch(s, {"jsonrpc": "2.0", "id": 1, "method": m, "params": p})

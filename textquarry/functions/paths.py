@@ -82,6 +82,7 @@ FILTERS = {
     "xml": (".xml",),
     "text": (".txt",),
 }
+# Other names of languages, interpreters of scripts.
 ALIASES = {
     "rs": "rust", "py": "python", "javascript": "js", "typescript": "ts", "golang": "go", "rb": "ruby", "kt": "kotlin",
     "c++": "cpp", "csharp": "cs", "yml": "yaml", "docker": "dockerfile", "markdown": "md", "bash": "sh", "shell": "sh", "txt": "text",
@@ -155,28 +156,41 @@ def in_skipped_dir(path: Column) -> Column:
     return F.exists(F.slice(dirs, 1, F.greatest(F.size(dirs) - 1, F.lit(0))), lambda s: s.isin(*SKIPPED_DIRS) | (s.startswith(".") & (F.length(s) > 1)))
 
 
-def relpath(source: str, target: str) -> str:
+def relative(source: Column, target: Column) -> Column:
     """Path from the directory of one file to another."""
-    have, want = source.split("/")[:-1], target.split("/")
-    i = 0
-    while i < len(have) and i + 1 < len(want) and have[i] == want[i]:
-        i += 1
-    out = "/".join([".."] * (len(have) - i) + want[i:])
-    return out if out.startswith("..") else f"./{out}"
-
-
-def import_statement(symbol: str, target: str, definition: str) -> str:
-    """How a file of the target's language brings in a symbol defined elsewhere."""
-    stem = lambda p: p.rsplit(".", 1)[0]
-    ext = target.rsplit(".", 1)[-1]
-    if ext in ("ts", "tsx", "js", "jsx", "mjs", "cjs"):
-        return f"import {{ {symbol} }} from '{stem(relpath(target, definition))}';"
-    if ext == "dart":
-        return f"import '{relpath(target, definition)}';"
-    if ext == "py":
-        return f"from {stem(definition).replace('/', '.')} import {symbol}    # module path as far as known"
-    if ext == "rs":
-        return f"use crate::{stem(definition.rsplit('src/', 1)[-1]).replace('/', '::')}::{symbol};    // module path as far as known"
-    if ext == "go":
-        return f"// `{symbol}` is in {definition}; imports are by package"
-    return f"// `{symbol}` is defined in {definition}; import it in the style of {target}"
+    have, want = F.split(source, "/"), F.split(target, "/")
+    most = F.least(F.size(have), F.size(want)) - 1
+    equal = F.filter(F.sequence(F.lit(0), most), lambda i: (i > 0) & (F.slice(have, 1, i) == F.slice(want, 1, i)))
+    up = F.size(have) - 1 - F.size(equal)
+    rest = F.array_join(F.slice(want, F.size(equal) + 1, F.size(want)), "/")
+    return F.concat(F.when(up > 0, F.repeat(F.lit("../"), up)).otherwise("./"), rest)
+
+
+# How a file brings in a symbol, by its suffix; {from} is the relative path of the
+# definition, {stem} that without suffix, {dots} and {colons} its path as a module.
+IMPORTS = {
+    ("ts", "tsx", "js", "jsx", "mjs", "cjs"): "import { {symbol} } from '{stem}';",
+    ("dart",): "import '{from}';",
+    ("py",): "from {dots} import {symbol}    # best-effort module path — verify",
+    ("rs",): "use crate::{colons}::{symbol};    // best-effort module path — verify",
+    ("go",): "// `{symbol}` is in {file}; Go imports are package-level — import that package path",
+    (): "// `{symbol}` is defined in {file}; add an import in {target}'s style",
+}
+
+
+def import_statement(symbol: Column, target: Column, definition: Column) -> Column:
+    """How the target file brings in a symbol defined elsewhere."""
+    bare = lambda c: F.regexp_replace(c, r"\.[^./]*$", "")
+    near = relative(target, definition)
+    module = bare(F.element_at(F.split(definition, "src/", -1), -1))
+    fill = {
+        "from": near, "stem": bare(near), "dots": F.replace(bare(definition), F.lit("/"), F.lit(".")),
+        "colons": F.replace(module, F.lit("/"), F.lit("::")), "file": definition, "target": target, "symbol": symbol,
+    }
+    suffix, out = F.element_at(F.split(target, r"\."), -1), F.lit(IMPORTS[()])
+    for suffixes, template in IMPORTS.items():
+        if suffixes:
+            out = F.when(suffix.isin(*suffixes), template).otherwise(out)
+    for name, value in fill.items():
+        out = F.replace(out, F.lit(f"{{{name}}}"), value)
+    return out

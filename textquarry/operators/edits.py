@@ -9,18 +9,17 @@ from __future__ import annotations
 import difflib
 import hashlib
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import paths
 from ..functions import text as tx
 from . import code
-from .parse import parse_symbols, parses
+from .parse import nested_symbols, parses
 
 
 class EditError(ValueError):
@@ -48,10 +47,6 @@ class Span:
     body: str
 
 
-def spans(text: str, lang: str) -> list[Span]:
-    return [Span(k, n, a, b, body) for k, n, _, a, b, body in parse_symbols(text, lang)]
-
-
 def resolve_span(text: str, lang: str, symbol: str, start: int | None = None) -> Span:
     """The symbol of a name, or of Container.member (or ::); a first line settles which of several."""
     parts = re.split(r"\.|::", symbol)
@@ -70,14 +65,8 @@ def resolve_span(text: str, lang: str, symbol: str, start: int | None = None) ->
 
 
 def nested(text: str, lang: str) -> list[Span]:
-    """Symbols, and those inside the bodies of the ones with braces."""
-    out = spans(text, lang)
-    if lang == "python":
-        return out
-    for s in list(out):
-        inner = "\n".join(s.body.split("\n")[1:])
-        out += [Span(x.kind, x.name, x.start + s.start, x.end + s.start, x.body) for x in nested(inner, lang) if inner]
-    return out
+    """Symbols, and those inside their bodies."""
+    return [Span(kind, name, a, b, body) for _, kind, name, a, b, body in nested_symbols(text, lang)]
 
 
 def _lines(text: str) -> tuple[list[str], bool]:
@@ -169,27 +158,38 @@ def replace_word(text: str, old: str, new: str, lang: str) -> tuple[str, int]:
     return "".join([*out, piece]), n + k
 
 
+def new_name(name: str) -> str:
+    if name in KEYWORDS or not re.fullmatch("[A-Za-z_][A-Za-z0-9_]*", name):
+        raise EditError("BAD_NAME", name)
+    return name
+
+
+def renamed(old: str, new: str):
+    """Column of (text, lang): text and number of replacements of a whole word in code."""
+    new_name(new)
+
+    @F.pandas_udf("text string, n long")
+    def run(text: pd.Series, lang: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([replace_word(t, old, new, x) for t, x in zip(text, lang, strict=True)], columns=["text", "n"])
+
+    return run
+
+
 def rename_preview(files: DataFrame, old: str, new: str) -> DataFrame:
     """path, occurrences, new_text of the files that a rename of a whole word changes."""
-    if new in KEYWORDS or not re.fullmatch("[A-Za-z_][A-Za-z0-9_]*", new):
-        raise EditError("BAD_NAME", new)
+    held = files.filter(F.contains("text", F.lit(old))).select("path", renamed(old, new)("text", "lang").alias("x"))
+    return held.select("path", F.col("x.n").alias("occurrences"), F.col("x.text").alias("new_text")).filter("occurrences > 0")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            done = [replace_word(t, old, new, lang) for t, lang in zip(rows.text, rows.lang, strict=True)]
-            out = pd.DataFrame({"path": rows.path, "occurrences": [n for _, n in done], "new_text": [t for t, _ in done]})
-            if len(out := out[out.occurrences > 0]):
-                yield out
 
-    held = files.filter(F.contains("text", F.lit(old))).select("path", "text", "lang")
-    return held.mapInPandas(run, "path string, occurrences long, new_text string")
+def bulk_where(scope: list[str], old: str) -> Column:
+    if not old:
+        raise EditError("EMPTY_ANCHOR", "nothing to replace")
+    return paths.in_scope(F.col("path"), scope) & F.contains("text", F.lit(old))
 
 
 def bulk_replace(files: DataFrame, scope: list[str], old: str, new: str) -> DataFrame:
     """path, occurrences, new_text: every occurrence of a literal in the files of a scope."""
-    if not old:
-        raise EditError("EMPTY_ANCHOR", "nothing to replace")
-    held = files.filter(paths.in_scope(F.col("path"), scope) & F.contains("text", F.lit(old)))
+    held = files.filter(bulk_where(scope, old))
     n = (F.octet_length("text") - F.octet_length(F.replace("text", F.lit(old), F.lit("")))) / len(old.encode())
     return held.select("path", n.cast("long").alias("occurrences"), F.replace("text", F.lit(old), F.lit(new)).alias("new_text"))
 
@@ -200,9 +200,11 @@ def unified_diff(path: str, old: str, new: str, cap: int = 160) -> str:
 
 
 def diff_counts(pairs: DataFrame) -> DataFrame:
-    """path, added, removed lines between old_text and new_text, from line counts alone (moved lines do not count)."""
-    a, b = F.split(F.coalesce("old_text", F.lit("")), "\n", -1), F.split(F.coalesce("new_text", F.lit("")), "\n", -1)
-    rows = pairs.select("path", F.explode(F.concat(F.transform(a, lambda x: F.struct(x.alias("t"), F.lit(-1).alias("d"))), F.transform(b, lambda x: F.struct(x.alias("t"), F.lit(1).alias("d"))))).alias("x"))
+    """path, added, removed lines between old_text and new_text (null: no file, which has no
+    lines), from line counts alone (moved lines do not count)."""
+    lines_of = lambda c: F.when(F.col(c).isNull(), F.array().cast("array<string>")).otherwise(F.split(c, "\n", -1))
+    both = F.concat(F.transform(lines_of("old_text"), lambda x: F.struct(x.alias("t"), F.lit(-1).alias("d"))), F.transform(lines_of("new_text"), lambda x: F.struct(x.alias("t"), F.lit(1).alias("d"))))
+    rows = pairs.select("path", F.explode(both).alias("x"))
     net = rows.groupBy("path", "x.t").agg(F.sum("x.d").alias("d"))
     return net.groupBy("path").agg(F.sum(F.greatest("d", F.lit(0))).alias("added"), F.sum(F.greatest(-F.col("d"), F.lit(0))).alias("removed"))
 
@@ -251,6 +253,10 @@ def stale(located: DataFrame, wanted: DataFrame) -> DataFrame:
     return agg.select("path", "name", "hash", F.when(F.col("n") == 0, "gone").when(F.col("same"), "fresh").otherwise("stale").alias("state"))
 
 
+#: Failed requests that are remembered.
+RING = 128
+
+
 def signature_of(edit: dict) -> str:
     return hashlib.sha256(repr(sorted(edit.items())).encode()).hexdigest()[:16]
 
@@ -261,5 +267,11 @@ def check(path: str, text: str, lang: str, before: str) -> None:
         raise EditError("PARSE_ERROR", path)
 
 
-def has_word(name: str):
-    return F.col("text").rlike(rf"(^|[^A-Za-z0-9_]){tx.escape(name)}([^A-Za-z0-9_]|$)")
+def unreadable(changed: DataFrame) -> DataFrame:
+    """path of changed files (path, text, lang, old) that read as their language before and no longer do."""
+
+    @F.pandas_udf("boolean")
+    def broken(text: pd.Series, lang: pd.Series, old: pd.Series) -> pd.Series:
+        return pd.Series([not parses(t, x) and parses(o, x) for t, x, o in zip(text, lang, old, strict=True)])
+
+    return changed.filter(broken("text", "lang", "old")).select("path")

@@ -8,30 +8,26 @@ from pyspark.sql import Window as W
 
 from ..functions import paths
 from ..functions import text as tx
-from ..sources.corpus import Corpus, explode_lines
-from .code import call_identifiers, code_identifiers
+from ..sources.corpus import Corpus
+from ..sources.store import checkpoint
+from .code import CODE, call_identifiers, code_identifiers, stripped
 
 DAMPING, ITERATIONS = 0.85, 30
 MAX_DEPTH = 5
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iterative plan, in the shared folder."""
-    import tempfile
+def symbol_identifiers(corpus: Corpus, min_len: int = 3) -> DataFrame:
+    """path, ord, name, start, end, ident: distinct code identifiers in the body of each symbol."""
+    return corpus.uses.filter(F.length("ident") >= min_len)
 
-    sc = df.sparkSession.sparkContext
-    if not (sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="textquarry-"))
-    return df.checkpoint()
 
-
-def symbol_identifiers(corpus: Corpus, calls_only: bool = False, min_len: int = 3) -> DataFrame:
-    """path, start, end, name, ident: distinct code identifiers in the body of each symbol."""
-    lang = corpus.files.select(F.col("path").alias("p"), "lang")
-    rows = corpus.symbols.join(lang, F.col("path") == F.col("p"))
-    found = call_identifiers(F.col("body"), F.col("lang")) if calls_only else code_identifiers(F.col("body"), F.col("lang"))
-    rows = rows.select("path", "ord", "name", "start", "end", F.explode(F.array_distinct(found)).alias("ident"))
-    return rows.filter(F.length("ident") >= min_len)
+def symbol_calls(corpus: Corpus, min_len: int = 3) -> DataFrame:
+    """path, ord, name, start, end, ident: as symbol_identifiers(), in call position only."""
+    rows = corpus.symbols
+    if "lang" not in rows.columns:
+        rows = rows.join(corpus.files.select("path", "lang"), "path")
+    found = F.array_distinct(call_identifiers(F.col("body"), F.col("lang")))
+    return rows.select("path", "ord", "name", "start", "end", F.explode(found).alias("ident")).filter(F.length("ident") >= min_len)
 
 
 def definitions(corpus: Corpus, name: str) -> DataFrame:
@@ -44,25 +40,17 @@ def references(corpus: Corpus, name: str, cap: int | None = None) -> DataFrame:
 
     word = rf"(^|[^A-Za-z0-9_]){tx.escape(name)}([^A-Za-z0-9_]|$)"
     files = prune(corpus.files, [name], fold=False)
-    hits = explode_lines(files).filter(F.col("text").rlike(word))
-    coded = code_lines(files, name)
-    if coded is not None:
-        hits = hits.join(coded, ["path", "line"], "left_semi")
+    shown = tx.lines(F.col("text"))
+    coded = F.when(F.col("lang").isin(*CODE), tx.lines(stripped(F.col("text"), F.col("lang"), keep_lines=True))).otherwise(shown)
+    # numbered in the row: lines that hold the name, and hold it outside comments and strings
+    rows = files.select("path", F.arrays_zip(shown.alias("text"), coded.alias("code")).alias("x"))
+    rows = rows.select("path", F.posexplode("x").alias("line", "x")).filter(F.col("x.code").rlike(word) & F.col("x.text").rlike(word))
+    hits = rows.select("path", (F.col("line") + 1).alias("line"), F.col("x.text").alias("text"))
     own = corpus.symbols.filter(F.col("name") == name).select("path", F.col("start").alias("line"))
     hits = hits.join(own, ["path", "line"], "left_anti").select("path", F.col("line").cast("long").alias("line"), "text")
     return hits.orderBy("path", "line").limit(cap) if cap else hits
 
 
-def code_lines(files: DataFrame, name: str) -> DataFrame | None:
-    """path, line where the name stands outside comments and strings, for files in a
-    programming language; None where all files are prose."""
-    from .code import stripped
-
-    rows = files.select("path", stripped(F.col("text"), F.col("lang"), keep_lines=True).alias("text"))
-    word = rf"(^|[^A-Za-z0-9_]){tx.escape(name)}([^A-Za-z0-9_]|$)"
-    return explode_lines(rows).filter(F.col("text").rlike(word)).select("path", "line")
-
-
 def callers(corpus: Corpus, name: str) -> DataFrame:
     """Symbols whose body names the given one, but for itself."""
     found = symbol_identifiers(corpus).filter((F.col("ident") == name) & (F.col("name") != name))
@@ -71,7 +59,7 @@ def callers(corpus: Corpus, name: str) -> DataFrame:
 
 def callees(corpus: Corpus, name: str) -> DataFrame:
     """Definitions of what the given symbol names in call position."""
-    idents = symbol_identifiers(corpus, calls_only=True).filter(F.col("name") == name).select("ident").distinct()
+    idents = symbol_calls(corpus).filter(F.col("name") == name).select("ident").distinct()
     d = corpus.symbols.filter(F.col("name") != name).select("path", "name", F.col("start").cast("long").alias("start"))
     return d.join(idents, F.col("name") == F.col("ident"), "left_semi").withColumnRenamed("name", "callee").distinct()
 
@@ -107,28 +95,56 @@ def reach(pairs: DataFrame, start: str, depth: int = MAX_DEPTH) -> DataFrame:
 
 
 def impact(corpus: Corpus, name: str, depth: int = MAX_DEPTH, min_len: int = 3) -> DataFrame:
-    """Symbols that use the given one, directly or through others."""
-    known = corpus.symbols.select(F.col("name").alias("ident")).distinct()
-    uses = symbol_identifiers(corpus, min_len=min_len).filter("ident <> name").join(known, "ident", "left_semi")
-    return reach(uses.select(F.col("ident").alias("name"), "path", F.col("name").alias("to"), F.col("start").cast("long").alias("start")).persist(), name, depth)
+    """Symbols that use the given one, directly or through others; none for a name that nothing defines."""
+    uses = symbol_identifiers(corpus, min_len).filter("ident <> name")
+    pairs = uses.select(F.col("ident").alias("name"), "path", F.col("name").alias("to"), F.col("start").cast("long").alias("start"))
+    # what is reached has a definition; the name asked for may have none
+    defined = not corpus.symbols.filter(F.col("name") == name).isEmpty()
+    return reach(pairs if defined else pairs.filter("false"), name, depth)
 
 
 def callgraph(corpus: Corpus, name: str, depth: int = MAX_DEPTH, calls_only: bool = True, min_len: int = 3) -> DataFrame:
-    """Definitions that the given symbol calls, directly or through others."""
-    uses = symbol_identifiers(corpus, calls_only=calls_only, min_len=min_len).filter("ident <> name").select("name", "ident").distinct()
-    d = corpus.symbols.select(F.col("name").alias("to"), "path", F.col("start").cast("long").alias("start"))
-    return reach(uses.join(d, F.col("ident") == F.col("to")).select("name", "path", "to", "start").persist(), name, depth)
+    """path, name, start, depth of definitions that the given symbol calls (or, not
+    calls_only, names), directly or through others."""
+    found = symbol_calls(corpus, min_len) if calls_only else symbol_identifiers(corpus, min_len)
+    defined = corpus.symbols.select(F.col("name").alias("ident")).distinct()
+    # names lead to names; the definitions join in once
+    named = found.filter("ident <> name").select("name", "ident").distinct().join(defined, "ident", "left_semi")
+    seen, frontier = None, None
+    for d in range(1, min(depth, MAX_DEPTH) + 1):
+        step = named.filter(F.col("name") == name) if frontier is None else named.join(frontier, "name", "left_semi")
+        new = step.select(F.col("ident").alias("name")).distinct()
+        new = new if seen is None else new.join(seen, "name", "left_anti")
+        new = checkpoint(new.withColumn("depth", F.lit(d).cast("long")))
+        if new.isEmpty():
+            break
+        seen = new if seen is None else seen.unionByName(new)
+        frontier = new.select("name").filter(F.col("name") != name)
+    d = corpus.symbols.select("path", "name", F.col("start").cast("long").alias("start")).distinct()
+    if seen is None:
+        return d.withColumn("depth", F.lit(1).cast("long")).filter("false")
+    return d.join(seen, "name").select("path", "name", "start", "depth")
 
 
 def reach_counts(found: DataFrame) -> DataFrame:
     return found.agg(F.count_if(F.col("depth") == 1).alias("direct"), F.count("*").alias("all"))
 
 
-def reference_edges(corpus: Corpus, min_name_len: int = 3) -> DataFrame:
-    """src, dst: a file names a symbol that another file defines."""
-    idents = corpus.files.select(F.col("path").alias("src"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(tx.IDENT), F.lit(0)))).alias("name"))
+def naming(corpus: Corpus, min_name_len: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(src, name): names of other files' symbols that a file holds; (dst, name): names of the symbols of a file."""
     names = corpus.symbols.select(F.col("path").alias("dst"), "name").filter(F.length("name") >= min_name_len).distinct()
-    return idents.filter(F.length("name") >= min_name_len).join(names, "name").filter("src <> dst").select("src", "dst").distinct()
+    known = names.select("name").distinct()
+    idents = corpus.files.select(F.col("path").alias("src"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(tx.IDENT), F.lit(0)))).alias("name"))
+    return idents.filter(F.length("name") >= min_name_len).join(known, "name", "left_semi"), names
+
+
+def reference_edges(corpus: Corpus, min_name_len: int = 3) -> DataFrame:
+    """src, dst: a file names a symbol that another file defines.
+
+    As many rows as there are such pairs of files, with the square of the files for a
+    word that all of them hold."""
+    idents, names = naming(corpus, min_name_len)
+    return idents.join(names, "name").filter("src <> dst").select("src", "dst").distinct()
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS) -> DataFrame:
@@ -172,16 +188,28 @@ def repo_map(corpus: Corpus, ranks: DataFrame, budget: int, per_file: int = 6) -
     return rows.withColumn("used", cost).filter(F.col("used") <= budget).select("path", "rank", "names", F.col("used").cast("long").alias("used"))
 
 
-def imports(corpus: Corpus, name: str, target: str) -> list[str]:
-    """How the target file brings in the symbol, one statement per file that defines it."""
-    found = corpus.symbols.filter(F.col("name") == name).select("path").distinct().orderBy("path").limit(20).collect()
-    return [paths.import_statement(name, target, r["path"]) for r in found]
+def imports(corpus: Corpus, wanted: DataFrame) -> DataFrame:
+    """name, target, definition, statement: how target files bring in symbols (wanted: name, target),
+    one statement per file that defines one."""
+    defined = corpus.symbols.select("name", F.col("path").alias("definition")).distinct()
+    both = defined.join(wanted, "name").filter("definition <> target")
+    return both.select("name", "target", "definition", paths.import_statement(F.col("name"), F.col("target"), F.col("definition")).alias("statement"))
+
+
+def package_roots(files: DataFrame, tree: DataFrame) -> DataFrame:
+    """path, root: the nearest directory above each file that holds a package manifest in the tree; null without."""
+    parts = F.split("path", "/")
+    folder = lambda p, n: F.array_join(F.slice(p, 1, n), "/")
+    marked = tree.filter(F.element_at(parts, -1).isin(*paths.MANIFESTS)).select(folder(parts, F.size(parts) - 1).alias("root")).distinct()
+    own = files.select("path").distinct()
+    above = own.select("path", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: folder(parts, i))).alias("root"))
+    nearest = above.join(marked, "root").groupBy("path").agg(F.max_by("root", F.length("root")).alias("root"))
+    return own.join(nearest, "path", "left")
 
 
-def package_root(files: DataFrame, path: str) -> str | None:
-    """The nearest directory above a file that holds a package manifest."""
-    dirs = path.split("/")[:-1]
-    above = ["/".join(dirs[:i]) for i in range(len(dirs), -1, -1)]
-    wanted = {(f"{d}/{m}" if d else m): d for d in above for m in paths.MANIFESTS}
-    hit = {wanted[r["path"]] for r in files.filter(F.col("path").isin(list(wanted))).select("path").collect()}
-    return next((d for d in above if d in hit), None)
+def blast_radius(corpus: Corpus, names: list[str]) -> DataFrame:
+    """name, n, files: how many lines in how many files refer to each of some symbols; those that none does are left out."""
+    out = corpus.files.select(F.lit("").alias("name"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("files")).filter("false")
+    for name in names:
+        out = out.unionByName(references(corpus, name).agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.countDistinct("path").alias("files")))
+    return out.filter("n > 0")

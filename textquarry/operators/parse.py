@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # Words that head an item, by language, the first that fits.
 HEADS = {
@@ -31,7 +32,7 @@ HEADS = {
 }
 # Words that may stand before a head.
 MODIFIERS = ("pub(crate)", "pub", "async", "unsafe", "default", "export", "static", "abstract", "declare")
-SCHEMA = "path string, ord int, kind string, name string, signature string, start int, end int, body string"
+SCHEMA = "path string, ord int, kind string, name string, signature string, start int, end int, body string, lang string"
 Item = tuple[str, str, int, int]  # kind, header, first line, last line
 
 
@@ -114,12 +115,36 @@ def split_lines(text: str) -> list[str]:
 
 
 def parse_symbols(text: str, lang: str, registry: dict | None = None) -> list[tuple[str, str, str, int, int, str]]:
-    """kind, name, signature, start, end, body of each item; none for other languages."""
+    """kind, name, signature, start, end, body of each item, one per span and kind; none for other languages."""
     parser = (registry or REGISTRY).get(lang)
     if not parser:
         return []
     lines = split_lines(text)
-    return [(kind, item_name(kind, header), signature(header), a, b, "\n".join(lines[a - 1 : b])) for kind, header, a, b in parser(lines)]
+    items = {(a, b, kind): header for kind, header, a, b in reversed(list(parser(lines)))}  # of equal ones the first
+    found = sorted(((a, b, kind, header) for (a, b, kind), header in items.items()), key=lambda x: (x[0], -x[1]))
+    return [(kind, item_name(kind, header), signature(header), a, b, "\n".join(lines[a - 1 : b])) for a, b, kind, header in found]
+
+
+def nested_symbols(text: str, lang: str) -> list[tuple[int, str, str, int, int, str]]:
+    """depth, kind, name, start, end, body of items and of those inside them, in order."""
+    out: list[tuple[int, str, str, int, int, str]] = []
+    if lang == "python":  # its items are found at any depth
+        open_: list[int] = []
+        for kind, name, _, a, b, body in parse_symbols(text, lang):
+            while open_ and open_[-1] < a:
+                open_.pop()
+            out.append((len(open_), kind, name, a, b, body))
+            open_.append(b)
+        return out
+    work = [(0, 0, text)]
+    while work:
+        depth, before, part = work.pop()
+        for kind, name, _, a, b, body in parse_symbols(part, lang):
+            out.append((depth, kind, name, a + before, b + before, body))
+            inner = body.split("\n", 1)
+            if len(inner) > 1:
+                work.append((depth + 1, a + before, inner[1]))
+    return sorted(out, key=lambda x: (x[3], -x[4], x[0]))
 
 
 def code_symbols(files: DataFrame, registry: dict | None = None) -> DataFrame:
@@ -127,39 +152,76 @@ def code_symbols(files: DataFrame, registry: dict | None = None) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            out = [(p, i, *s) for p, t, lang in zip(rows.path, rows.text, rows.lang, strict=True) for i, s in enumerate(parse_symbols(t, lang, registry))]
+            out = [(p, i, *s, lang) for p, t, lang in zip(rows.path, rows.text, rows.lang, strict=True) for i, s in enumerate(parse_symbols(t, lang, registry))]
             if out:
-                yield pd.DataFrame(out, columns=["path", "ord", "kind", "name", "signature", "start", "end", "body"])
+                yield pd.DataFrame(out, columns=["path", "ord", "kind", "name", "signature", "start", "end", "body", "lang"])
 
     return files.select("path", "text", "lang").mapInPandas(run, SCHEMA)
 
 
-def python_tree(text: str, cap: int = 400) -> list[str]:
-    """The syntax tree of Python code, one indented line per node."""
-    import ast
+NODES = "path string, ord int, depth int, field string, kind string, name string, start int, end int"
 
-    out: list[str] = []
 
-    def walk(node: ast.AST, depth: int, field: str) -> None:
-        if len(out) >= cap:
-            return
-        at = f" L{node.lineno}-{node.end_lineno}" if hasattr(node, "lineno") else ""
-        out.append(f"{'  ' * depth}{field + ': ' if field else ''}{type(node).__name__}{at}")
-        for name, value in ast.iter_fields(node):
-            for x in value if isinstance(value, list) else [value]:
-                if isinstance(x, ast.AST):
-                    walk(x, depth + 1, name)
+def python_nodes(text: str) -> list[tuple[int, str, str, str, int, int]]:
+    """depth, field, kind, name, start, end of the nodes of Python code in order; 0 for those without a place."""
+    import ast
 
-    walk(ast.parse(text), 0, "")
+    out, work = [], [(ast.parse(text), 0, "")]
+    while work:
+        node, depth, field = work.pop()
+        name = getattr(node, "name", None) or getattr(node, "id", None) or getattr(node, "attr", None) or getattr(node, "arg", None) or ""
+        out.append((depth, field, type(node).__name__, name if isinstance(name, str) else "", getattr(node, "lineno", 0), getattr(node, "end_lineno", 0) or 0))
+        inner = [(x, depth + 1, f) for f, v in ast.iter_fields(node) for x in (v if isinstance(v, list) else [v]) if isinstance(x, ast.AST)]
+        work += reversed(inner)
     return out
 
 
-def python_query(text: str, kind: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, name, kind) of the nodes of one type in Python code."""
-    import ast
+def file_nodes(text: str, lang: str) -> list[tuple[int, str, str, str, int, int]]:
+    """Syntax nodes of a file: Python's own, the items of other languages (and of Python that cannot be read)."""
+    if lang == "python":
+        try:
+            return python_nodes(text)
+        except (SyntaxError, ValueError):
+            pass
+    return [(depth, "", kind, name, a, b) for depth, kind, name, a, b, _ in nested_symbols(text, lang)]
+
+
+def syntax_nodes(files: DataFrame) -> DataFrame:
+    """path, ord, depth, field, kind, name, start, end of the syntax nodes of all files, by file."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for path, text, lang in zip(rows.path, rows.text, rows.lang, strict=True):
+                if found := file_nodes(text, lang):
+                    out = pd.DataFrame(found, columns=["depth", "field", "kind", "name", "start", "end"])
+                    yield out.assign(path=path, ord=range(len(out)))[["path", "ord", "depth", "field", "kind", "name", "start", "end"]]
+
+    return files.filter(F.col("lang").isin(*HEADS)).select("path", "text", "lang").mapInPandas(run, NODES)
+
+
+def node_query(files: DataFrame, q: str, cap: int | None = None) -> DataFrame:
+    """path, ord, start, end, kind, name of nodes of a kind, ``kind`` or ``kind name``; the first `cap` matches
+    of all files.  Kinds and names are compared as they are."""
+    kind, _, name = q.strip().partition(" ")
+    found = syntax_nodes(files).filter((F.col("kind") == kind) & (F.col("start") > 0))
+    found = found.filter(F.col("name") == name.strip()) if name.strip() else found
+    found = found.select("path", "ord", "start", "end", "kind", "name")
+    return found.orderBy("path", "ord").limit(cap) if cap else found
+
+
+#: Lines of a syntax tree that is shown.
+SHOWN = 400
+
 
-    found = [n for n in ast.walk(ast.parse(text)) if type(n).__name__ == kind and hasattr(n, "lineno")]
-    return sorted({(n.lineno, n.end_lineno, getattr(n, "name", getattr(n, "id", "")), kind) for n in found})
+def node_tree(files: DataFrame, lines: tuple[int, int] | None = None, cap: int = SHOWN) -> DataFrame:
+    """path, tree: the nodes of each file (or those that touch a range of lines), one indented line each."""
+    at = F.when(F.col("start") > 0, F.format_string(" L%d-%d", "start", "end")).otherwise("")
+    line = F.concat(F.expr("repeat('  ', depth)"), F.when(F.col("field") != "", F.concat("field", F.lit(": "))).otherwise(""), "kind", F.when(F.col("name") != "", F.concat(F.lit(" "), "name")).otherwise(""), at)
+    rows = syntax_nodes(files)
+    if lines:
+        rows = rows.filter((F.col("start") <= lines[1]) & (F.col("end") >= lines[0]))
+    listed = rows.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))).alias("x"))
+    return listed.select("path", F.array_join(F.transform(F.slice("x", 1, cap), lambda s: s["line"]), "\n").alias("tree"))
 
 
 def balanced(text: str) -> bool:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,12 +24,13 @@ def prune(files: DataFrame, literals: list[str], fold: bool = True) -> DataFrame
 
 def line_hits(corpus: Corpus, predicate, *, literals: list[str] = (), per_file: int | None = None) -> DataFrame:
     """path, line, text of lines that satisfy a predicate; of each file the first per_file."""
-    lines = explode_lines(prune(corpus.files, list(literals)))
-    hits = lines.filter(predicate(F.col("text")))
-    if per_file is not None:
-        order = W.partitionBy("path").orderBy("line")
-        hits = hits.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_file).drop("r")
-    return hits
+    files = prune(corpus.files, list(literals))
+    if per_file is None:
+        return explode_lines(files).filter(predicate(F.col("text")))
+    # numbered, chosen and cut off inside the row
+    told = F.transform(tx.lines(F.col("text")), lambda t, i: F.struct((i + 1).alias("line"), t.alias("text")))
+    rows = files.select("path", F.explode(F.slice(F.filter(told, lambda x: predicate(x["text"])), 1, per_file)).alias("x"))
+    return rows.select("path", "x.line", "x.text")
 
 
 def regex_hits(corpus: Corpus, q: str, per_file: int | None = None) -> DataFrame:
@@ -49,7 +49,7 @@ def enclosing(hits: DataFrame, corpus: Corpus) -> DataFrame:
     both = hits.join(s, (F.col("path") == F.col("p")) & F.col("line").between(F.col("start"), F.col("end")), "left")
     best = F.min(F.when(F.col("p").isNotNull(), F.struct((F.col("end") - F.col("start")).alias("span"), "ord", "kind", "name", "start", "end", "id")))
     own = format_locator(F.col("path"), F.lit(None).cast("string"), F.col("line"), F.col("line"), short_hash(F.col("text")))
-    out = both.groupBy("path", "line", "text").agg(best.alias("s"))
+    out = both.groupBy("path", "line").agg(F.first("text").alias("text"), best.alias("s"))
     return out.select(
         "path", "line", "text", F.col("s.kind").alias("kind"), F.col("s.name").alias("name"),
         F.coalesce("s.start", "line").alias("start"), F.coalesce("s.end", "line").alias("end"), F.coalesce("s.id", own).alias("id"),
@@ -100,22 +100,16 @@ def semantic(whole: Corpus, scoped: Corpus, q: str, k: int) -> DataFrame:
     words = tx.py_subwords(q)
     if not words:
         return scoped.located.select("id", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("rank")).filter("false")
-    text = F.concat_ws(" ", "name", "signature")
-    bag = F.array_distinct(tx.subwords(text))
     distinct = sorted(set(words))
-    wanted = F.array(*[F.lit(w) for w in distinct])
-    # a subword is a piece of the text in lower case, so most symbols need not be split
-    maybe = reduce(lambda a, b: a | b, (F.contains(F.lower(text), F.lit(w)) for w in distinct))
-    # N and the frequency of each word of the query: aggregates over the symbols
+    # the postings of the query's words: N, and how often each stands
     n = whole.symbols.count()
-    has = [F.count_if(F.array_contains("bag", w)).alias(f"df{i}") for i, w in enumerate(distinct)]
-    stats = whole.symbols.filter(maybe).select(bag.alias("bag")).agg(*has).first()
-    weight = {w: words.count(w) * (math.log(n / stats[f"df{i}"]) + 1) for i, w in enumerate(distinct) if stats[f"df{i}"]}
+    df = {r["subword"]: r["n"] for r in whole.subwords.filter(F.col("subword").isin(distinct)).groupBy("subword").agg(F.count("*").alias("n")).collect()}
     score = F.lit(0.0)
-    for w, x in sorted(weight.items()):
-        score = score + F.when(F.array_contains("bag", w), F.lit(x)).otherwise(F.lit(0.0))
-    found = scoped.located.filter(maybe).select("id", bag.alias("bag")).filter(F.arrays_overlap("bag", wanted)).select("id", score.alias("score"))
-    return ranked(found.groupBy("id").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "id").limit(k), F.desc("score"), "id")
+    for w in distinct:
+        if w in df:
+            score = score + F.when(F.array_contains("bag", w), F.lit(words.count(w) * (math.log(n / df[w]) + 1))).otherwise(F.lit(0.0))
+    found = scoped.subwords.filter(F.col("subword").isin(distinct)).groupBy("id").agg(F.collect_set("subword").alias("bag")).select("id", score.alias("score"))
+    return ranked(found.orderBy(F.desc("score"), "id").limit(k), F.desc("score"), "id")
 
 
 def mentions(corpus: Corpus, q: str) -> DataFrame:

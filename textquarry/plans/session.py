@@ -8,13 +8,16 @@ from dataclasses import asdict
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import paths
 from ..functions import text as tx
-from ..functions.locators import parse_symbol_query, register
+from ..functions.locators import parse_line_range, parse_symbol_query, register
 from ..operators import edits as ed
 from ..operators import graph, pack, parse, read, search
 from ..sources import files as fs
 from ..sources.corpus import Corpus, prose_symbols, repo_outline
+from ..sources.store import checkpoint
 from .model import ApplyRequest, Edit, Query, Request
+from .pending import Pending
 
 HELP = (
     "modes: auto lexical structural graph semantic ast diagnose; "
@@ -23,6 +26,8 @@ HELP = (
     "edits: new_body anchor/replace (word) rename move_to @after @before @into @end @new @delete undo"
 )
 SEEN_MOST = 50_000
+#: Changed files whose diffs, and whose names, an answer has at most; the number of all is told.
+DIFFS, NAMES = 60, 10_000
 
 
 class Session:
@@ -36,14 +41,14 @@ class Session:
         register(spark)
         self.audit = fs.Audit()
         self.seen: set[str] = set()
-        self.failed: set[str] = set()
+        self.failed: dict[str, None] = {}  # the last RING of them
         rows = corpus.files.select("path", F.lit(0).cast("long").alias("revision"), "text", F.lit("put").alias("op"), F.lit(0).cast("long").alias("batch_id"))
         self.versions, self.corpus, self.last_diags = rows, corpus, None
 
     @classmethod
     def from_dir(cls, spark: SparkSession, root: str) -> Session:
         # a snapshot: plans must not read the tree again after it was edited
-        files = graph.checkpoint(fs.scan(spark, root))
+        files = checkpoint(fs.scan(spark, root))
         return cls(spark, Corpus(files, parse.code_symbols(files)), root)
 
     # Search.
@@ -60,7 +65,9 @@ class Session:
             found = read.diagnose(blob, self.corpus)
             return found.select(F.concat("path", F.lit("@L"), F.col("line").cast("string")).alias("id"), F.concat_ws("\n", "severity", "message", "around").alias("text"), F.lit(1.0).alias("score"))
         if q.detail == "import":
-            return self._rows([(f"{name}@{i}", s, 1.0) for i, s in enumerate(graph.imports(self.corpus, name, q.path or ""))])
+            wanted = self.spark.createDataFrame([(name, q.path or "")], "name string, target string")
+            rows = graph.imports(self.corpus, wanted).orderBy("definition").limit(20)
+            return rows.select(F.concat("name", F.lit("@"), "definition").alias("id"), F.col("statement").alias("text"), F.lit(1.0).alias("score"))
         if q.detail == "impact":
             return self._reached(graph.impact(part, name))
         if q.detail == "context":
@@ -142,14 +149,18 @@ class Session:
         return rows.select(F.concat("path", F.lit("#"), "name", F.lit("@L"), F.col("start").cast("string")).alias("id"), F.concat(F.lit("depth "), F.col("depth").cast("string")).alias("text"), (1 / F.col("depth")).alias("score"))
 
     def _ast(self, part: Corpus, q: Query) -> DataFrame:
-        rows = part.files.filter(F.col("lang") == "python") if q.path is None else part.files.filter((F.col("path") == q.path) & (F.col("lang") == "python"))
-        out = []
-        for r in rows.orderBy("path").limit(4 * q.k).collect():
-            if q.detail == "ast" and q.mode != "ast":
-                out.append((r["path"], "\n".join(parse.python_tree(r["text"])), 1.0))
-            else:
-                out += [(f"{r['path']}@L{a}-{b}", f"{kind} {name}", 1.0) for a, b, name, kind in parse.python_query(r["text"], q.q)]
-        return self._rows(out[: 4 * q.k] or [("ast", "no grammar for these files", 0.0)])
+        """Nodes of a kind in all files of the scope, or the tree of a file."""
+        files = part.files if q.path is None else part.files.join(search.resolve_path(part.files, q.path), "path", "left_semi")
+        if q.detail == "ast" and q.mode != "ast":
+            lines = None
+            if q.lines:
+                total = files.agg(F.max(F.size(tx.lines(F.col("text"))))).first()[0] or 0
+                lines = parse_line_range(q.lines, total)
+            rows = parse.node_tree(files.orderBy("path").limit(q.k), lines)
+            return rows.select(F.col("path").alias("id"), F.col("tree").alias("text"), F.lit(1.0).alias("score"))
+        rows = parse.node_query(files, q.q, 4 * q.k)
+        at = F.format_string("%s@L%d-%d", "path", "start", "end")
+        return rows.select(F.concat(at, F.lit("."), F.col("ord").cast("string")).alias("id"), F.concat_ws(" ", "kind", "name").alias("text"), F.lit(1.0).alias("score"))
 
     def _shown(self, found: DataFrame, part: Corpus, q: Query) -> DataFrame:
         """Results with the text that the detail asks for."""
@@ -187,36 +198,39 @@ class Session:
     # Edits.
 
     def apply(self, request) -> dict:
-        """Prepare every edit, check the whole, then commit; on an error nothing changes.
+        """Prepare every edit on what the ones before it left, check the whole, then commit;
+        on an error nothing changes.
 
-        Returns the diffs by path, the new revision, and notes."""
+        Returns diffs by path (of the first DIFFS), the new revision, the paths, their number, and notes."""
         req = ApplyRequest.of(request)
         if req.run:
             raise ed.EditError("RUN_DISABLED", "commands are not run; pass their output to diagnose")
         if req.undo:
-            delta = self._undo(req.undo)
+            changes = self._undo(req.undo)
         else:
             key = ed.signature_of({"edits": [asdict(e) for e in req.edits]})
             if key in self.failed:
                 raise ed.EditError("REPEATED", "the same request failed before and nothing has changed since")
             try:
-                delta = self._prepare(req.edits)
+                changes = self._prepare(req.edits)
             except ed.EditError:
-                self.failed.add(key)
+                self.failed = dict.fromkeys([*self.failed, key][-ed.RING :])
                 raise
-        before = {p: t for p, t in ((r["path"], r["text"]) for r in self._texts(list(delta)))}
-        diffs = {p: ed.unified_diff(p, before.get(p) or "", t or "") for p, t in delta.items()}
+        changes = checkpoint(changes)
+        n = changes.count()
+        shown = changes.orderBy("path").limit(DIFFS).collect()
+        diffs = {r["path"]: ed.unified_diff(r["path"], r["before"] or "", r["text"] or "") for r in shown}
+        names = [r["path"] for r in changes.select("path").orderBy("path").limit(NAMES).collect()]
         notes = [] if req.undo else self._uses(req.edits)
-        if not req.dry_run and delta:
-            self._commit(delta)
-        self.audit.record("apply", f"{len(delta)} files{' (dry run)' if req.dry_run else ''}")
-        return {"diffs": diffs, "revision": self.revision, "files": sorted(delta), "notes": notes}
+        if not req.dry_run and n:
+            self._commit(changes)
+        self.audit.record("apply", f"{n} files{' (dry run)' if req.dry_run else ''}")
+        return {"diffs": diffs, "revision": self.revision, "files": names, "n_files": n, "notes": notes}
 
     def _uses(self, edits: tuple[Edit, ...]) -> list[str]:
         """Who else depends on the symbols that got a new body."""
         names = sorted({parse_symbol_query(e.locator)[1] for e in edits if e.new_body is not None and "#" in e.locator and "@" not in e.locator.split("@L")[0]})
-        counts = [(n, graph.references(self.corpus, n).agg(F.count("*").alias("n"), F.countDistinct("path").alias("p")).first()) for n in names]
-        return [f"{n}: {c['n']} references in {c['p']} files" for n, c in counts if c["n"]]
+        return [f"{r['name']}: {r['n']} references in {r['files']} files" for r in graph.blast_radius(self.corpus, names).orderBy("name").collect()]
 
     def reindex(self, path: str | None = None) -> dict[str, int]:
         """Read the tree (or one file) again: what changed on disk becomes a new revision.
@@ -224,88 +238,87 @@ class Session:
         Returns how many files were put and deleted; unchanged ones are not parsed again."""
         if not self.root:
             return {"put": 0, "deleted": 0}
-        now, old = fs.scan(self.spark, self.root).select("path", "text"), self.corpus.files.select("path", F.col("text").alias("old"))
-        both = now.join(old, "path", "full_outer").filter(~F.col("text").eqNullSafe(F.col("old")))
-        both = both.filter(F.col("path") == path) if path else both
-        delta = {r["path"]: r["text"] for r in both.select("path", "text").collect()}
-        if delta:
-            self._commit(delta, write=False)
-        return {"put": sum(t is not None for t in delta.values()), "deleted": sum(t is None for t in delta.values())}
-
-    def _texts(self, names: list[str]) -> list:
-        return self.corpus.files.filter(F.col("path").isin(names)).select("path", "text", "lang").collect() if names else []
-
-    def _file(self, path: str, delta: dict) -> tuple[str, str]:
-        row = next(iter(self._texts([path])), None)
-        text = delta.get(path, row["text"] if row else None)
-        if text is None:
-            raise ed.EditError("PATH_NOT_FOUND", path)
-        from ..functions.paths import py_language
-
-        return text, row["lang"] if row else py_language(path, text)
-
-    def _prepare(self, edits: tuple[Edit, ...]) -> dict[str, str | None]:
-        delta: dict[str, str | None] = {}
+        now, old = fs.scan(self.spark, self.root).select("path", "text"), self.corpus.files.select("path", F.col("text").alias("before"))
+        both = now.join(old, "path", "full_outer").filter(~F.col("text").eqNullSafe(F.col("before")))
+        changes = checkpoint((both.filter(F.col("path") == path) if path else both).select("path", "text", "before"))
+        n = changes.agg(F.count("text").alias("put"), F.count_if(F.col("text").isNull()).alias("deleted")).first().asDict()
+        if n["put"] or n["deleted"]:
+            self._commit(changes, write=False)
+        return n
+
+    def _prepare(self, edits: tuple[Edit, ...]) -> DataFrame:
+        """path, text, before of all files that the edits change."""
+        now = Pending(self.corpus.files)
         for e in edits:
-            if e.lazy_edit is not None:
-                raise ed.EditError("NOT_ENABLED", "lazy_edit")
-            head = e.locator.split(" :: ")[0]
-            verb = head.rsplit("@", 1)[1] if "@" in head and not head.rsplit("@", 1)[1].startswith("L") else ""
-            head = head[: -len(verb) - 1] if verb else head
-            path, name = parse_symbol_query(head)
-            path, name = (path, name) if path else (name, "")
-            start = int(head.rsplit("@L", 1)[1].split("-")[0]) if "@L" in head else None
-            if e.rename and name:
-                delta |= self._rename(path, name, e)
-                continue
-            if e.path_scope and e.anchor is not None:
-                delta |= {r["path"]: r["new_text"] for r in ed.bulk_replace(self.corpus.files, list(e.path_scope), e.anchor, e.replace or "").collect()}
-                continue
-            if verb == "new":
-                if self._texts([path]) or delta.get(path):
-                    raise ed.EditError("EXISTS", path)
-                delta[path] = e.new_body or ""
-                continue
-            if verb == "delete" and not name:
-                self._file(path, delta)
-                delta[path] = None
-                continue
-            text, lang = self._file(path, delta)
-            self._guard_generated(path, e)
-            span = ed.resolve_span(text, lang, name, start) if name else None
-            if span and " :: " in e.locator and not e.locator.endswith(self._hash(span.body)):
-                raise ed.EditError("STALE", e.locator)
-            if verb == "delete":
-                if not e.force and (uses := graph.references(self.corpus, span.name).limit(1).collect()):
-                    raise ed.EditError("STILL_USED", f"{span.name} in {uses[0]['path']}")
-                new = ed.delete_symbol(text, span)
-            elif verb:
-                new = ed.insert(text, verb, e.new_body or "", span)
-            elif e.move_to:
-                there = self._texts([e.move_to])
-                body = "\n".join(text.split("\n")[ed.leading_start(text.split("\n"), span.start) - 1 : span.end])
-                target = delta.get(e.move_to) or (there[0]["text"] if there else "")
-                delta[e.move_to] = ed.insert(target, "end", ("\n" if target.strip() else "") + body)
-                new = ed.delete_symbol(text, span)
-            elif e.anchor is not None and e.word and span:
-                body, n = ed.replace_word(span.body, e.anchor, e.replace or "", lang)
-                if not n:
-                    raise ed.EditError("ANCHOR_NOT_FOUND", e.anchor)
-                new = ed.replace_body(text, span, body)
-            elif e.anchor is not None:
-                new = ed.replace_anchor(text, e.anchor, e.replace or "", span)
-            elif e.new_body is not None:
-                new = ed.replace_body(text, span, e.new_body) if span else e.new_body
-            else:
-                raise ed.EditError("EMPTY_EDIT", e.locator)
-            ed.check(path, new, lang, text)
-            delta[path] = new
+            self._edit(e, now)
+        changes = now.changes()
         if self.root:
             box = fs.Sandbox(self.root)
-            for path in delta:
-                if why := box.check(path):
-                    raise ed.EditError("DENIED", f"{why}: {path}")
-        return delta
+            for r in changes.select("path").toLocalIterator():
+                if why := box.check(r["path"]):
+                    raise ed.EditError("DENIED", f"{why}: {r['path']}")
+        return changes
+
+    def _edit(self, e: Edit, now: Pending) -> None:
+        if e.lazy_edit is not None:
+            raise ed.EditError("NOT_ENABLED", "lazy_edit")
+        head = e.locator.split(" :: ")[0]
+        verb = head.rsplit("@", 1)[1] if "@" in head and not head.rsplit("@", 1)[1].startswith("L") else ""
+        head = head[: -len(verb) - 1] if verb else head
+        path, name = parse_symbol_query(head)
+        path, name = (path, name) if path else (name, "")
+        start = int(head.rsplit("@L", 1)[1].split("-")[0]) if "@L" in head else None
+        if e.path_scope and e.anchor is not None:
+            old, new = e.anchor, e.replace or ""
+            self._checked(now.change_all(F.replace("text", F.lit(old), F.lit(new)), ed.bulk_where(list(e.path_scope), old), e.force))
+            return
+        if verb == "new":
+            if now.find(path) is not None:
+                raise ed.EditError("EXISTS", path)
+            now.put(path, e.new_body or "")
+            return
+        text, lang = now.file(path)
+        self._guard_generated(path, e)
+        if e.rename and name:
+            self._rename(path, name, lang, e, now)
+            return
+        if verb == "delete" and not name:
+            now.put(path, None)
+            return
+        span = ed.resolve_span(text, lang, name, start) if name else None
+        if span and " :: " in e.locator and not e.locator.endswith(self._hash(span.body)):
+            raise ed.EditError("STALE", e.locator)
+        if verb == "delete":
+            if not e.force and (uses := graph.references(Corpus(now.files, self.corpus.symbols), span.name).limit(2).collect()):
+                uses = [u for u in uses if u["path"] != path or not span.start <= u["line"] <= span.end]
+                if uses:
+                    raise ed.EditError("STILL_USED", f"{span.name} in {uses[0]['path']}")
+            new = ed.delete_symbol(text, span)
+        elif verb:
+            new = ed.insert(text, verb, e.new_body or "", span)
+        elif e.move_to:
+            there = now.find(e.move_to)
+            body = "\n".join(text.split("\n")[ed.leading_start(text.split("\n"), span.start) - 1 : span.end])
+            target = there[0] if there else ""
+            now.put(e.move_to, ed.insert(target, "end", ("\n" if target.strip() else "") + body))
+            new = ed.delete_symbol(text, span)
+        elif e.anchor is not None and e.word and span:
+            body, n = ed.replace_word(span.body, e.anchor, e.replace or "", lang)
+            if not n:
+                raise ed.EditError("ANCHOR_NOT_FOUND", e.anchor)
+            new = ed.replace_body(text, span, body)
+        elif e.anchor is not None:
+            new = ed.replace_anchor(text, e.anchor, e.replace or "", span)
+        elif e.new_body is not None:
+            new = ed.replace_body(text, span, e.new_body) if span else e.new_body
+        else:
+            raise ed.EditError("EMPTY_EDIT", e.locator)
+        ed.check(path, new, lang, text)
+        now.put(path, new)
+
+    def _checked(self, changed: DataFrame) -> None:
+        if row := ed.unreadable(changed).first():
+            raise ed.EditError("PARSE_ERROR", row["path"])
 
     def _hash(self, body: str) -> str:
         import hashlib
@@ -313,53 +326,47 @@ class Session:
         return hashlib.sha256(body.encode()).hexdigest()[:16]
 
     def _guard_generated(self, path: str, e: Edit) -> None:
-        from ..functions.paths import is_generated
-
-        if not e.force and self.spark.range(1).select(is_generated(F.lit(path)).alias("x")).first()["x"]:
+        if not e.force and self.spark.range(1).select(paths.is_generated(F.lit(path)).alias("x")).first()["x"]:
             raise ed.EditError("GENERATED", path)
 
-    def _rename(self, path: str, name: str, e: Edit) -> dict[str, str]:
+    def _rename(self, path: str, name: str, lang: str, e: Edit, now: Pending) -> None:
         """All whole-word occurrences in code, in the languages of the definition's family, in its package if several define the name."""
-        from ..functions import paths
-
-        row = self._file(path, {})
-        homes = [r["path"] for r in self.corpus.symbols.filter(F.col("name") == name).select("path").distinct().limit(100).collect()]
-        if not e.force and not self.corpus.symbols.filter(F.col("name") == e.rename).isEmpty():
-            raise ed.EditError("NAME_TAKEN", e.rename)
-        files = self.corpus.files.filter(paths.family(F.col("lang")) == paths.family(F.lit(row[1])))
-        if len(homes) > 1:
-            base = graph.package_root(self.corpus.files, path)
-            if base is None or any(graph.package_root(self.corpus.files, h) == base for h in homes if h != path):
-                raise ed.EditError("AMBIGUOUS", f"{name} is defined in {', '.join(sorted(homes))}")
-            files = files.filter(F.col("path").startswith(f"{base}/")) if base else files
-        out = {r["path"]: r["new_text"] for r in ed.rename_preview(files, name, e.rename).collect()}
-        for p, t in out.items():
-            was, lang = self._file(p, {})
-            ed.check(p, t, lang, was)
-        return out
-
-    def _undo(self, n: int) -> dict[str, str | None]:
-        then = ed.undo(self.versions, n, self.revision + 1)
-        rows = then.filter(F.col("revision") == self.revision + 1).select("path", "text").collect()
-        return {r["path"]: r["text"] for r in rows}
-
-    def _commit(self, delta: dict[str, str | None], write: bool = True) -> None:
+        new = ed.new_name(e.rename)
+        homes = self.corpus.symbols.filter(F.col("name") == name).select("path").distinct()
+        if not e.force and not self.corpus.symbols.filter(F.col("name") == new).isEmpty():
+            raise ed.EditError("NAME_TAKEN", new)
+        where = (paths.family(F.col("lang")) == paths.family(F.lit(lang))) & F.contains("text", F.lit(name))
+        if not homes.filter(F.col("path") != path).isEmpty():
+            base = graph.package_roots(self._rows([(path, "", 0.0)]).select(F.col("id").alias("path")), now.files).first()["root"]
+            roots = graph.package_roots(homes.filter(F.col("path") != path), now.files)
+            if base is None or not roots.filter(F.col("root").eqNullSafe(F.lit(base))).isEmpty():
+                some = [r["path"] for r in homes.orderBy("path").limit(8).collect()]
+                raise ed.EditError("AMBIGUOUS", f"{name} is defined in {', '.join(some)}")
+            where = where & F.col("path").startswith(f"{base}/") if base else where
+        self._checked(now.change_all(ed.renamed(name, new)("text", "lang")["text"], where, e.force))
+
+    def _undo(self, n: int) -> DataFrame:
+        then = ed.undo(self.versions, n, self.revision + 1).filter(F.col("revision") == self.revision + 1).select("path", "text")
+        return then.join(self.corpus.files.select("path", F.col("text").alias("before")), "path", "left")
+
+    def _commit(self, changes: DataFrame, write: bool = True) -> None:
+        """changes: path, text (null: deleted), before; one row per path, written out."""
         if self.root and write:
-            fs.Sandbox(self.root).commit(list(delta.items()))
+            fs.Sandbox(self.root).commit((r["path"], r["text"]) for r in changes.select("path", "text").toLocalIterator())
         batch = self.versions.agg(F.max("batch_id")).first()[0] + 1
         self.revision += 1
-        rows = self.spark.createDataFrame(list(delta.items()), "path string, text string")
-        self.versions = graph.checkpoint(ed.upsert(self.versions, rows, self.revision, batch))
+        self.versions = checkpoint(ed.upsert(self.versions, changes.select("path", "text"), self.revision, batch))
         self.failed.clear()
-        from ..functions import paths
-
-        old = self.corpus
-        files = graph.checkpoint(ed.latest(self.versions).select("path", "text", paths.language(F.col("path"), F.col("text")).alias("lang")))
-        fresh = files.filter(F.col("path").isin(list(delta)))
+        old, names = self.corpus, changes.select("path")
+        # a file keeps its language; a new one has that of its name and text
+        was = old.files.select("path", F.col("lang").alias("was"))
+        fresh = changes.filter("text is not null").join(was, "path", "left")
+        fresh = checkpoint(fresh.select("path", "text", F.coalesce("was", paths.language(F.col("path"), F.col("text"))).alias("lang")))
+        files = checkpoint(old.files.select("path", "text", "lang").join(names, "path", "left_anti").unionByName(fresh))
         symbols = prose_symbols(fresh) if self.prose else parse.code_symbols(fresh)
         # symbols of files that did not change are kept
-        kept = old.symbols.filter(~F.col("path").isin(list(delta)))
-        self.corpus = Corpus(files, graph.checkpoint(kept.unionByName(symbols)))
+        kept = old.symbols.join(names, "path", "left_anti")
+        self.corpus = Corpus(files, checkpoint(kept.unionByName(symbols.select(*kept.columns))))
 
     # Reports.
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from functools import cached_property
+from collections.abc import Callable
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,20 +12,26 @@ from pyspark.sql import Window as W
 from ..functions import paths
 from ..functions import text as tx
 from ..functions.locators import format_locator, short_hash
+from .store import fingerprint, keep
 
 
 def content_hash(text) -> F.Column:
     return F.substring(F.sha2(text.cast("binary"), 256), 1, 16)
 
 
-@dataclass(frozen=True)
 class Corpus:
-    """files(path, text, lang); symbols(path, ord, kind, name, signature, start, end, body).
+    """files(path, text, lang); symbols(path, ord, kind, name, signature, start, end, body, and lang if at hand).
 
-    Derived tables are plans over these two; nothing is read before a query runs."""
+    Derived tables are plans over these two; nothing is read before a query runs.
+    kept: gives a derived table by its name and maker, from what was written before; without it
+    all tables are worked out for each query."""
 
-    files: DataFrame
-    symbols: DataFrame
+    def __init__(self, files: DataFrame, symbols: DataFrame | Callable[[], DataFrame], kept: Callable[[str, Callable[[], DataFrame], str], DataFrame] | None = None):
+        self.files, self._symbols, self.kept = files, symbols, kept
+
+    @cached_property
+    def symbols(self) -> DataFrame:
+        return self._symbols() if callable(self._symbols) else self._symbols
 
     @cached_property
     def lines(self) -> DataFrame:
@@ -35,24 +41,56 @@ class Corpus:
     @cached_property
     def tokens(self) -> DataFrame:
         """path, token: distinct identifiers in lower case."""
-        return token_rows(self.files)
+        make = lambda: token_rows(self.files)
+        return self.kept("tokens", make, "token") if self.kept else make()
+
+    @cached_property
+    def subwords(self) -> DataFrame:
+        """id, subword: distinct subwords of a symbol's name and signature."""
+        make = lambda: self.located.select("path", "id", F.explode(symbol_subwords()).alias("subword"))
+        return self.kept("subwords", make, "subword") if self.kept else make()
+
+    @cached_property
+    def uses(self) -> DataFrame:
+        """path, ord, name, start, end, ident: distinct identifiers in the code of each symbol."""
+        from ..operators.code import code_identifiers
+
+        def make() -> DataFrame:
+            rows = self.symbols if "lang" in self.symbols.columns else self.symbols.join(self.files.select("path", "lang"), "path")
+            return rows.select("path", "ord", "name", "start", "end", F.explode(F.array_distinct(code_identifiers(F.col("body"), F.col("lang")))).alias("ident"))
+
+        return self.kept("uses", make, "ident") if self.kept else make()
 
     @cached_property
     def located(self) -> DataFrame:
         """symbols with their locator id."""
-        return self.symbols.withColumn("id", format_locator(F.col("path"), F.col("name"), F.col("start"), F.col("end"), short_hash(F.col("body"))))
+        return self.symbols if "id" in self.symbols.columns else with_locators(self.symbols)
 
     def scoped(self, scope: list[str] = (), lang: str | None = None) -> Corpus:
         """The part of the corpus in a path scope and of some languages.
 
         An unknown language covers no file."""
-        files, symbols = self.files, self.symbols
+        if not scope and not lang:
+            return self
+        files = self.files
+        tests = []
         if scope:
-            files, symbols = (d.filter(paths.in_scope(F.col("path"), list(scope))) for d in (files, symbols))
+            files = files.filter(paths.in_scope(F.col("path"), list(scope)))
+            tests.append(paths.in_scope(F.col("path"), list(scope)))
         if lang:
             files = files.filter(paths.lang_filter(F.col("path"), lang, F.col("text")))
-            symbols = symbols.filter(paths.lang_filter(F.col("path"), lang)) if paths.lang_suffixes(lang) else symbols.filter("false")
-        return Corpus(files, symbols)
+            tests.append(paths.lang_filter(F.col("path"), lang) if paths.lang_suffixes(lang) else F.lit(False))
+        inside = lambda df: reduce(lambda d, t: d.filter(t), tests, df)
+        whole = self.kept
+        return Corpus(files, lambda: inside(self.symbols), (lambda name, _, order: inside(getattr(self, name))) if whole else None)
+
+
+def with_locators(symbols: DataFrame) -> DataFrame:
+    return symbols.withColumn("id", format_locator(F.col("path"), F.col("name"), F.col("start"), F.col("end"), short_hash(F.col("body"))))
+
+
+def symbol_subwords() -> F.Column:
+    return F.array_distinct(tx.subwords(F.concat_ws(" ", "name", "signature")))
 
 
 def explode_lines(files: DataFrame) -> DataFrame:
@@ -65,12 +103,14 @@ def token_rows(files: DataFrame) -> DataFrame:
 
 
 def prose_symbols(files: DataFrame) -> DataFrame:
-    """The prose pack: every line that holds an identifier is a symbol named after the first one."""
-    rows = explode_lines(files).withColumn("name", F.regexp_extract("text", tx.IDENT, 0)).filter("name <> ''")
-    order = W.partitionBy("path").orderBy("line")
+    """The prose pack: every line that holds an identifier is a symbol named after the first one.
+
+    Lines are numbered and chosen inside the row, so nothing is shuffled."""
+    told = F.transform(tx.lines(F.col("text")), lambda t, i: F.struct((i + 1).alias("line"), t.alias("text"), F.regexp_extract(t, F.lit(tx.IDENT), F.lit(0)).alias("name")))
+    rows = files.select("path", "lang", F.posexplode(F.filter(told, lambda x: x["name"] != "")).alias("ord", "x"))
     return rows.select(
-        "path", (F.row_number().over(order) - 1).alias("ord"), F.lit("para").alias("kind"), "name", F.col("text").alias("signature"),
-        F.col("line").alias("start"), F.col("line").alias("end"), F.col("text").alias("body"),
+        "path", "ord", F.lit("para").alias("kind"), F.col("x.name").alias("name"), F.col("x.text").alias("signature"),
+        F.col("x.line").alias("start"), F.col("x.line").alias("end"), F.col("x.text").alias("body"), "lang",
     )
 
 
@@ -81,9 +121,21 @@ def from_table(df: DataFrame, path: F.Column, text: F.Column, lang: F.Column | N
 
 
 def documents(spark: SparkSession, sf_dir: str) -> Corpus:
-    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The documents as files.  Symbols, tokens, subwords and uses are written once per
+    state of the table and application, each sorted by what it is looked up by."""
+    table = f"{sf_dir}/documents.parquet"
+    df = spark.read.parquet(table)
     path = F.concat("source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
-    return from_table(df, path, F.col("text"), F.col("lang"))
+    files = df.select(path.alias("path"), F.coalesce(F.col("text"), F.lit("")).alias("text"), "lang")
+    key = fingerprint(spark, table)
+    kept = lambda name, make, order: keep(spark, key, name, make, order)
+
+    def symbols() -> DataFrame:
+        # a line's body is its signature and is not written twice
+        rows = kept("symbols", lambda: with_locators(prose_symbols(files)).drop("body"), "name")
+        return rows.withColumn("body", F.col("signature"))
+
+    return Corpus(files, symbols, kept)
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> Corpus:
@@ -126,20 +178,31 @@ def file_metrics(corpus: Corpus) -> DataFrame:
     return sizes.join(n, "path", "left").select("path", "lines", "bytes", F.coalesce("symbols", F.lit(0)).cast("long").alias("symbols"))
 
 
+#: Line starts that are gathered in one piece: growing an array copies it.
+GATHERED = 256
+
+
 def line_starts(corpus: Corpus) -> DataFrame:
     """path, line, start: the byte at which each line begins."""
-    lines_ = tx.lines(F.col("text"))
-    # running sum inside the row: no shuffle
-    sizes = F.transform(lines_, lambda x: F.octet_length(x).cast("long") + 1)
-    starts = F.aggregate(sizes, F.array(F.lit(0).cast("long")), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
-    rows = corpus.files.select("path", F.posexplode(F.slice(starts, 1, F.size(sizes))).alias("line", "start"))
+    # running sum inside the row, in pieces: no shuffle, and the work grows with the lines
+    sizes = F.transform(tx.lines(F.col("text")), lambda x: F.octet_length(x).cast("long") + 1)
+    zero = F.struct(F.array().cast("array<array<bigint>>").alias("done"), F.array(F.lit(0).cast("long")).alias("piece"))
+
+    def add(acc: F.Column, n: F.Column) -> F.Column:
+        new = F.array(F.element_at(acc["piece"], -1) + n)
+        full = F.size(acc["piece"]) >= GATHERED
+        return F.struct(F.when(full, F.concat(acc["done"], F.array(acc["piece"]))).otherwise(acc["done"]).alias("done"), F.when(full, new).otherwise(F.concat(acc["piece"], new)).alias("piece"))
+
+    # the last is the end of the text
+    ended = lambda a: F.slice(a, 1, F.size(a) - 1)
+    starts = F.aggregate(sizes, zero, add, lambda acc: ended(F.flatten(F.concat(acc["done"], F.array(acc["piece"])))))
+    rows = corpus.files.select("path", F.posexplode(starts).alias("line", "start"))
     return rows.select("path", (F.col("line") + 1).cast("long").alias("line"), "start")
 
 
 def subword_frequency(corpus: Corpus) -> DataFrame:
     """subword, df: how many symbols have it in their name or signature."""
-    bag = F.array_distinct(tx.subwords(F.concat_ws(" ", "name", "signature")))
-    return corpus.symbols.select(F.explode(bag).alias("subword")).groupBy("subword").agg(F.count("*").alias("df"))
+    return corpus.subwords.groupBy("subword").agg(F.count("*").alias("df"))
 
 
 def repo_outline(corpus: Corpus) -> DataFrame:

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import fnmatch
 import os
+import shutil
+import tempfile
 import time
+from collections.abc import Iterable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -99,32 +102,38 @@ class Sandbox:
             return "escape"
         return None
 
-    def commit(self, delta: list[tuple[str, str | None]]) -> None:
-        """Write (path, text) and remove (path, None), the last entry of a path; all or nothing.
-
-        The delta of an edit is bounded by what the edit's author sent or confirmed."""
-        last = dict(delta)
-        for path in last:
-            if why := self.check(path):
-                raise PermissionError(f"{why}: {path}")
-            file = self.root / path
-            if file.exists() and not os.access(file, os.W_OK):
-                raise PermissionError(f"not writable: {path}")
-        before = {p: (self.root / p).read_bytes() if (self.root / p).exists() else None for p in last}
-        try:
-            for path, text in last.items():
-                self._put(path, None if text is None else text.encode(), before[path])
-        except OSError:
-            for path, old in before.items():
-                self._put(path, old, None)
-            raise
-
-    def _put(self, path: str, data: bytes | None, old: bytes | None) -> None:
-        file = self.root / path
+    def commit(self, delta: Iterable[tuple[str, str | None]]) -> None:
+        """Write (path, text) and remove (path, None), one entry a path; all or nothing.
+
+        What is replaced goes to a folder aside, one file at a time, so that memory holds
+        one; a fault puts everything back."""
+        with tempfile.TemporaryDirectory(prefix="textquarry-") as aside:
+            done: list[tuple[str, Path | None]] = []  # path, where its old content is
+            try:
+                for path, text in delta:
+                    if why := self.check(path):
+                        raise PermissionError(f"{why}: {path}")
+                    file, old = self.root / path, None
+                    if file.exists():
+                        if not os.access(file, os.W_OK):
+                            raise PermissionError(f"not writable: {path}")
+                        old = Path(aside) / str(len(done))
+                        shutil.copy2(file, old)
+                    done.append((path, old))
+                    self._put(file, None if text is None else text.encode(), old)
+            except BaseException:
+                for path, old in reversed(done):
+                    (self.root / path).unlink(missing_ok=True)
+                    if old is not None:
+                        shutil.copy2(old, self.root / path)
+                raise
+
+    def _put(self, file: Path, data: bytes | None, old: Path | None) -> None:
         if data is None:
             file.unlink(missing_ok=True)
             return
-        if old and old.count(b"\r\n") * 2 > old.count(b"\n"):
+        was = old.read_bytes() if old else b""
+        if was.count(b"\r\n") * 2 > was.count(b"\n"):
             data = data.replace(b"\r\n", b"\n").replace(b"\n", b"\r\n")
         file.parent.mkdir(parents=True, exist_ok=True)
         file.write_bytes(data)
