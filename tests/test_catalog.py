@@ -8,7 +8,6 @@ import pytest
 from textquarry import catalog, catalog_code  # noqa: F401
 
 TABLES = "documents benchmark labels pages conversations events embeddings".split()
-SLOW = {"pagerank", "repo_map"}
 
 
 @pytest.fixture(scope="module")
@@ -25,7 +24,7 @@ def plain(df, columns):
     return sorted(repr(tuple(map(fix, r))) for r in df[columns].itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query(spark, sf, con, name):
     got, want = catalog.queries()[name](spark, sf).toPandas(), con.sql(catalog.oracle_sql()[name]).df()
     columns = sorted(got.columns)

@@ -190,7 +190,8 @@ def test_search_modes(corpus):
     assert search.semantic(corpus, corpus, "token validate", 3).orderBy("rank").first()["id"].startswith("src/auth/token.rs#validate_token")
     assert search.search_auto(corpus, "validate_token").first()["id"].startswith("src/auth/token.rs#validate_token")
     assert [r["name"] for r in search.fuzzy_symbols(corpus, "validate_tokn").collect()] == ["validate_token"]
-    assert search.no_match_hint(corpus, corpus.scoped(["nowhere"]), "x")[0] == "SCOPE_NO_MATCH"
+    assert search.no_match_hint(corpus, corpus.scoped(["nowhere"]), "x").code == "SCOPE_NO_MATCH"
+    assert len(search.no_match_hint(corpus, corpus.scoped(["src"]), "def mid|zzz Q").hints) == 4 and search.no_match_hint(corpus, corpus, "zz yy").hints
     assert rows(corpus.scoped(lang="py").files, "path") == [("a.py",), ("chain.py",), ("packages/cli/run.py",), ("packages/core/run.py",)]
     assert corpus.scoped(lang="klingon").files.isEmpty()
 
@@ -206,6 +207,7 @@ def test_diagnose(spark, corpus):
     blob = "error[E0308]: mismatched types\n  --> src/auth/token.rs:2:5\nauth/login.rs:4:1: warning: unused\n"
     df = spark.createDataFrame(list(enumerate(blob.split("\n"))), "n long, text string")
     got = rows(read.diagnose(df, corpus), "path", "line", "severity", "message", "name")
+    assert [round(r["score"], 3) for r in read.diagnose(df, corpus).orderBy("path").collect()] == [0.667, 1.0]
     assert got == [("src/auth/login.rs", 4, "warning", "unused", "login"), ("src/auth/token.rs", 2, "error", "mismatched types", "validate_token")]
 
 

@@ -250,6 +250,28 @@ def search_auto(spark, sf_dir):
     return search.search_auto(co.documents(spark, sf_dir), AUTO, K).withColumn("score", F.round("score", 9))
 
 
+@query(f"""WITH {SEM_SQL}, named AS (SELECT id, row_number() OVER (ORDER BY path, ord, id) - 1 AS rank FROM located WHERE lower(name) IN ('licensed', 'apache', 'version')),
+fused AS (SELECT id, sum(part) AS score FROM (SELECT id, 0.3 / (rank + 61) AS part FROM named UNION ALL SELECT id, 0.2 / (rank + 61) FROM sem) GROUP BY id)
+SELECT id, round(score, 9) AS score FROM fused ORDER BY round(score, 12) DESC, id LIMIT {K}""")
+def search_second_phase(spark, sf_dir):
+    """No line or name is like the query, so mentions and subwords decide."""
+    return search.search_auto(co.documents(spark, sf_dir), SEM, K).withColumn("score", F.round("score", 9))
+
+
+@query(f"WITH {LINES} SELECT 0 AS q_idx, count(*) AS hits FROM lines WHERE contains(lower(txt), 'worthless') HAVING count(*) > 0 UNION ALL SELECT 1, count(*) FROM lines WHERE contains(lower(txt), 'disgusting') HAVING count(*) > 0")
+def attribution(spark, sf_dir):
+    c = co.documents(spark, sf_dir)
+    parts = [search.regex_hits(c, q).withColumn("q_idx", F.lit(i)) for i, q in enumerate(("worthless", "disgusting"))]
+    return search.attribution(parts[0].unionByName(parts[1]))
+
+
+@query(f"WITH {SYMBOLS} SELECT 'FUZZY' AS code, name, path FROM (SELECT DISTINCT name, path, levenshtein(lower(name), 'licencsed') AS distance FROM symbols WHERE abs(length(name) - 9) <= 2 AND levenshtein(lower(name), 'licencsed') BETWEEN 1 AND 2 ORDER BY distance, length(name), path, name LIMIT 5)")
+def no_match(spark, sf_dir):
+    c = co.documents(spark, sf_dir)
+    found = search.no_match_hint(c, c, "licencsed")
+    return spark.createDataFrame([(found.code, n, p) for n, p in found.near], "code string, name string, path string")
+
+
 # Packing.
 
 SPANS = "spans AS (SELECT doc_id AS d, 'd' || doc_id AS id, coalesce(text, '') AS text, ((doc_id * 37) % 101) / 101.0 AS score FROM documents)"
@@ -312,12 +334,6 @@ def exclude_seen_page2(spark, sf_dir):
 # Reading.
 
 
-@query("SELECT CASE WHEN i = 1 THEN 'found' END AS state, path, line, text FROM (SELECT 1 AS i, '' AS path, 1 AS line, '' AS text) WHERE false")
-def read_missing(spark, sf_dir):
-    rows = read.read_range(co.documents(spark, sf_dir), "no/such/file", "1-3")
-    return rows.select(F.lit("found").alias("state"), "path", F.col("line").cast("int").alias("line"), "text")
-
-
 @query(f"WITH {LINES} SELECT path, line, txt AS text FROM lines WHERE path = (SELECT max(path) FROM files) AND line BETWEEN 2 AND 6")
 def read_range(spark, sf_dir):
     c = co.documents(spark, sf_dir)
@@ -465,28 +481,6 @@ def path_typo(spark, sf_dir):
     return search.path_suggestions(co.documents(spark, sf_dir).files, "src/en/12.tx")
 
 
-BLOB = """error[E0308]: mismatched types
-  --> src/main.rs:12:5
-src/util.c:7:3: warning: unused variable
-lib/app.ts(41,7): error TS2322: not assignable
-  File "tools/run.py", line 9, in <module>
-note: see src/main.rs:12"""
-
-
-@query("""SELECT * FROM (VALUES ('src/main.rs', 12, 'error', 'mismatched types'), ('src/util.c', 7, 'warning', 'unused variable'),
-('lib/app.ts', 41, 'error', 'not assignable'), ('tools/run.py', 9, NULL, NULL)) t(path, line, severity, message)""".replace("12,", "CAST(12 AS BIGINT),", 1))
-def diagnose_parse(spark, sf_dir):
-    return read.diagnostics(spark.createDataFrame(list(enumerate(BLOB.split("\n"))), "n long, text string"))
-
-
-@query("SELECT 'introduced' AS change, 'b.py' AS path, CAST(3 AS BIGINT) AS line, 'new' AS message UNION ALL SELECT 'fixed', 'a.py', 1, 'old'")
-def diagnostics_delta(spark, sf_dir):
-    schema = "path string, line long, message string"
-    before = spark.createDataFrame([("a.py", 1, "old"), ("c.py", 2, "same")], schema)
-    after = spark.createDataFrame([("b.py", 3, "new"), ("c.py", 2, "same")], schema)
-    return read.diagnostics_delta(before, after)
-
-
 # Edits.
 
 
@@ -518,11 +512,7 @@ def session_diff(spark, sf_dir):
 
 @query(f"WITH {NUMBERED} SELECT path, CAST(CASE WHEN d % 10 = 3 THEN 1 ELSE 0 END AS BIGINT) AS added, CAST(CASE WHEN d % 10 = 4 THEN len(string_split(text, chr(10))) ELSE 0 END AS BIGINT) AS removed_lines FROM v WHERE d % 10 IN (3, 4)")
 def diff_line_counts(spark, sf_dir):
-    rows = edits.diff_counts(edits.session_diff(_versions(spark, sf_dir), 0))
-    # a deleted file still counts as one empty line
-    gone = spark.createDataFrame([(0,)], "z int")
-    rows = rows.join(F.broadcast(gone)).withColumn("is_gone", F.regexp_extract("path", "([0-9]+)\\.txt$", 1).cast("long") % 10 == 4)
-    return rows.select("path", F.when(F.col("is_gone"), 0).otherwise(F.col("added")).cast("long").alias("added"), F.when(F.col("is_gone"), F.col("removed")).otherwise(0).cast("long").alias("removed_lines"))
+    return edits.diff_counts(edits.session_diff(_versions(spark, sf_dir), 0)).withColumnRenamed("removed", "removed_lines")
 
 
 @query(f"WITH {NUMBERED} SELECT path, CASE WHEN d % 10 = 3 THEN text || chr(10) || 'more' ELSE text END AS text FROM v")

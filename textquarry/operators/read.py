@@ -87,7 +87,7 @@ PAREN_AT = r"([^\s(]*[./\\][^\s(]*)\(([0-9]+)(?:,[0-9]+)?\)"
 
 
 def diagnostics(blob: DataFrame) -> DataFrame:
-    """path, line, severity, message of the places that tool output (n, text: its lines in order) names.
+    """path, line, severity, message, ord (from 0) of the places that tool output (n, text: its lines in order) names.
 
     A line with an arrow takes severity and message of the last line that had them; of
     several mentions of one place the first stays."""
@@ -109,16 +109,20 @@ def diagnostics(blob: DataFrame) -> DataFrame:
         part = part.select("n", "form", "i", F.trim(F.col("x.p")).alias("path"), F.col("x.l").cast("long").alias("line"), "severity", "message")
         found = part if found is None else found.unionByName(part)
     first = W.partitionBy("path", "line").orderBy("n", "form", "i")
-    return found.filter("line > 0").withColumn("r", F.row_number().over(first)).filter("r = 1").select("path", "line", "severity", "message")
+    found = found.filter("line > 0").withColumn("r", F.row_number().over(first)).filter("r = 1")
+    place = (F.row_number().over(W.orderBy("n", "form", "i")) - 1).cast("long")  # one tool's output
+    return found.select("path", "line", "severity", "message", place.alias("ord"))
 
 
 def diagnose(blob: DataFrame, corpus: Corpus, window: int = 2) -> DataFrame:
-    """Diagnostics with the file each belongs to, the innermost symbol there and the lines around."""
+    """Diagnostics with the file each belongs to, the innermost symbol there, the lines around, and
+    a score that falls from 1 with their order."""
     from .search import enclosing
 
     found = diagnostics(blob)
+    found = found.withColumn("score", 1 - F.col("ord") / (F.count("*").over(W.partitionBy()) + 1))
     files = corpus.files.select("path", "text")
-    d = found.select(F.col("path").alias("said"), "line", "severity", "message")
+    d = found.select(F.col("path").alias("said"), "line", "severity", "message", "score")
     base = F.element_at(F.split("said", "/"), -1)
     near = d.withColumn("base", base).join(files.withColumn("base", F.element_at(F.split("path", "/"), -1)), "base")
     near = near.filter((F.col("path") == F.col("said")) | F.col("path").endswith(F.concat(F.lit("/"), F.col("said"))) | F.col("said").endswith(F.concat(F.lit("/"), F.col("path"))))
@@ -127,7 +131,7 @@ def diagnose(blob: DataFrame, corpus: Corpus, window: int = 2) -> DataFrame:
     near = near.withColumn("around", number(F.slice(lines_, first.cast("int"), F.lit(2 * window + 1)), first))
     at = near.select("path", F.col("line").cast("int").alias("line"), F.element_at(F.concat(lines_, F.array_repeat(F.lit(""), 1)), F.least(F.col("line").cast("int"), F.size(lines_) + 1)).alias("text")).distinct()
     named = enclosing(at, corpus).select("path", F.col("line").cast("long").alias("line"), "name", "id")
-    return near.join(named, ["path", "line"], "left").select("path", "line", "severity", "message", "name", "id", "around")
+    return near.join(named, ["path", "line"], "left").select("path", "line", "severity", "message", "name", "id", "around", "score")
 
 
 def diagnostics_delta(before: DataFrame, after: DataFrame) -> DataFrame:

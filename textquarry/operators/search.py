@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import re
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -208,12 +210,32 @@ def resolve_path(files: DataFrame, path: str) -> DataFrame:
     return one.filter("exact or n = 1").select(F.when(F.col("exact"), F.lit(path)).otherwise(F.col("path")).alias("path"))
 
 
-def no_match_hint(corpus: Corpus, scoped: Corpus, q: str) -> tuple[str, list]:
-    """Why nothing was found: SCOPE_NO_MATCH, FUZZY with suggestions, or PATTERN_NO_MATCH."""
+class NoMatch(NamedTuple):
+    """Why nothing was found: SCOPE_NO_MATCH, FUZZY with names and paths near the query, or PATTERN_NO_MATCH; what to try."""
+
+    code: str
+    near: list[tuple[str, str]]
+    hints: list[str]
+
+
+def no_match_hint(corpus: Corpus, scoped: Corpus, q: str) -> NoMatch:
     if scoped.files.isEmpty():
-        return "SCOPE_NO_MATCH", []
-    near = [(r["name"], r["path"]) for r in fuzzy_symbols(corpus, q.strip()).collect()] if tx.is_plain_ident(q) else []
-    return ("FUZZY", near) if near else ("PATTERN_NO_MATCH", [])
+        tops = corpus.files.select(F.substring_index("path", "/", 1).alias("top")).distinct().orderBy("top").limit(8).collect()
+        return NoMatch("SCOPE_NO_MATCH", [], [f"no file is in this scope; there are: {', '.join(r['top'] for r in tops)}"])
+    if tx.is_plain_ident(q):
+        near = [(r["name"], r["path"]) for r in fuzzy_symbols(corpus, q.strip()).collect()]
+        if near:
+            return NoMatch("FUZZY", near, [])
+    hints = []
+    if tx.has_upper(q):
+        hints.append("upper case is matched as it is; lower case matches both")
+    if re.search(r"[.*+?()\[\]{}|\\^$]", q):
+        hints.append("the query is read as a pattern; put a backslash before characters that stand for themselves")
+    if len(q.split()) > 1:
+        hints.append("words have to stand side by side; all_of finds them anywhere in a line")
+    if corpus is not scoped and not regex_hits(corpus, q).isEmpty():
+        hints.append("there are matches outside this scope")
+    return NoMatch("PATTERN_NO_MATCH", [], hints)
 
 
 def attribution(spans: DataFrame) -> DataFrame:

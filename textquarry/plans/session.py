@@ -63,7 +63,7 @@ class Session:
         if q.mode == "diagnose":
             blob = self.spark.createDataFrame(list(enumerate(q.q.split("\n"))), "n long, text string")
             found = read.diagnose(blob, self.corpus)
-            return found.select(F.concat("path", F.lit("@L"), F.col("line").cast("string")).alias("id"), F.concat_ws("\n", "severity", "message", "around").alias("text"), F.lit(1.0).alias("score"))
+            return found.select(F.concat("path", F.lit("@L"), F.col("line").cast("string")).alias("id"), F.concat_ws("\n", "severity", "message", "around").alias("text"), "score")
         if q.detail == "import":
             wanted = self.spark.createDataFrame([(name, q.path or "")], "name string, target string")
             rows = graph.imports(self.corpus, wanted).orderBy("definition").limit(20)
@@ -130,16 +130,24 @@ class Session:
         spans = spans.persist()
         if spans.isEmpty():
             q = req.queries[0]
-            code_, near = search.no_match_hint(self.corpus, self.corpus.scoped(list(q.path_scope), q.lang), q.q)
-            return pack.error(code_, f"{q.q} {json.dumps(near)}")
+            none = search.no_match_hint(self.corpus, self.corpus.scoped(list(q.path_scope), q.lang), q.q)
+            spans.unpersist()
+            return pack.error(none.code, f"{q.q} {json.dumps(none.near)} {'; '.join(none.hints)}")
+        whole, n_found = spans, spans.count()
+        shares = ""
         if len(req.queries) > 1:
+            hits = {r["q_idx"]: r["hits"] for r in search.attribution(spans).collect()}
+            shares = "\n" + "; ".join(f"{q.q or q.path or q.detail}: {hits.get(i, 0)}" for i, q in enumerate(req.queries))
             spans = pack.fair_share(spans, req.budget_tokens, len(req.queries))
         packed = pack.budget_pack(pack.dedup_spans(spans), req.budget_tokens)
         shown = pack.edge_order(pack.normalise(packed)).orderBy("place").select("id", "text", "score").persist()
         if req.exclude_seen:
             self.seen |= {r["id"] for r in shown.select("id").collect()}
         self.audit.record("code", "; ".join(q.q for q in req.queries))
-        return pack.envelope(shown, req.budget_tokens, shown.count() < spans.count())
+        answer = pack.envelope(shown, req.budget_tokens, shown.count() < n_found) + shares
+        for df in (shown, whole):
+            df.unpersist()
+        return answer
 
     def _rows(self, rows: list) -> DataFrame:
         return self.spark.createDataFrame(rows, "id string, text string, score double")

@@ -106,7 +106,7 @@ def prose_symbols(files: DataFrame) -> DataFrame:
     """The prose pack: every line that holds an identifier is a symbol named after the first one.
 
     Lines are numbered and chosen inside the row, so nothing is shuffled."""
-    told = F.transform(tx.lines(F.col("text")), lambda t, i: F.struct((i + 1).alias("line"), t.alias("text"), F.regexp_extract(t, F.lit(tx.IDENT), F.lit(0)).alias("name")))
+    told = F.transform(tx.lines(F.col("text")), lambda t, i: F.struct((i + 1).alias("line"), t.alias("text"), F.regexp_extract(t, tx.IDENT, 0).alias("name")))
     rows = files.select("path", "lang", F.posexplode(F.filter(told, lambda x: x["name"] != "")).alias("ord", "x"))
     return rows.select(
         "path", "ord", F.lit("para").alias("kind"), F.col("x.name").alias("name"), F.col("x.text").alias("signature"),
