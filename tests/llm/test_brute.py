@@ -196,8 +196,50 @@ def test_secrets_nested():
 def test_quality_held_out(spark, sf, tables):
     got = run(spark, "/root/testdata/sf0.01", "op4_quality")
     label = dict(duckdb.sql("select doc_id, quality from '/root/testdata/sf0.01/labels.parquet'").fetchall())
-    held = [(r.predicted, label[r.doc_id]) for r in got[got.held_out].itertuples() if r.doc_id in label]
-    assert np.mean([a == b for a, b in held]) > 0.9
+    held = [(r.predicted, r.score, label[r.doc_id]) for r in got[got.held_out].itertuples() if r.doc_id in label]
+    assert np.mean([a == b for a, _, b in held]) > 0.9
+    good, bad = [s for _, s, q in held if q == 1], [s for _, s, q in held if q == 0]
+    assert np.mean([(a > b) + 0.5 * (a == b) for a in good for b in bad]) > 0.9  # area under the curve
+
+
+def test_quality_brute(spark, sf, tables):
+    """The query against the method done step by step: sample, dictionaries, sizes, curve."""
+    import xxhash
+    import zstandard
+
+    got = run(spark, sf, "op4_quality").set_index("doc_id")
+    text = {i: (t or "").encode() for i, t, *_ in tables["docs"]}
+    marks = sorted({(i, q) for i, q in tables["labels"] if q in (0, 1) and crc(i, 3) != 1})
+    by_hash = lambda i: np.uint64(xxhash.xxh64_intdigest(int(i).to_bytes(8, "little", signed=True), seed=42)).astype(np.int64)
+    picked = {q: sorted(sorted((i for i, x in marks if x == q), key=by_hash)[: quality.SAMPLE]) for q in (0, 1)}
+    texts = {q: [text[i] for i in ids if i in text] for q, ids in picked.items()}
+    made = []
+    for q in (1, 0):
+        pieces = [t[i : i + 500] for k, t in enumerate(texts[q]) if k % quality.CURVE for i in range(0, len(t), 500)]
+        try:
+            made.append(zstandard.train_dictionary(64 << 10, pieces, level=3))
+        except zstandard.ZstdError:
+            made.append(zstandard.ZstdCompressionDict(b"".join(pieces)[-(64 << 10) :], dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+    size = lambda d, t: len(zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress(t))
+    gap = {i: (size(made[1], t) - size(made[0], t)) / (len(t) + 16) for i, t in text.items()}
+    # one number decides: scores rise with it, and the curve is the best logistic one of the other half
+    order = sorted(gap, key=gap.get)
+    scores = got.loc[order].score.to_numpy()
+    assert (np.diff(scores) >= -1e-12).mean() > 0.99
+    assert (got.predicted == (got.score >= 0.5)).all() and all(got.loc[i].held_out == (crc(i, 3) == 1) for i in text)
+    x = np.array([100 * gap[i] for q in (1, 0) for i in picked[q][:: quality.CURVE] if i in text])
+    y = np.array([q for q in (1, 0) for i in picked[q][:: quality.CURVE] if i in text])
+    w = np.where(y == 1, sum(q for _, q in marks) / max(1, y.sum()), sum(1 - q for _, q in marks) / max(1, (1 - y).sum()))
+
+    def loss(a, b):
+        z = a * x + b
+        return np.sum(w * (np.logaddexp(0, z) - y * z))
+
+    z = np.log(got.score / (1 - got.score))
+    inner = [i for i in order if 0.001 < got.loc[i].score < 0.999]
+    a, b = np.polyfit([100 * gap[i] for i in inner], z.loc[inner], 1) if len(inner) > 1 else (0, 0)
+    if len(inner) > 1:
+        assert all(loss(a, b) <= loss(a * (1 + e), b + f) + 0.05 * len(x) for e in (-0.3, 0, 0.3) for f in (-1, 0, 1))
 
 
 def test_jaccard_join(spark, sf, tables):

@@ -78,6 +78,28 @@ def test_stages_decide_row_by_row(spark, odd):
     assert told.columns == odd.columns and rows(told, "doc_id", "text") == sorted([x for x in ODD if x[1] not in ("123", None)], key=repr)
 
 
+def test_pipeline_stages_on_odd_tables(spark, sf, odd, empty):
+    import corpus_pipeline
+
+    from textquarry.llm.common import materialize
+
+    for table, least in ((odd, 5), (empty, 0)):
+        docs = table
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = materialize(stage(spark, docs, sf), name)
+            assert docs.columns == table.columns, name
+        assert docs.count() >= least
+        shown = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+        assert {r.doc_id for r in shown.collect()} == {r.doc_id for r in docs.collect() if r.doc_id is not None}
+
+
+def test_html_extract_clashing_names(spark):
+    names = ["key", "inside", "n", "id", "n_chars", "run", "weight"]
+    pages = spark.createDataFrame([(1, "u", "<article><p>Some words &amp; more</p></article>", *([3] * 7))] * 2, "page_id long, url string, html string, " + ", ".join(f"{c} int" for c in names))
+    got = html_extract.extract_text(pages, html_extract.fit(pages))
+    assert got.columns == ["page_id", "url", "text", "n_chars"] and rows(got, "text", "n_chars") == [("Some words & more", 17)] * 2
+
+
 def test_mixing(docs, empty):
     shown = mixing.mix(docs, max_epochs=2.0).collect()
     assert {r.doc_id for r in shown} == set(range(12))  # every document is shown

@@ -1,13 +1,13 @@
 """Quality classifier by compression.
 
-Two zstandard dictionaries are built from texts labelled good and bad.  A text
-is compressed whole with each; the difference of the two sizes over their sum
-says which of the two it resembles, and the size over that of the text how much
-it repeats itself, which serves both dictionaries alike.  A logistic curve
-fitted on other labelled texts makes that a probability.
+Two zstandard dictionaries are built from texts labelled good and bad, cut into
+pieces.  A text is compressed whole with each; the difference of the two sizes, over
+the size of the text, says which of the two it resembles.  A logistic curve of this
+one number, fitted on other labelled texts, makes it a probability.
 
 Both fits use a bounded sample of labelled rows (SAMPLE per label, the smallest
-hashes of doc_id); how common the labels are is counted over all labelled rows.
+hashes of doc_id; of their pieces PIECES per label, evenly drawn); how common the
+labels are is counted over all labelled rows.
 """
 
 from __future__ import annotations
@@ -23,14 +23,18 @@ from pyspark.sql import functions as F
 
 from .common import bucket_crc, read, small_batches
 
-#: Labelled documents of each label that are learned from, at most: half of them for the dictionary, half for the curve.
-SAMPLE = 1600
+#: Labelled documents of each label that are learned from, at most; one in so many of them for the curve, the others for the dictionary.
+SAMPLE, CURVE = 1600, 4
+#: Bytes of a piece, and pieces that a dictionary is built from, at most.
+PIECE, PIECES = 500, 8000
 DICT_BYTES = 64 << 10
 LEVEL = 3
 
 
 def _dictionary(texts: list[bytes]) -> zstandard.ZstdCompressionDict:
-    """Trained, or the texts themselves where they are too few to train on."""
+    """Trained on pieces, or the texts themselves where they are too few to train on."""
+    places = [(t, i) for t in texts for i in range(0, len(t), PIECE)]
+    texts = [t[i : i + PIECE] for t, i in places[:: -(-len(places) // PIECES) or 1]]
     try:
         return zstandard.train_dictionary(DICT_BYTES, texts, level=LEVEL)
     except (zstandard.ZstdError, ValueError):
@@ -41,9 +45,10 @@ class Model:
     """Dictionaries and curve; picklable, the compressors are made on first use."""
 
     def __init__(self, good: list[bytes], bad: list[bytes], n_good: int, n_bad: int):
-        self.dicts = [(d.as_bytes(), d.dict_id() == 0) for d in (_dictionary(good[::2]), _dictionary(bad[::2]))]
-        self.curve = np.zeros(4)
-        good, bad = good[1::2] or good, bad[1::2] or bad
+        dictionaries = (_dictionary([t for i, t in enumerate(x) if i % CURVE]) for x in (good, bad))
+        self.dicts = [(d.as_bytes(), d.dict_id() == 0) for d in dictionaries]
+        self.curve = np.zeros(2)
+        good, bad = good[::CURVE], bad[::CURVE]
         if good or bad:
             self.curve = self._fit(good, bad, n_good, n_bad)
 
@@ -59,19 +64,17 @@ class Model:
                 self.made.append(zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
         return self.made
 
-    def features(self, text: bytes) -> tuple[float, float, float, float]:
-        """The normalised difference (above 0: the good dictionary serves better),
-        the log of the better size over the text's, its square, and a constant."""
+    def features(self, text: bytes) -> tuple[float, float]:
+        """The normalised difference (above 0: the good dictionary serves better), and a constant."""
         good, bad = (len(c.compress(text)) for c in self._compressors())
-        ratio = math.log((min(good, bad) + 16) / (len(text) + 16))
-        return 10 * (bad - good) / (bad + good), ratio, ratio * ratio, 1.0
+        return 100 * (bad - good) / (len(text) + 16), 1.0
 
     def _fit(self, good: list[bytes], bad: list[bytes], n_good: int, n_bad: int) -> np.ndarray:
         """Newton steps of a logistic regression, rows weighted to the labels' true shares."""
         x = np.array([self.features(t) for t in good + bad])
         y = np.array([1.0] * len(good) + [0.0] * len(bad))
         w = np.array([n_good / max(1, len(good))] * len(good) + [n_bad / max(1, len(bad))] * len(bad))
-        w, b, ridge = w / w.sum() * len(w), np.zeros(x.shape[1]), 0.1 * np.eye(x.shape[1])
+        w, b, ridge = w / w.sum() * len(w), np.zeros(x.shape[1]), 0.01 * np.eye(x.shape[1])
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
             hess = (x * (w * p * (1 - p))[:, None]).T @ x + ridge
@@ -119,7 +122,8 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     model = fit(docs, labels.filter(bucket_crc("doc_id", 3) != 1))
-    return classify(docs, model).select("doc_id", (bucket_crc("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+    held_out = F.coalesce(bucket_crc("doc_id", 3) == 1, F.lit(False))
+    return classify(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
 QUERIES = {"op4_quality": op4_quality}
