@@ -285,6 +285,10 @@ def test_session(spark, tree):
     assert "depth 2" in s.code({"q": "base", "detail": "impact"}) and "chain.py" in s.code({"detail": "tree"})
     assert '"matches":' in s.code({"q": "validate_token", "detail": "count"}) and "class A" in s.code({"path": "a.py", "detail": "outline"})
     assert "2\t    t.len() > 3" in s.code({"path": "token.rs", "lines": "2-2"}) and "PATH_NOT_FOUND" in s.code({"path": "tokn.rs"})
+    long = s.code({"queries": [{"path": "chain.py", "detail": "full"}], "budget_tokens": 70})
+    assert "more lines" in long and "def base" in long
+    assert "src/auth/login.rs@L5" in s.code({"q": "src/auth/token.rs#validate_token", "detail": "refs"})
+    assert "packages/cli" not in s.code({"q": "packages/core/run.py#helper", "detail": "refs"})
     assert "FUZZY" in s.code("refrsh") and "PATTERN_NO_MATCH" in s.code("zzz+qqq")
     assert "import { render }" in s.code({"q": "render", "detail": "import", "path": "web/z.ts"}) and "Module" in s.code({"path": "a.py", "detail": "ast"})
     two = s.code({"queries": ["refresh", {"q": "login", "mode": "structural", "detail": "locate"}], "budget_tokens": 2000})
@@ -376,6 +380,9 @@ def test_rpc(spark, tree):
     s = Session.from_dir(spark, str(tree))
     call = lambda m, **p: rpc.dispatch(s, {"jsonrpc": "2.0", "id": 1, "method": m, "params": p})
     assert call("ping")["result"] == {} and [t["name"] for t in call("tools/list")["result"]["tools"]] == ["code", "code_apply"]
+    shape = call("tools/list")["result"]["tools"][0]["inputSchema"]
+    assert shape["required"] == ["queries"] and "semantic" in shape["properties"]["queries"]["items"]["properties"]["mode"]["enum"]
+    assert s.audit.table(spark).columns == ["at", "tool", "summary"]
     assert "refresh" in call("tools/call", name="code", arguments={"queries": ["refresh"]})["result"]["content"][0]["text"]
     assert json.loads(call("resources/read", uri="corpus://status")["result"]["contents"][0]["text"])["revision"] == 0
     assert call("nope")["error"]["code"] == -32601 and rpc.dispatch(s, {"method": "notifications/initialized"}) is None

@@ -554,6 +554,16 @@ def incremental_tokens(spark, sf_dir):
     return rf.refresh_tokens(new, tokens, old)
 
 
+@query(f"""WITH {NUMBERED}, e AS (SELECT path, CASE WHEN d % 10 = 5 THEN text || ' freshly_added' ELSE text END AS text FROM v WHERE d % 10 <> 7),
+a AS (SELECT path, string_split(text, chr(10)) AS a FROM e), l AS (SELECT path, unnest(range(1, n + 1)) AS line, unnest(a[1:n]) AS txt FROM (SELECT *, len(a) - CASE WHEN len(a) > 1 AND a[len(a)] = '' THEN 1 ELSE 0 END AS n FROM a)),
+s AS (SELECT path, line, regexp_extract(txt, '[A-Za-z_][A-Za-z0-9_]{{2,}}') || ' ' || txt AS x FROM l WHERE regexp_matches(txt, '[A-Za-z_][A-Za-z0-9_]{{2,}}'))
+SELECT subword, count(*) AS df FROM (SELECT unnest(list_distinct(list_filter(string_split_regex(lower(regexp_replace(x, '([a-z])([A-Z])', '\\1 \\2', 'g')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: strlen(w) >= 2))) AS subword FROM s) GROUP BY subword""")
+def incremental_subwords(spark, sf_dir):
+    old, new = (rf.hashed(f) for f in _edited(spark, sf_dir))
+    before = co.documents(spark, sf_dir).subwords.join(old.select("path", "content_hash"), "path").select("path", "content_hash", "id", "subword")
+    return rf.refresh_subwords(new, before, old).groupBy("subword").agg(F.count("*").alias("df"))
+
+
 @query("""WITH c AS (SELECT 'u' || user_id AS path, event_type, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events)
 SELECT path, event_type AS text FROM c WHERE r = 1 AND event_type <> 'error'""")
 def stream_upsert_latest(spark, sf_dir):

@@ -92,6 +92,14 @@ def code_refs(spark, sf_dir):
     return graph.references(tree(spark, sf_dir), f"fun{AT}")
 
 
+@query(f"WITH {CODE} SELECT path, CASE WHEN lang = 'rust' THEN CAST(1 AS BIGINT) ELSE CAST(n + 2 AS BIGINT) END AS line, CASE WHEN lang = 'rust' THEN 'lsp' ELSE 'lexical' END AS tier FROM code WHERE next = 'fun{AT}' OR lang = 'rust'")
+def code_refs_tiers(spark, sf_dir):
+    """A provider that knows the Rust files and names the first line of each."""
+    c = tree(spark, sf_dir)
+    known = c.files.filter("lang = 'rust'").select("path")
+    return graph.tiered_references(c, f"fun{AT}", known.withColumn("line", F.lit(1)), known).select("path", "line", "tier")
+
+
 @query(f"WITH {CODE} SELECT path, name, CAST(1 AS BIGINT) AS start, CAST({AT} - doc_id AS BIGINT) AS depth FROM code WHERE doc_id BETWEEN {AT} - 5 AND {AT} - 1")
 def code_impact(spark, sf_dir):
     return graph.impact(tree(spark, sf_dir), f"fun{AT}").select("path", "name", "start", "depth")

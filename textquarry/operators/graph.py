@@ -51,6 +51,24 @@ def references(corpus: Corpus, name: str, cap: int | None = None) -> DataFrame:
     return hits.orderBy("path", "line").limit(cap) if cap else hits
 
 
+def tiered_references(corpus: Corpus, name: str, exact: DataFrame | None = None, covered: DataFrame | None = None) -> DataFrame:
+    """path, line, text, tier: references with where they come from.
+
+    exact: path, line of references that a language server or compiler has told (tier
+    lsp); covered: path of the files that it knows, for which it is believed.  In all
+    other files the words are looked for (tier lexical)."""
+    found = references(corpus, name).withColumn("tier", F.lit("lexical"))
+    if exact is None:
+        return found
+    if covered is not None:
+        found = found.join(covered.select("path"), "path", "left_anti")
+    told = exact.select("path", F.col("line").cast("long").alias("line")).distinct()
+    shown = corpus.files.select("path", tx.lines(F.col("text")).alias("lines")).join(told, "path")
+    shown = shown.filter(F.col("line").between(1, F.size("lines")))
+    shown = shown.select("path", "line", F.element_at("lines", F.col("line").cast("int")).alias("text"), F.lit("lsp").alias("tier"))
+    return shown.unionByName(found.join(told, ["path", "line"], "left_anti"))
+
+
 def callers(corpus: Corpus, name: str) -> DataFrame:
     """Symbols whose body names the given one, but for itself."""
     found = symbol_identifiers(corpus).filter((F.col("ident") == name) & (F.col("name") != name))

@@ -80,6 +80,16 @@ def within_budget(files: DataFrame, budget: int) -> DataFrame:
     return files.withColumn("used", used).filter(F.col("used") <= (budget - 64) * 4)
 
 
+def whole(files: DataFrame, budget: int) -> DataFrame:
+    """path, text of files, as many whole lines of each as fit (budget - 64) * 4 characters, and how many are left out."""
+    most = max(1, (budget - 64) * 4)
+    part = F.substring("text", 1, most)
+    lines_ = F.when(F.contains(part, F.lit("\n")), F.regexp_replace(part, r"\n[^\n]*\z", "")).otherwise(part)
+    left = F.size(tx.lines(F.col("text"))) - F.size(F.split(lines_, "\n", -1))
+    cut = F.concat(lines_, F.lit("\n… +"), left.cast("string"), F.lit(" more lines"))
+    return files.select("path", F.when(F.length("text") > most, cut).otherwise(F.col("text")).alias("text"))
+
+
 # Diagnostics of compilers, linters and stack traces.
 PYTHON_AT = r'File "([^"]+)"[^\n]*?line ([0-9]+)'
 COLON_AT = r"""([^\s()\[\]{}'"`<>:]*[./\\][^\s()\[\]{}'"`<>:]*):([0-9]+)(?::[0-9]+)?(?=[\s()\[\]{}'"`<>,:]|$)"""

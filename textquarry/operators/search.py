@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from ..functions import text as tx
 from ..functions.locators import format_locator, short_hash
 from ..sources.corpus import Corpus, explode_lines
+from ..sources.store import checkpoint
 
 RRF_K = 60
 
@@ -73,7 +74,8 @@ def ranked(df: DataFrame, *order) -> DataFrame:
     df = df.persist()
     if df.count() <= SMALL_LIST:
         return df.withColumn("rank", (F.row_number().over(W.orderBy(*order)) - 1).cast("long"))
-    placed = df.orderBy(*order).withColumn("place", F.monotonically_increasing_id()).persist()
+    # written out: numbers given once hold, whatever executors are lost
+    placed = checkpoint(df.orderBy(*order).withColumn("place", F.monotonically_increasing_id()))
     part, within = F.shiftright("place", 33), F.col("place").bitwiseAND((1 << 33) - 1)
     sizes = sorted((r["part"], r["count"]) for r in placed.groupBy(part.alias("part")).count().collect())  # one per partition
     before, total = {}, 0

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,10 +35,11 @@ class Session:
     """Handles to the tables of a corpus at one revision.
 
     root: directory that edits are written to (none: tables only).  prose: lines are
-    symbols where a language has no parser."""
+    symbols where a language has no parser.  provider: of a name, its references and the
+    files they are complete for (path, line; path), from a language server or compiler, or None."""
 
-    def __init__(self, spark: SparkSession, corpus: Corpus, root: str | None = None, prose: bool = False):
-        self.spark, self.root, self.prose, self.revision = spark, root, prose, 0
+    def __init__(self, spark: SparkSession, corpus: Corpus, root: str | None = None, prose: bool = False, provider: Callable[[str], tuple[DataFrame, DataFrame] | None] | None = None):
+        self.spark, self.root, self.prose, self.provider, self.revision = spark, root, prose, provider, 0
         register(spark)
         self.audit = fs.Audit()
         self.seen: set[str] = set()
@@ -76,7 +78,7 @@ class Session:
         if q.detail == "callgraph":
             return self._reached(graph.callgraph(part, name))
         if q.detail == "refs" or q.mode == "graph" and q.detail not in ("count", "tree"):
-            rows = graph.references(part, name, cap=6 * q.k)
+            rows = self._references(q, part, name).orderBy("path", "line").limit(6 * q.k)
             return rows.select(F.concat("path", F.lit("@L"), F.col("line").cast("string")).alias("id"), "text", F.lit(1.0).alias("score"))
         if q.detail == "count":
             if q.all_of or q.any_of or q.none_of:
@@ -156,6 +158,18 @@ class Session:
         rows = rows.orderBy("depth", "path", "start", "name").limit(60)
         return rows.select(F.concat("path", F.lit("#"), "name", F.lit("@L"), F.col("start").cast("string")).alias("id"), F.concat(F.lit("depth "), F.col("depth").cast("string")).alias("text"), (1 / F.col("depth")).alias("score"))
 
+    def _references(self, q: Query, part: Corpus, name: str) -> DataFrame:
+        """References of a name; of PATH#NAME those in its package, if other files define the name too."""
+        path = parse_symbol_query(q.q)[0]
+        others = self.corpus.symbols.filter((F.col("name") == name) & (F.col("path") != F.lit(path or "")))
+        if path and not others.isEmpty() and (root := self._package(path, self.corpus.files)):
+            part = part.scoped([f"{root}/**"])
+        found = self.provider(name) if self.provider else None
+        return graph.tiered_references(part, name, *(found or ()))
+
+    def _package(self, path: str, files: DataFrame) -> str | None:
+        return graph.package_roots(self.spark.createDataFrame([(path,)], "path string"), files).first()["root"]
+
     def _ast(self, part: Corpus, q: Query) -> DataFrame:
         """Nodes of a kind in all files of the scope, or the tree of a file."""
         files = part.files if q.path is None else part.files.join(search.resolve_path(part.files, q.path), "path", "left_semi")
@@ -200,8 +214,7 @@ class Session:
         if q.detail in ("outline", "locate"):
             one = Corpus(self.corpus.files, self.corpus.symbols.filter(F.col("path") == path))
             return repo_outline(one).select(F.col("path").alias("id"), F.array_join("outline", "\n").alias("text"), F.lit(1.0).alias("score"))
-        text = F.substring("text", 1, max(1, (budget - 64) * 4))
-        return self.corpus.files.filter(F.col("path") == path).select(F.col("path").alias("id"), text.alias("text"), F.lit(1.0).alias("score"))
+        return read.whole(self.corpus.files.filter(F.col("path") == path), budget).select(F.col("path").alias("id"), "text", F.lit(1.0).alias("score"))
 
     # Edits.
 
@@ -345,7 +358,7 @@ class Session:
             raise ed.EditError("NAME_TAKEN", new)
         where = (paths.family(F.col("lang")) == paths.family(F.lit(lang))) & F.contains("text", F.lit(name))
         if not homes.filter(F.col("path") != path).isEmpty():
-            base = graph.package_roots(self._rows([(path, "", 0.0)]).select(F.col("id").alias("path")), now.files).first()["root"]
+            base = self._package(path, now.files)
             roots = graph.package_roots(homes.filter(F.col("path") != path), now.files)
             if base is None or not roots.filter(F.col("root").eqNullSafe(F.lit(base))).isEmpty():
                 some = [r["path"] for r in homes.orderBy("path").limit(8).collect()]
@@ -380,7 +393,7 @@ class Session:
 
     def status(self) -> dict:
         langs = {r["lang"]: r["count"] for r in self.corpus.files.groupBy("lang").count().collect()}
-        return {"revision": self.revision, "files": sum(langs.values()), "languages": langs, "references": "lexical-approx", "help": HELP}
+        return {"revision": self.revision, "files": sum(langs.values()), "languages": langs, "references": "lsp" if self.provider else "lexical-approx", "symbols": self.corpus.symbols.count(), "calls": len(self.audit.entries), "help": HELP}
 
     def repo_map(self, budget: int = 2000, min_name_len: int = 3) -> str:
         edges = graph.reference_edges(self.corpus, min_name_len)
@@ -388,8 +401,9 @@ class Session:
         return "\n".join(f"{r['path']}\n" + "\n".join(f"  {x}" for x in r["names"].split("\n")) for r in rows)
 
     def project(self) -> dict[str, str]:
-        """Usual commands by manifest, at the top of the corpus; they are named, not run."""
+        """Usual commands by the path of a manifest, at the top or in folders; they are named, not run."""
         known = {"Cargo.toml": "cargo test", "go.mod": "go test ./...", "pubspec.yaml": "dart test", "pyproject.toml": "pytest", "setup.py": "pytest", "package.json": "npm test", "pom.xml": "mvn test"}
-        rows = self.corpus.files.filter(F.col("path").isin(list(known))).select("path").collect()
-        return {r["path"]: known[r["path"]] for r in rows}
+        name = F.element_at(F.split("path", "/"), -1)
+        rows = self.corpus.files.filter(name.isin(list(known))).select("path", name.alias("name")).orderBy(F.size(F.split("path", "/")), "path").limit(NAMES).collect()
+        return {r["path"]: known[r["name"]] for r in rows}
 

@@ -152,3 +152,7 @@ class Audit:
         if self.file:
             with open(self.file, "a") as f:
                 f.write("\t".join(map(str, entry)) + "\n")
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """at, tool, summary: the entries as a table."""
+        return spark.createDataFrame(self.entries, "seconds long, tool string, summary string").select(F.timestamp_seconds("seconds").alias("at"), "tool", "summary")
