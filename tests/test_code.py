@@ -129,7 +129,7 @@ def test_code_without_comments_and_strings(spark, lang, text, n):
     df = spark.createDataFrame([("f", text, lang)], "path string, text string, lang string")
     idents = df.select(code.code_identifiers(F.col("text"), F.col("lang")).alias("i")).first()["i"]
     assert idents.count("name") == n
-    kept = df.select(code.stripped(F.col("text"), F.col("lang"), keep_lines=True).alias("t")).first()["t"]
+    kept = df.select(code.stripped_lines(F.col("text"), F.col("lang")).alias("t")).first()["t"]
     assert kept.count("\n") == text.count("\n") and kept.count("name") == n
     assert edits.replace_word(text, "name", "other", lang)[1] == n
 

@@ -14,6 +14,7 @@ from .functions.locators import parse_locator
 from .operators import code, edits, graph, parse, read
 from .sources import corpus as co
 from .sources import files as fs
+from .sources.store import fingerprint, keep
 
 #: By doc_id modulo 4: suffix, language, comment mark, heading word, what opens, what precedes and ends the call, what closes.
 FORMS = [
@@ -55,7 +56,9 @@ def tree(spark, sf_dir) -> co.Corpus:
     text = F.concat(_form(3), F.lit(" "), own, _form(4), F.lit("\n"), F.array_join(said, "\n"), F.lit("\n"), call, _form(7), F.lit("\n"))
     path = F.concat(F.lit("src/f"), n, _form(0))
     files = df.select(path.alias("path"), text.alias("text"), paths.language(path, text).alias("lang"))
-    return co.Corpus(files, parse.code_symbols(files))
+    key = f"{fingerprint(spark, f'{sf_dir}/documents.parquet')}-code"
+    kept = lambda name, make, order: keep(spark, key, name, make, order)
+    return co.Corpus(files, lambda: kept("symbols", lambda: parse.code_symbols(files), "name"), kept)
 
 
 @query(f"WITH {CODE} SELECT lang, count(*) AS files FROM code GROUP BY lang")

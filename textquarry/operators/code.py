@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from functools import cache
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,20 +52,31 @@ def _by_language(text: Column, lang: Column, change) -> Column:
     return out.otherwise(text)
 
 
-def stripped(text: Column, lang: Column, keep_lines: bool = False) -> Column:
-    """Text with comments and strings replaced by a semicolon (which ends a call position).
+def stripped(text: Column, lang: Column) -> Column:
+    """Text with comments and strings replaced by a semicolon (which ends a call position)."""
+    return _by_language(text, lang, lambda t, p: F.regexp_replace(t, p, ";"))
+
+
+@cache
+def literals(lang: str) -> re.Pattern:
+    return re.compile(strip_pattern(lang).replace(r"\z", r"\Z"))
+
+
+def strip_text(text: str, lang: str) -> str:
+    """As stripped(); line breaks inside comments and strings stay, so that line numbers hold."""
+    if lang not in CODE:
+        return text
+    return literals(lang).sub(lambda m: ";" + "\n" * m[0].count("\n"), text)
+
 
-    keep_lines: line breaks inside them stay, so that line numbers hold.  They are
-    found by splitting at the literals and putting their line breaks back."""
-    if not keep_lines:
-        return _by_language(text, lang, lambda t, p: F.regexp_replace(t, p, ";"))
+def stripped_lines(text: Column, lang: Column) -> Column:
+    """strip_text() of a column; as an expression it would be repeated for each language and use."""
 
-    def change(t: Column, p: str) -> Column:
-        between = F.split(t, p, -1)
-        inside = F.transform(F.regexp_extract_all(t, F.lit(f"(?:{p})"), F.lit(0)), lambda x: F.concat(F.lit(";"), F.regexp_replace(x, r"[^\n]", "")))
-        return F.array_join(F.flatten(F.transform(F.arrays_zip(between.alias("a"), inside.alias("b")), lambda z: F.array(F.coalesce(z["a"], F.lit("")), F.coalesce(z["b"], F.lit(""))))), "")
+    @F.pandas_udf("string")
+    def run(text: pd.Series, lang: pd.Series) -> pd.Series:
+        return pd.Series([strip_text(t, x) for t, x in zip(text, lang, strict=True)])
 
-    return _by_language(text, lang, change)
+    return run(text, lang)
 
 
 def code_identifiers(text: Column, lang: Column) -> Column:

@@ -8,9 +8,9 @@ from pyspark.sql import Window as W
 
 from ..functions import paths
 from ..functions import text as tx
-from ..sources.corpus import Corpus
+from ..sources.corpus import Corpus, explode_lines
 from ..sources.store import checkpoint
-from .code import CODE, call_identifiers, code_identifiers, stripped
+from .code import CODE, call_identifiers, stripped_lines
 
 DAMPING, ITERATIONS = 0.85, 30
 MAX_DEPTH = 5
@@ -40,12 +40,14 @@ def references(corpus: Corpus, name: str, cap: int | None = None) -> DataFrame:
 
     word = rf"(^|[^A-Za-z0-9_]){tx.escape(name)}([^A-Za-z0-9_]|$)"
     files = prune(corpus.files, [name], fold=False)
-    shown = tx.lines(F.col("text"))
-    coded = F.when(F.col("lang").isin(*CODE), tx.lines(stripped(F.col("text"), F.col("lang"), keep_lines=True))).otherwise(shown)
-    # numbered in the row: lines that hold the name, and hold it outside comments and strings
-    rows = files.select("path", F.arrays_zip(shown.alias("text"), coded.alias("code")).alias("x"))
-    rows = rows.select("path", F.posexplode("x").alias("line", "x")).filter(F.col("x.code").rlike(word) & F.col("x.text").rlike(word))
-    hits = rows.select("path", (F.col("line") + 1).alias("line"), F.col("x.text").alias("text"))
+    files = files.filter(F.col("text").rlike(word))
+    is_code = F.col("lang").isin(*CODE)
+    hits = explode_lines(files.filter(~F.coalesce(is_code, F.lit(False)))).filter(F.col("text").rlike(word))
+    # of code, lines that hold the name outside comments and strings
+    coded = files.filter(is_code).select("path", "text", stripped_lines(F.col("text"), F.col("lang")).alias("code")).filter(F.col("code").rlike(word))
+    both = coded.select("path", F.posexplode(F.arrays_zip(tx.lines(F.col("text")).alias("text"), tx.lines(F.col("code")).alias("code"))).alias("line", "x"))
+    both = both.filter(F.col("x.code").rlike(word)).select("path", (F.col("line") + 1).alias("line"), F.col("x.text").alias("text"))
+    hits = hits.unionByName(both)
     own = corpus.symbols.filter(F.col("name") == name).select("path", F.col("start").alias("line"))
     hits = hits.join(own, ["path", "line"], "left_anti").select("path", F.col("line").cast("long").alias("line"), "text")
     return hits.orderBy("path", "line").limit(cap) if cap else hits
@@ -116,6 +118,7 @@ def impact(corpus: Corpus, name: str, depth: int = MAX_DEPTH, min_len: int = 3)
     """Symbols that use the given one, directly or through others; none for a name that nothing defines."""
     uses = symbol_identifiers(corpus, min_len).filter("ident <> name")
     pairs = uses.select(F.col("ident").alias("name"), "path", F.col("name").alias("to"), F.col("start").cast("long").alias("start"))
+    pairs = pairs if corpus.kept else checkpoint(pairs)  # else every step would parse the files again
     # what is reached has a definition; the name asked for may have none
     defined = not corpus.symbols.filter(F.col("name") == name).isEmpty()
     return reach(pairs if defined else pairs.filter("false"), name, depth)
@@ -127,7 +130,7 @@ def callgraph(corpus: Corpus, name: str, depth: int = MAX_DEPTH, calls_only: boo
     found = symbol_calls(corpus, min_len) if calls_only else symbol_identifiers(corpus, min_len)
     defined = corpus.symbols.select(F.col("name").alias("ident")).distinct()
     # names lead to names; the definitions join in once
-    named = found.filter("ident <> name").select("name", "ident").distinct().join(defined, "ident", "left_semi")
+    named = checkpoint(found.filter("ident <> name").select("name", "ident").distinct().join(defined, "ident", "left_semi"))
     seen, frontier = None, None
     for d in range(1, min(depth, MAX_DEPTH) + 1):
         step = named.filter(F.col("name") == name) if frontier is None else named.join(frontier, "name", "left_semi")
