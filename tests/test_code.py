@@ -332,7 +332,7 @@ def test_session(spark, tree):
     (tree / "README.md").unlink()
     assert s.reindex() == {"put": 1, "deleted": 1} and "late.py#late" in s.code({"q": "late", "mode": "structural"})
     assert s.reindex() == {"put": 0, "deleted": 0}
-    assert "src/auth/token.rs" in s.repo_map(500) and s.status()["files"] > 5 and "packages" not in "".join(s.project())
+    assert "src/auth/token.rs" in s.repo_map(500) and s.status()["files"] > 5 and s.project() == {"packages/cli/package.json": "npm test", "packages/core/pyproject.toml": "pytest"}
 
 
 def test_mixed_requests(spark, tree):
