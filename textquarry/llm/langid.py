@@ -33,7 +33,7 @@ ORDER = 4
 #: Bytes that stand before a text's first byte.
 START = b"\n" * ORDER
 #: Entries of the table of code lengths, at most (beyond contexts of one byte).
-ENTRIES = 1 << 22
+ENTRIES = 1 << 21
 #: A context of two bytes or more is in the tree if it was seen so often.
 GROW = 16
 #: Bytes coded at a time.
@@ -234,7 +234,7 @@ def fit(docs: DataFrame) -> Model:
     langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
     if not langs:
         return Model([])
-    number = {x: i for i, x in enumerate(langs)}
+    counts = _numbered(counts, langs)
     one = counts.groupBy("lang", (F.col("code") % ALPHABET**2).alias("code")).agg(F.sum("n").alias("n")).toPandas()
     code = one.code.to_numpy(np.int64)
     tree = Tree(np.unique(np.concatenate([code // ALPHABET, code % ALPHABET, [FOLD[START[0]]]])).tolist())
@@ -242,7 +242,7 @@ def fit(docs: DataFrame) -> Model:
     rows = []
 
     def keep(found: pd.DataFrame, node: np.ndarray, symbol: np.ndarray) -> None:
-        rows.append(pd.DataFrame({"lang": found.lang.map(number), "node": node, "symbol": symbol, "n": found.n}))
+        rows.append(pd.DataFrame({"lang": found.lang.to_numpy(np.int32), "node": np.asarray(node, np.int32), "symbol": np.asarray(symbol, np.int16), "n": found.n.to_numpy(np.int64)}))
 
     keep(one, np.zeros(len(one), np.int64), place[code % ALPHABET])
     firsts = np.unique(place[code // ALPHABET])
@@ -258,7 +258,7 @@ def fit(docs: DataFrame) -> Model:
     own = np.sort(found.context[found.order == 3].to_numpy(np.int64))
     parents = at(own // ALPHABET % ALPHABET, own % ALPHABET)
     tree.grow(parents[parents > 0], place[own // ALPHABET**2][parents > 0])
-    three = _after(labelled, tree)
+    three = _after(labelled, tree, langs)
     keep(three, three.node, three.symbol)
     # contexts of four bytes: one of three and what follows it, if the last three are a context too
     total = three.groupby(["node", "symbol"], as_index=False).n.sum().sort_values(["n", "node", "symbol"], ascending=[False, True, True])
@@ -271,17 +271,22 @@ def fit(docs: DataFrame) -> Model:
         tail = np.where(tail > 0, tree.child[np.maximum(tail, 0), abc[:, k]], -1)
     good = np.flatnonzero(tail > 0)[: room - room * 3 // 4]
     tree.grow(tail[good], abc[good, 0])
-    four = _after(labelled, tree)
+    four = _after(labelled, tree, langs)
     keep(four, four.node, four.symbol)
     return Model(langs, tree, pd.concat(rows, ignore_index=True))
 
 
-def _after(labelled: DataFrame, tree: Tree) -> pd.DataFrame:
-    """lang, node, symbol, n: what follows the longest contexts of the tree; bounded by its entries."""
+def _numbered(counts: DataFrame, langs: list[str]) -> DataFrame:
+    """Languages by their numbers: a name a row would take more memory than all else."""
+    return counts.withColumn("lang", (F.array_position(F.array(*map(F.lit, langs)), F.col("lang")) - 1).cast("int"))
+
+
+def _after(labelled: DataFrame, tree: Tree, langs: list[str]) -> pd.DataFrame:
+    """lang (its number), node, symbol, n: what follows the longest contexts of the tree; bounded by its entries."""
     first, size = tree.begins[-2], tree.size
     n = len(tree.parent) - first
     if n == 0:
-        return pd.DataFrame({"lang": [], "node": np.empty(0, np.int64), "symbol": np.empty(0, np.int64), "n": np.empty(0, np.int64)})
+        return pd.DataFrame({"lang": np.empty(0, np.int32), "node": np.empty(0, np.int64), "symbol": np.empty(0, np.int64), "n": np.empty(0, np.int64)})
     shared = labelled.sparkSession.sparkContext.broadcast(tree)
 
     def codes(texts: list[bytes]) -> np.ndarray:
@@ -295,7 +300,7 @@ def _after(labelled: DataFrame, tree: Tree) -> pd.DataFrame:
             out.append((node[deep] - first).astype(np.int64) * size + part[ORDER:][deep])
         return np.concatenate(out or [np.empty(0, np.int64)])
 
-    found = _count(labelled, codes, n * size).toPandas()
+    found = _numbered(_count(labelled, codes, n * size), langs).toPandas()
     return found.assign(node=found.code // size + first, symbol=found.code % size)
 
 
