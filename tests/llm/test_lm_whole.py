@@ -64,3 +64,17 @@ def test_scores_do_not_depend_on_the_layout(spark, sf):
         rows = lm_score.score_texts(docs.repartition(n), F.col("doc_id") % 5 != 2).collect()
         got.append(sorted((r.doc_id or -1, r.n_tokens, r.score, r.base_score) for r in rows))
     assert np.allclose(np.array(got[0], float), np.array(got[1], float), rtol=1e-5, atol=0)
+
+
+def test_all_windows_train_by_default(spark, monkeypatch):
+    got = []
+
+    def seen(docs, counts, rows, *more):
+        got.append(sum(len(r.windows) // (4 * (WINDOW + 2)) for r in rows.collect()))
+        return lm_score.first_model(docs, counts)
+
+    monkeypatch.setattr(lm_score, "fit", seen)
+    texts = [f"plain words {i} " * 60 for i in range(8)]
+    lm_score.score_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), F.lit(True)).collect()
+    tokens = lm_score.tokenizer(lm_score.TOKENIZER)
+    assert got == [sum(n_windows(len(lm_score.ids_of(tokens, t))) for t in texts)]

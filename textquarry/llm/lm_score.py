@@ -12,9 +12,8 @@ words are made; UNIGRAM is the part of the former.  The attention model's
 tree and rows come from the subword counts of all training documents, which the
 chunks send along with their words.  Its first weights, and which tokens stand
 beside each other in the tree, come from a bounded sample (INIT_DOCS documents).
-It is then trained on the executors on one context window in SHARE, drawn by a
-hash of text and place from all windows of all training documents; the chunks
-send these along too.  Each chunk's windows train a copy of the weights, and the
+It is then trained on the executors on all context windows of all training
+documents, which the chunks send along too.  Each chunk's windows train a copy of the weights, and the
 copies are averaged, by the tokens they have seen, in a tree of merges.
 
 Chunks are dealt by a hash of identifier and text and read in the order of that
@@ -41,8 +40,8 @@ from .common import bucket_crc, materialize, parts, read, small_batches
 CHUNK_BYTES = 20 << 20
 #: Training documents that the first weights and the neighbours in the tree come from, at most.
 INIT_DOCS, INIT_PASSES = 1000, 2
-#: Of the windows of all training documents, one in so many trains the weights.
-SHARE = 32
+#: Of the windows of all training documents, one in so many trains the weights: all of them.
+SHARE = 1
 #: Bytes of windows that go together; pieces of a chunk's windows, at most.
 PIECE_BYTES, PIECES = 1 << 16, 64
 #: Bytes of text whose words one bucket adds up, about.
@@ -280,7 +279,7 @@ def score_texts(docs: DataFrame, learn_from, path: str = TOKENIZER, share: int =
 
     learn_from: condition (Column) for training documents; null counts as false.
     path: vocabulary file of a public tokenizer, which all executors must have.
-    share: one in so many context windows trains the attention model.
+    share: one in so many context windows trains the attention model, by default all.
     Words are runs of characters other than space and tab to carriage return, A-Z
     in lower case, then one end.  base_score has the smoothed unigram model's
     log10 probability, score the mixed model's, of the words joined by spaces.
