@@ -1,10 +1,13 @@
 """The attention model learns from all training documents, beyond the sample of its first weights."""
 
+import pickle
+import time
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from textquarry.llm import lm_score
-from textquarry.llm.attention import OVERLAP, OWN_ROWS, WINDOW, cut, n_windows
+from textquarry.llm.attention import BATCH, DIM, OVERLAP, OWN_ROWS, WINDOW, Model, cut, n_windows
 
 
 def test_tree_rows_and_training_see_all_documents(spark, monkeypatch):
@@ -78,3 +81,77 @@ def test_all_windows_train_by_default(spark, monkeypatch):
     lm_score.score_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), F.lit(True)).collect()
     tokens = lm_score.tokenizer(lm_score.TOKENIZER)
     assert got == [sum(n_windows(len(lm_score.ids_of(tokens, t))) for t in texts)]
+
+
+def _trained(n_docs: int, seed: int = 3) -> tuple[Model, np.ndarray]:
+    """A model of a vocabulary of 3,000, and windows of random texts with a few frequent tokens."""
+    rng = np.random.default_rng(seed)
+    texts = [np.minimum(rng.zipf(1.3, rng.integers(1, 400)), 2999).astype(np.int64) for _ in range(n_docs)]
+    model = Model(np.concatenate(texts), np.arange(3000) % 3 == 2)
+    model.tree[:-1] = rng.normal(0, 0.1, (len(model.tree) - 1, model.tree.shape[1]))
+    return model, np.concatenate([cut(t) for t in texts])
+
+
+def _plain_step(self, x, y, rate):
+    """A training step decision by decision, every decision with a row of its own."""
+    h, a, q, k, v = self.attend(x)
+    flat = np.flatnonzero(y.reshape(-1) >= 0)
+    hs = h.reshape(-1, DIM)[flat]
+    z, nodes, signs, vec, begins, n = self.decide(hs, y.reshape(-1)[flat])
+    g = -signs / (1 + np.exp(np.minimum(z, np.float32(60))))
+    dh = np.zeros_like(h)
+    dh.reshape(-1, DIM)[flat] = np.add.reduceat(g[:, None] * self.tree[vec], begins, axis=0)
+    da = dh @ v.transpose(0, 2, 1)
+    ds = a * (da - (da * a).sum(2, keepdims=True))
+    de = np.concatenate([ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dh, dh], 2).reshape(-1, 4 * DIM)
+    by = ds.sum(0)
+    near = np.array([np.trace(by, -d) for d in range(WINDOW)])
+    order, other = np.argsort(nodes), np.argsort(x.reshape(-1))
+    rows = np.repeat(np.arange(len(hs)), n)[order]
+    for p, s, at, grad in zip(
+        self.theta(), self.sums, (x.reshape(-1)[other], np.arange(WINDOW), vec[order], nodes[order]), (de[other], near, g[order][:, None] * hs[rows], g[order]), strict=True
+    ):
+        starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        grad, at = np.add.reduceat(grad, starts, axis=0) / BATCH, at[starts]
+        s[at] += grad * grad
+        p[at] -= rate * grad / np.sqrt(s[at])
+    self.tree[-1] = 0
+
+
+def test_steps_equal_plain_ones_in_less_time(monkeypatch):
+    model, windows = _trained(300)
+    copies = [pickle.loads(pickle.dumps(model)) for _ in range(2)]
+    took = []
+    for own, step in zip(copies, (Model._step, _plain_step), strict=True):
+        monkeypatch.setattr(Model, "_step", step)
+        own.train_on(windows[: BATCH + 7], 0.1)  # not measured: tables are made
+        began = time.thread_time()
+        own.train_on(windows, 0.1)
+        took.append(time.thread_time() - began)
+    for got, want, before in zip(copies[0].theta(), copies[1].theta(), model.theta(), strict=True):
+        moved = np.abs(want - before).max()
+        assert moved > 1e-3 and np.abs(got - want).max() < 0.02 * moved
+    assert took[0] < 0.8 * took[1]
+
+
+def test_a_copy_scores_with_its_own_weights():
+    """What a model has worked out from its weights for scoring does not go along with a copy."""
+    model, windows = _trained(20)
+    text = np.arange(3000)
+    model.score([text])
+    own = pickle.loads(pickle.dumps(model))
+    own.bias += 1
+    model.bias += 1
+    for name in ("paths", "flat"):
+        model.__dict__.pop(name)
+    assert np.allclose(own.score([text])[0], model.score([text])[0])
+
+
+def test_decisions_are_split_in_two():
+    """The decisions near the root and the others together are all of a token's."""
+    model, _ = _trained(50)
+    top, first, n, nodes, signs = model._steep_paths()
+    for t in range(0, 3000, 7):
+        own = {(int(k), float(top[t, k])) for k in np.flatnonzero(top[t])} | set(zip(nodes[first[t] : first[t] + n[t]].tolist(), signs[first[t] : first[t] + n[t]].tolist()))
+        at = slice(model.offsets[t], model.offsets[t + 1])
+        assert own == set(zip(model.nodes[at].tolist(), model.signs[at].tolist())) and len(own) == model.lengths[t]

@@ -29,9 +29,13 @@ NODES = 8192
 BATCH, SCORED = 256, 96
 #: Decisions near the root, which nearly every token takes; they are worked out for all at once.
 TOP = 64
+#: Tokens whose decisions near the root are worked out at a time in training.
+NEAR_AT_ONCE = 1024
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 F32 = np.float32
+#: How far the second of two places of a window stands before the first.
+GAP = np.subtract.outer(np.arange(WINDOW), np.arange(WINDOW))
 
 
 class Tokens:
@@ -169,9 +173,9 @@ def build_tree(counts: np.ndarray, sample: np.ndarray, initial: np.ndarray) -> t
     return offsets, np.concatenate([x for _, x, _ in steps])[order].astype(np.int32), np.concatenate([x for _, _, x in steps])[order].astype(F32), bias
 
 
-def n_windows(n: int) -> int:
-    """Windows of a text of n tokens; they begin STEP apart."""
-    return max(1, -(-(n - OVERLAP) // STEP))
+def n_windows(n):
+    """Windows of a text of n tokens (a number, or an array of them); they begin STEP apart."""
+    return np.maximum(1, -(-(n - OVERLAP) // STEP))
 
 
 def window(ids: np.ndarray, first: bool) -> np.ndarray:
@@ -218,16 +222,17 @@ class Model:
         return rows[starts[:, None] + np.arange(WINDOW)], starts
 
     def attend(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
-        e = self.table[x]
-        q, k, v, s = e[..., :DIM], e[..., DIM : 2 * DIM], e[..., 2 * DIM : 3 * DIM], e[..., 3 * DIM :]
-        gap = np.subtract.outer(np.arange(WINDOW), np.arange(WINDOW))
-        mask = np.where(gap >= 0, self.near[np.maximum(gap, 0)], F32(-1e4)).astype(F32)
-        a = q @ k.transpose(0, 2, 1)
+        e = self.table.take(x, 0)
+        # products of small matrices are much faster if they lie in one piece
+        q, k, v, s = (np.ascontiguousarray(e[..., i : i + DIM]) for i in range(0, 4 * DIM, DIM))
+        mask = np.where(GAP >= 0, self.near[np.maximum(GAP, 0)], F32(-1e4)).astype(F32)
+        a = q @ np.ascontiguousarray(k.transpose(0, 2, 1))
         a += mask
         np.minimum(a, F32(60), out=a)
         np.exp(a, out=a)
-        a /= a.sum(2, keepdims=True)
-        return s + a @ v, a, q, k, v
+        a /= (a.reshape(-1, WINDOW) @ np.ones(WINDOW, F32)).reshape(*a.shape[:2], 1)
+        s += a @ v
+        return s, a, q, k, v
 
     def decide(self, h: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
         """Signed evidence at each decision on the way to tokens y; where each token's begin."""
@@ -242,6 +247,21 @@ class Model:
         z *= signs
         return z, nodes, signs, vec, begins, n
 
+    def __getstate__(self) -> dict:
+        """Without what is worked out again from the tree and the weights."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("paths", "flat", "steep")}
+
+    def _steep_paths(self) -> tuple[np.ndarray, ...]:
+        """For training: each token's signs at the decisions near the root (0: not on its way), and
+        of its other decisions where they begin, how many they are, nodes, signs."""
+        if "steep" not in self.__dict__:
+            owner, near = np.repeat(np.arange(len(self.lengths)), self.lengths), self.nodes < TOP
+            top = np.zeros((len(self.lengths), min(TOP, len(self.bias))), np.int8)
+            top[owner[near], self.nodes[near]] = self.signs[near]
+            n = np.bincount(owner[~near], minlength=len(self.lengths)).astype(np.int16)
+            self.steep = top, np.cumsum(n, dtype=np.int64) - n, n, self.nodes[~near], self.signs[~near]
+        return self.steep
+
     def _split_paths(self) -> list[tuple[np.ndarray, ...]]:
         """Each token's decisions near the root, and the others that have vectors: first, number,
         nodes, signs.  The root comes last.  Decisions without vectors are the same in all contexts:
@@ -269,17 +289,17 @@ class Model:
         top = min(TOP, len(self.bias))
         z = (h @ self.tree[:top].T + self.bias[:top]).ravel()
         at, k, ends = places(first, n)
-        z = z[np.repeat(np.arange(len(y)) * top, k) + nodes[at]] * signs[at]
+        z = z.take(np.repeat(np.arange(len(y)) * top, k) + nodes.take(at)) * signs.take(at)
         odds = 1 + np.exp(np.minimum(-z, F32(30)))  # one over the probability
         root = -np.log(odds[ends - 1])
         total = np.multiply.reduceat(odds.astype(np.float64), ends - k)
         at, k, ends = places(first2, n2)
         if len(at):
             deep = np.flatnonzero(k)
-            own = nodes2[at]
-            z = np.einsum("ij,ij->i", np.repeat(h[deep], k[deep], 0), self.tree[own])
-            z += self.bias[own]
-            z *= signs2[at]
+            own = nodes2.take(at)
+            z = np.einsum("ij,ij->i", h.take(np.repeat(deep, k[deep]), 0), self.tree.take(own, 0))
+            z += self.bias.take(own)
+            z *= signs2.take(at)
             odds = 1 + np.exp(np.minimum(-z, F32(30))).astype(np.float64)
             total[deep] *= np.multiply.reduceat(odds, (ends - k)[deep])
         return self.flat[y] - np.log(total), root
@@ -347,32 +367,87 @@ class Model:
         return total
 
     def _step(self, x: np.ndarray, y: np.ndarray, rate: float) -> None:
+        """Decisions near the root are worked out for all tokens at once, the others level by level
+        from there on; the tokens with most of them come first, so that a level's stand together."""
+        top, first, deep, far, turns = self._steep_paths()
         h, a, q, k, v = self.attend(x)
-        flat = np.flatnonzero(y.reshape(-1) >= 0)
-        hs = h.reshape(-1, DIM)[flat]
-        z, nodes, signs, vec, begins, n = self.decide(hs, y.reshape(-1)[flat])
-        g = -signs / (1 + np.exp(np.minimum(z, F32(60))))
+        y = y.reshape(-1)
+        flat = np.flatnonzero(y >= 0)
+        flat = flat.take(np.argsort(-deep.take(y.take(flat)), kind="stable"))
+        y, hs = y.take(flat), h.reshape(-1, DIM).take(flat, 0)
+        scale, n_top = F32(1 / BATCH), top.shape[1]
+        near, dhs = self.tree[:n_top], np.empty_like(hs)
+        grad, grad_bias = np.zeros((n_top, DIM), F32), np.zeros(n_top, F32)
+        for lo in range(0, len(y), NEAR_AT_ONCE):
+            own, sign = hs[lo : lo + NEAR_AT_ONCE], top.take(y[lo : lo + NEAR_AT_ONCE], 0).astype(F32)
+            g = own @ near.T
+            g += self.bias[:n_top]
+            g *= sign
+            np.minimum(g, F32(60), out=g)
+            np.exp(g, out=g)
+            g += 1
+            np.divide(sign, g, out=g)
+            g *= -scale
+            dhs[lo : lo + NEAR_AT_ONCE] = g @ near
+            grad += g.T @ own
+            grad_bias += np.ones(len(g), F32) @ g
+        nodes, gs, sizes = [], [], []
+        levels = np.cumsum(np.bincount(deep.take(y))[::-1])[::-1][1:].tolist()  # tokens that have so many decisions more
+        begins = first.take(y)
+        for d, c in enumerate(levels):
+            at = begins[:c] + d
+            node, sign = far.take(at), turns.take(at)
+            vectors = self.tree.take(np.minimum(node, NODES), 0)
+            z = np.einsum("ij,ij->i", hs[:c], vectors)
+            z += self.bias.take(node)
+            z *= sign
+            g = -scale * sign / (1 + np.exp(np.minimum(z, F32(60))))
+            vectors *= g[:, None]
+            dhs[:c] += vectors
+            nodes.append(node), gs.append(g), sizes.append(c)
+        self._update(2, np.arange(n_top), grad, rate)
+        self._update(3, np.arange(n_top), grad_bias, rate)
+        if nodes:
+            node, g = np.concatenate(nodes), np.concatenate(gs)
+            order = _order(node, len(self.bias))
+            node, g = node.take(order), g.take(order)
+            rows = np.concatenate([np.arange(c) for c in sizes]).take(order)
+            # vectors and biases of decisions: one order serves both, since vectors follow nodes
+            self._update(2, np.minimum(node, NODES), g[:, None] * hs.take(rows, 0), rate)
+            self.tree[NODES] = 0
+            self._update(3, node, g, rate)
         dh = np.zeros_like(h)
-        dh.reshape(-1, DIM)[flat] = np.add.reduceat(g[:, None] * self.tree[vec], begins, axis=0)
-        scale = F32(1 / BATCH)
-        # vectors and biases of decisions: one order serves both, since vec follows nodes
-        order = np.argsort(nodes)
-        gs, rows = g[order] * scale, np.repeat(np.arange(len(hs)), n)[order]
-        self._update(2, vec[order], gs[:, None] * hs[rows], rate)
-        self.tree[NODES] = 0
-        self._update(3, nodes[order], gs, rate)
-        da = dh @ v.transpose(0, 2, 1)
-        ds = a * (da - (da * a).sum(2, keepdims=True))
-        de = np.concatenate([ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dh, dh], 2) * scale
-        order = np.argsort(x.reshape(-1))
-        self._update(0, x.reshape(-1)[order], de.reshape(-1, 4 * DIM)[order], rate)
-        by = ds.sum(0)
-        self._update(1, np.arange(WINDOW), np.array([np.trace(by, -d) for d in range(WINDOW)], F32) * scale, rate)
+        dh.reshape(-1, DIM)[flat] = dhs
+        ds = dh @ np.ascontiguousarray(v.transpose(0, 2, 1))
+        ds -= np.einsum("ijk,ijk->ij", ds, a)[..., None]
+        ds *= a
+        de = np.empty((*x.shape, 4 * DIM), F32)
+        de[..., :DIM], de[..., DIM : 2 * DIM] = ds @ k, ds.transpose(0, 2, 1) @ q
+        de[..., 2 * DIM : 3 * DIM], de[..., 3 * DIM :] = a.transpose(0, 2, 1) @ dh, dh
+        x = x.reshape(-1)
+        order = _order(x, len(self.table))
+        self._update(0, x.take(order), de.reshape(-1, 4 * DIM).take(order, 0), rate)
+        by = np.bincount(GAP.ravel() + WINDOW, ds.sum(0).ravel(), 2 * WINDOW)[WINDOW:]
+        self._update(1, np.arange(WINDOW), by.astype(F32), rate)
 
     def _update(self, which: int, rows: np.ndarray, grad: np.ndarray, rate: float) -> None:
         """rows: ascending."""
-        starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-        grad, rows = np.add.reduceat(grad, starts, axis=0), rows[starts]
+        new = np.r_[True, rows[1:] != rows[:-1]]
+        if not new.all():
+            starts = np.flatnonzero(new)
+            # two numbers are added at a time
+            grad = np.add.reduceat(grad.view(np.complex64), starts, axis=0).view(F32) if grad.ndim > 1 else np.add.reduceat(grad, starts)
+            rows = rows.take(starts)
         p, s = self.theta()[which], self.sums[which]
-        s[rows] += grad * grad
-        p[rows] -= F32(rate) * grad / np.sqrt(s[rows])
+        own = s.take(rows, 0)
+        own += grad * grad
+        s[rows] = own
+        np.sqrt(own, out=own)
+        np.divide(grad, own, out=own)
+        own *= F32(rate)
+        p[rows] -= own
+
+
+def _order(x: np.ndarray, most: int) -> np.ndarray:
+    """The order of numbers below most; small ones are sorted by their digits."""
+    return np.argsort(x.astype(np.uint16) if most <= 1 << 16 else x, kind="stable")

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .attention import STEP, TOKENIZER, WINDOW, Model, Tokens, n_windows, window
+from .attention import STEP, TOKENIZER, WINDOW, Model, Tokens, n_windows
 from .common import bucket_crc, materialize, parts, read, small_batches
 
 #: Bytes of text of a chunk, about.
@@ -97,28 +97,35 @@ def _places_in(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1]) + np.repeat(begin - (ends - length), length)
 
 
-def drawn(order: int, n: int, share: int = SHARE) -> range:
-    """The windows, one in share, of a training text of n tokens that train the weights; order: hash of the row."""
-    return range(order % share, n_windows(n), share)
+#: Windows that are made at a time.
+WINDOWS_AT_ONCE = 1 << 14
 
 
 def _windows(rows: pd.DataFrame, texts: list[np.ndarray], flat: np.ndarray, begin: np.ndarray, length: np.ndarray, share: int) -> np.ndarray:
-    """The windows drawn from a chunk's training texts, in the order of the rows' hashes."""
-    out: list[np.ndarray] = []
-    for i in np.lexsort((rows.doc_id.fillna(0).to_numpy(), rows.order.to_numpy())).tolist():
-        if not rows.train.iat[i]:
-            continue
-        x = texts[i]
-        size = length[x]
-        ends = np.cumsum(size)
-        for k in drawn(int(rows.order.iat[i]), int(ends[-1]), share):
-            # the words that the window and the token before it stand in
-            first = max(0, k * STEP - 1)
-            a, b = np.searchsorted(ends, [first, k * STEP + WINDOW - 1], "right").tolist()
-            own = x[a : b + 1]
-            ids = flat[_places_in(begin[own], length[own])][first - int(ends[a] - size[a]) :]
-            out.append(window(ids, k == 0))
-    return np.array(out, np.int32).reshape(-1, WINDOW + 2)
+    """The windows, one in share of each text's, of a chunk's training texts, in the order of the rows' hashes."""
+    order = rows.order.to_numpy()
+    who = np.lexsort((rows.doc_id.fillna(0).to_numpy(), order))
+    who = who[rows.train.to_numpy(bool)[who]]
+    if not len(who):
+        return np.empty((0, WINDOW + 2), np.int32)
+    own = np.concatenate([texts[i] for i in who.tolist()])
+    ids = flat[_places_in(begin[own], length[own])].astype(np.int32)
+    ends = np.cumsum(length[own])[np.cumsum([len(texts[i]) for i in who.tolist()]) - 1]
+    starts = np.r_[0, ends[:-1]]
+    # of each text: the first window drawn, and how many are
+    drawn = order[who] % share
+    n = np.maximum(0, -((drawn - n_windows(ends - starts)) // share))
+    text, k = np.repeat(np.arange(len(who)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    k = drawn[text] + share * k
+    out = np.empty((len(k), WINDOW + 2), np.int32)
+    out[:, 0] = k == 0
+    for lo in range(0, len(k), WINDOWS_AT_ONCE):
+        part = slice(lo, lo + WINDOWS_AT_ONCE)
+        t = text[part]
+        at = (starts[t] + k[part] * STEP - 1)[:, None] + np.arange(WINDOW + 1)
+        inside = (at >= starts[t][:, None]) & (at < ends[t][:, None])
+        out[part, 1:] = np.where(inside, ids[np.where(inside, at, 0)], -1)
+    return out
 
 
 def _send(key: tuple, rows: pd.DataFrame, buckets: int, path: str, share: int) -> pd.DataFrame:
