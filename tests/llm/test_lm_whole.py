@@ -155,3 +155,12 @@ def test_decisions_are_split_in_two():
         own = {(int(k), float(top[t, k])) for k in np.flatnonzero(top[t])} | set(zip(nodes[first[t] : first[t] + n[t]].tolist(), signs[first[t] : first[t] + n[t]].tolist()))
         at = slice(model.offsets[t], model.offsets[t + 1])
         assert own == set(zip(model.nodes[at].tolist(), model.signs[at].tolist())) and len(own) == model.lengths[t]
+
+
+def test_packed_windows_come_back_whole():
+    for ids in ([], [0, 5, 65533], [65534, 65535, 1 << 20]):
+        rows = cut(np.array(ids, np.int64))
+        data = lm_score.packed(np.tile(rows, (50, 1)))
+        assert (np.frombuffer(lm_score.unpacked(data), np.int32).reshape(-1, WINDOW + 2) == np.tile(rows, (50, 1))).all()
+        assert len(data) < rows.nbytes * 50 / 2
+    assert lm_score.unpacked(lm_score.packed(np.empty((0, WINDOW + 2), np.int32))) == b""

@@ -29,6 +29,7 @@ from itertools import count
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,8 +98,8 @@ def _places_in(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1]) + np.repeat(begin - (ends - length), length)
 
 
-#: Windows that are made at a time.
-WINDOWS_AT_ONCE = 1 << 14
+#: Tokens whose windows are cut out at a time, about.
+TOKENS_AT_ONCE = 1 << 17
 
 
 def _windows(rows: pd.DataFrame, texts: list[np.ndarray], flat: np.ndarray, begin: np.ndarray, length: np.ndarray, share: int) -> np.ndarray:
@@ -106,28 +107,48 @@ def _windows(rows: pd.DataFrame, texts: list[np.ndarray], flat: np.ndarray, begi
     order = rows.order.to_numpy()
     who = np.lexsort((rows.doc_id.fillna(0).to_numpy(), order))
     who = who[rows.train.to_numpy(bool)[who]]
-    if not len(who):
-        return np.empty((0, WINDOW + 2), np.int32)
-    own = np.concatenate([texts[i] for i in who.tolist()])
-    ids = flat[_places_in(begin[own], length[own])].astype(np.int32)
-    ends = np.cumsum(length[own])[np.cumsum([len(texts[i]) for i in who.tolist()]) - 1]
-    starts = np.r_[0, ends[:-1]]
+    size = np.array([length[texts[i]].sum() for i in who.tolist()], np.int64)
     # of each text: the first window drawn, and how many are
     drawn = order[who] % share
-    n = np.maximum(0, -((drawn - n_windows(ends - starts)) // share))
-    text, k = np.repeat(np.arange(len(who)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    k = drawn[text] + share * k
-    out = np.empty((len(k), WINDOW + 2), np.int32)
-    out[:, 0] = k == 0
-    for lo in range(0, len(k), WINDOWS_AT_ONCE):
-        part = slice(lo, lo + WINDOWS_AT_ONCE)
-        t = text[part]
-        at = (starts[t] + k[part] * STEP - 1)[:, None] + np.arange(WINDOW + 1)
+    n = np.maximum(0, -((drawn - n_windows(size)) // share))
+    out, done = np.empty((n.sum(), WINDOW + 2), np.int32), 0
+    group = np.cumsum(size) // TOKENS_AT_ONCE
+    for part in np.split(np.arange(len(who)), np.flatnonzero(np.diff(group)) + 1) if len(who) else ():
+        own = np.concatenate([texts[i] for i in who[part].tolist()])
+        ids = flat[_places_in(begin[own], length[own])].astype(np.int32)
+        ends, each = np.cumsum(size[part]), n[part]
+        starts = ends - size[part]
+        t = np.repeat(np.arange(len(part)), each)
+        k = drawn[part][t] + share * (np.arange(len(t)) - np.repeat(np.cumsum(each) - each, each))
+        at = (starts[t] + k * STEP - 1)[:, None] + np.arange(WINDOW + 1)
         inside = (at >= starts[t][:, None]) & (at < ends[t][:, None])
-        out[part, 1:] = np.where(inside, ids[np.where(inside, at, 0)], -1)
+        made = out[done : done + len(t)]
+        made[:, 0] = k == 0
+        made[:, 1:] = np.where(inside, ids[np.where(inside, at, 0)], -1)
+        done += len(t)
     return out
 
 
+def packed(windows: np.ndarray) -> bytes:
+    """Windows in few bytes: bytes of a number and how many numbers, then the compressed numbers, -1 as 0."""
+    kind = np.uint16 if windows.max(initial=0) < (1 << 16) - 1 else np.uint32
+    head = np.array([np.dtype(kind).itemsize, windows.size], np.int64).tobytes()
+    return head + pa.compress((windows + 1).astype(kind).tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> bytes:
+    """The bytes of the windows (int32) that packed() has taken."""
+    width, n = np.frombuffer(data, np.int64, 2).tolist()
+    numbers = np.frombuffer(pa.decompress(data[16:], width * n, "zstd", asbytes=True), f"u{width}")
+    return (numbers.astype(np.int32) - 1).tobytes()
+
+
+def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for rows in batches:
+        for node, piece, data in zip(rows.node, rows.piece, rows.windows, strict=True):
+            yield pd.DataFrame({"node": [node], "piece": [piece], "windows": [unpacked(data)]})
+
+
 def _send(key: tuple, rows: pd.DataFrame, buckets: int, path: str, share: int) -> pd.DataFrame:
     """A chunk's distinct words by bucket: hashes, and counts in its training documents;
     the subword counts of these documents, dealt to the same buckets; and (in buckets
@@ -140,7 +161,8 @@ def _send(key: tuple, rows: pd.DataFrame, buckets: int, path: str, share: int) -
     flat, begin, length = tokenizer(path).vocabulary(vocabulary, END)
     subwords = np.bincount(flat[_places_in(begin, length)], np.repeat(n, length)).astype(np.int64)
     windows = _windows(rows, texts, flat, begin, length, share)
-    pieces = np.array_split(windows, min(PIECES, -(-windows.nbytes // PIECE_BYTES) or 1))
+    pieces = [packed(x) for x in np.array_split(windows, min(PIECES, -(-windows.nbytes // PIECE_BYTES) or 1))]
+    del windows, texts
     order, h, bucket = _places(vocabulary, buckets)
     n = n[order].astype(np.uint32)
     starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
@@ -153,7 +175,7 @@ def _send(key: tuple, rows: pd.DataFrame, buckets: int, path: str, share: int) -
         "hashes": [x.tobytes() for x in np.split(h, starts[1:])] + [b""] * len(pieces),
         "counts": [x.tobytes() for x in np.split(n, starts[1:])] + [b""] * len(pieces),
         "subwords": [np.stack([x, subwords[x]]).tobytes() for x in ids] + [b""] * len(pieces),
-        "windows": [None] * len(used) + [x.tobytes() for x in pieces],
+        "windows": [None] * len(used) + pieces,
     })
 
 
@@ -310,6 +332,7 @@ def score_texts(docs: DataFrame, learn_from, path: str = TOKENIZER, share: int =
         ids, each = _pairs(found)
         counts[ids] = each
     windows = totals.filter("chunk = -2").select(F.floor(F.col("bucket") / PIECES).alias("node"), (F.col("bucket") % PIECES).alias("piece"), F.col("totals").alias("windows"))
+    windows = windows.mapInPandas(_unpack, "node long, piece long, windows binary")
     shared = spark.sparkContext.broadcast(fit(dealt.filter("train").select("order", "text"), counts, windows, path))
     run = lambda k, x, y: _score(k, x, y, buckets, n, v, shared.value, path)
     scored = dealt.groupBy("chunk").cogroup(totals.filter("chunk >= 0").groupBy("chunk")).applyInPandas(run, "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
