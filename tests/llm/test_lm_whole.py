@@ -6,7 +6,7 @@ import time
 import numpy as np
 from pyspark.sql import functions as F
 
-from textquarry.llm import lm_score
+from textquarry.llm import kernel, lm_score
 from textquarry.llm.attention import BATCH, DIM, OVERLAP, OWN_ROWS, WINDOW, Model, cut, n_windows
 
 
@@ -164,3 +164,15 @@ def test_packed_windows_come_back_whole():
         assert (np.frombuffer(lm_score.unpacked(data), np.int32).reshape(-1, WINDOW + 2) == np.tile(rows, (50, 1))).all()
         assert len(data) < rows.nbytes * 50 / 2
     assert lm_score.unpacked(lm_score.packed(np.empty((0, WINDOW + 2), np.int32))) == b""
+
+
+def test_the_jvm_trains_and_scores_as_numpy_does(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(200)
+    docs = docs.unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-3, "x" * 3000), (-4, "\x1c odd\u2003space ")], "doc_id long, text string"))
+    assert kernel.load(spark) is not None
+    got = []
+    for load in (kernel.load, lambda spark: None):
+        monkeypatch.setattr(kernel, "load", load)
+        rows = lm_score.score_texts(docs, F.col("doc_id") % 5 != 2).collect()
+        got.append(sorted((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in rows))
+    assert len(got[0]) == docs.count() and np.allclose(np.array(got[0], float), np.array(got[1], float), rtol=1e-5, atol=0)

@@ -214,6 +214,12 @@ class Model:
     def theta(self) -> list[np.ndarray]:
         return [self.table, self.near, self.tree, self.bias]
 
+    def state(self) -> list[np.ndarray]:
+        """AdaGrad's sums of squares by weight, with those of all steps so far."""
+        if "sums" not in self.__dict__:
+            self.sums = [np.full(p.shape, 1e-2, F32) for p in self.theta()]
+        return self.sums
+
     def windows(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Inputs (rows; the end stands before the text) and, by window, the place of its first token."""
         starts = np.arange(n_windows(len(ids))) * STEP
@@ -354,8 +360,7 @@ class Model:
 
     def train_on(self, windows: np.ndarray, rate: float) -> int:
         """AdaGrad steps over windows as cut() makes them; returns the number of tokens that they predict."""
-        if "sums" not in self.__dict__:
-            self.sums = [np.full(p.shape, 1e-2, F32) for p in self.theta()]
+        self.state()
         total = 0
         for lo in range(0, len(windows), BATCH):
             part = windows[lo : lo + BATCH]

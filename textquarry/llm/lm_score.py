@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import pickle
 from collections import defaultdict
-from collections.abc import Iterator
 from itertools import count
 
 import numpy as np
@@ -33,7 +32,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
+from . import kernel
 from .attention import STEP, TOKENIZER, WINDOW, Model, Tokens, n_windows
 from .common import bucket_crc, materialize, parts, read, small_batches
 
@@ -143,12 +144,6 @@ def unpacked(data: bytes) -> bytes:
     return (numbers.astype(np.int32) - 1).tobytes()
 
 
-def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for rows in batches:
-        for node, piece, data in zip(rows.node, rows.piece, rows.windows, strict=True):
-            yield pd.DataFrame({"node": [node], "piece": [piece], "windows": [unpacked(data)]})
-
-
 def _send(key: tuple, rows: pd.DataFrame, buckets: int, path: str, share: int) -> pd.DataFrame:
     """A chunk's distinct words by bucket: hashes, and counts in its training documents;
     the subword counts of these documents, dealt to the same buckets; and (in buckets
@@ -246,11 +241,16 @@ def first_model(docs: DataFrame, counts: np.ndarray, path: str = TOKENIZER) -> M
 
 
 def fit(docs: DataFrame, counts: np.ndarray, windows: DataFrame, path: str = TOKENIZER) -> Model:
-    """The attention model: first_model(), trained on windows (node: the chunk, piece, windows: packed)."""
+    """The attention model: first_model(), trained on windows (node: the chunk, piece, packed, windows: unpacked)."""
     model = first_model(docs, counts, path)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     weights = "node long, child long, seen long, theta binary"
-    theta = materialize(windows.groupBy("node").applyInPandas(lambda k, x: _train(k, x, shared.value), weights), "theta")
+    if java := kernel.load(docs.sparkSession):
+        pieces = F.transform(F.array_sort(F.collect_list(F.struct("piece", "packed"))), lambda x: x.packed)
+        trained = windows.groupBy("node").agg(pieces.alias("pieces")).select("node", java.train(model, RATE)("pieces").alias("own"))
+        theta = materialize(trained, "theta").select("node", F.col("node").alias("child"), "own.seen", "own.theta").filter("seen > 0")
+    else:
+        shared = docs.sparkSession.sparkContext.broadcast(model)
+        theta = materialize(windows.drop("packed").groupBy("node").applyInPandas(lambda k, x: _train(k, x, shared.value), weights), "theta")
     n = (theta.agg(F.max("node")).first()[0] or 0) + 1
     while n > 1:
         n = -(-n // FAN)
@@ -263,7 +263,8 @@ def fit(docs: DataFrame, counts: np.ndarray, windows: DataFrame, path: str = TOK
     return model
 
 
-def _score(key: tuple, rows: pd.DataFrame, totals: pd.DataFrame, buckets: int, n: int, v: int, model: Model, path: str) -> pd.DataFrame:
+def _score(key: tuple, rows: pd.DataFrame, totals: pd.DataFrame, buckets: int, n: int, v: int, model: Model | None, path: str) -> pd.DataFrame:
+    """Of a chunk's rows all but train_tokens; without a model, what the kernel makes the score of instead of it."""
     vocabulary, texts = _indexed(rows.text)
     order, _, _ = _places(vocabulary, buckets)
     counts = np.empty(len(vocabulary), np.int64)
@@ -272,6 +273,14 @@ def _score(key: tuple, rows: pd.DataFrame, totals: pd.DataFrame, buckets: int, n
     flat, begin, length = tokenizer(path).vocabulary(vocabulary, END)
     del vocabulary
     base = [logs[x].sum() for x in texts]
+    n_known, size = [int(known[x].sum()) for x in texts], [len(x) for x in texts]
+    out = pd.DataFrame({"doc_id": rows.doc_id.astype("Int64"), "train": rows.train, "n_tokens": size, "n_known": n_known, "base_score": base})
+    if model is None:
+        # few bytes: all texts of the chunk go to the JVM at once
+        ids, short, logs = flat.astype(np.min_scalar_type(flat.max())), length.astype(np.min_scalar_type(length.max())), logs.astype(np.float32)
+        out["ids"] = [ids[_places_in(begin[x], length[x])].tobytes() for x in texts]
+        out["sizes"], out["logs"] = [short[x].tobytes() for x in texts], [logs[x].tobytes() for x in texts]
+        return out
     score, held, own = np.zeros(len(texts)), [], []
 
     def flush() -> None:
@@ -297,9 +306,8 @@ def _score(key: tuple, rows: pd.DataFrame, totals: pd.DataFrame, buckets: int, n
             flush()
             pending = 0
     flush()
-    score = score[first]
-    n_known, size = [int(known[x].sum()) for x in texts], [len(x) for x in texts]
-    return pd.DataFrame({"doc_id": rows.doc_id.astype("Int64"), "train": rows.train, "n_tokens": size, "n_known": n_known, "base_score": base, "score": score})
+    out["score"] = score[first]
+    return out
 
 
 def score_texts(docs: DataFrame, learn_from, path: str = TOKENIZER, share: int = SHARE) -> DataFrame:
@@ -331,11 +339,16 @@ def score_texts(docs: DataFrame, learn_from, path: str = TOKENIZER, share: int =
     if found := [r["totals"] for r in merged.collect()]:  # FAN rows, bounded by the tokens
         ids, each = _pairs(found)
         counts[ids] = each
-    windows = totals.filter("chunk = -2").select(F.floor(F.col("bucket") / PIECES).alias("node"), (F.col("bucket") % PIECES).alias("piece"), F.col("totals").alias("windows"))
-    windows = windows.mapInPandas(_unpack, "node long, piece long, windows binary")
-    shared = spark.sparkContext.broadcast(fit(dealt.filter("train").select("order", "text"), counts, windows, path))
-    run = lambda k, x, y: _score(k, x, y, buckets, n, v, shared.value, path)
-    scored = dealt.groupBy("chunk").cogroup(totals.filter("chunk >= 0").groupBy("chunk")).applyInPandas(run, "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
+    windows = totals.filter("chunk = -2").select(F.floor(F.col("bucket") / PIECES).alias("node"), (F.col("bucket") % PIECES).alias("piece"), F.col("totals").alias("packed"))
+    windows = windows.withColumn("windows", F.udf(lambda x: unpacked(x), BinaryType())("packed"))  # worked out only where it is used
+    model = fit(dealt.filter("train").select("order", "text"), counts, windows, path)
+    both, columns = dealt.groupBy("chunk").cogroup(totals.filter("chunk >= 0").groupBy("chunk")), "doc_id long, train boolean, n_tokens long, n_known long, base_score double"
+    if java := kernel.load(spark):
+        scored = both.applyInPandas(lambda k, x, y: _score(k, x, y, buckets, n, v, None, path), f"{columns}, ids binary, sizes binary, logs binary")
+        scored = scored.withColumn("score", java.score(model, UNIGRAM)("ids", "sizes", "logs"))
+    else:
+        shared = spark.sparkContext.broadcast(model)
+        scored = both.applyInPandas(lambda k, x, y: _score(k, x, y, buckets, n, v, shared.value, path), f"{columns}, score double")
     return scored.select("doc_id", "train", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
