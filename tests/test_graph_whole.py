@@ -78,3 +78,12 @@ def test_ranks_and_map(spark, tree, symbols, edges):
     assert got == pytest.approx(rank, abs=2e-8)
     shown = [r[0] for r in sorted(rows(spark, tree, "repo_map"), key=lambda r: r[2])]
     assert shown == sorted({s[0] for s in symbols}, key=lambda p: (-round(rank[p], 12), p))
+
+
+def test_map_reads_symbols_of_shown_files_only(spark, tree, monkeypatch):
+    """The symbols of all files are not written for a map that shows a few."""
+    from textquarry.sources import corpus as co
+
+    written = []
+    monkeypatch.setattr(co, "keep", lambda spark, key, name, make, order: written.append(name) or make())
+    assert rows(spark, tree, "repo_map") and written == []
